@@ -19,7 +19,7 @@ near a band's edge is indexed in both.
 Documents that share a signature form candidate units (connected components of a star for each
 signature, never all pairs). Units are cut into blocks of bounded size; a block is verified exactly
 in memory and emits only a spanning forest of its links. Documents that a block leaves outside
-their unit's largest component then visit the other blocks with which they share a signature.
+their unit's largest component then visit the unit's other blocks.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from .components import components
 
 RARE = 12  #: shingles in at most so many samples are indexed singly
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  #: bounds of a verified block
+TOUR = 64  #: in units of at most so many blocks a visitor sees all; in larger ones those with a common signature
 BROADCAST_IDS = 2_000_000  #: at most so many ids (16 MB) are broadcast; beyond, a shuffle join
 
 
@@ -277,11 +278,14 @@ def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     comps = components(links)
     cut = placed.where("slices > 1")
     if not cut.isEmpty():
-        cut = stored(cut.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "unit", "slice", F.coalesce("comp", "cls").alias("comp")))
+        cut = stored(cut.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "unit", "slice", "slices", F.coalesce("comp", "cls").alias("comp")))
         largest = cut.groupBy("unit", "comp").count().groupBy("unit").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
         minor = stored(cut.join(largest, "unit").where("comp <> main").drop("main"))
-        seen = sigs.join(cut, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
-        trips = minor.join(sigs, "cls").join(seen, ["sig", "unit"]).where("slice <> to").select("cls", "unit", F.col("to").alias("slice"), "comp").distinct()
+        near = minor.where(F.col("slices") <= TOUR).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        large = cut.where(F.col("slices") > TOUR)
+        seen = sigs.join(large, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
+        far = minor.where(F.col("slices") > TOUR).join(sigs, "cls").join(seen, ["sig", "unit"]).select(*near.columns).distinct()
+        trips = near.unionByName(far).where("slice <> to").select("cls", "unit", F.col("to").alias("slice"), "comp")
         both = cut.select("cls", "unit", "slice", "comp", F.lit(0).alias("role")).unionByName(trips.withColumn("role", F.lit(1)))
         rows = both.join(sets.select("cls", "toks"), "cls").repartition("unit", "slice").sortWithinPartitions("unit", "slice", "role")
         more = stored(rows.select("cls", "unit", "slice", "role", "comp", "toks").mapInArrow(_visit(rule), "a long, b long"))
