@@ -12,6 +12,7 @@ remains below C becomes sequences whose lengths are powers of two, which need no
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,31 +29,69 @@ COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 PART_WORDS = 400_000
 
 
+#: Words whose case and pieces need no Unicode tables; the pieces of such a word, in lower case.
+SIMPLE = re.compile(r"(?:(?!<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ])*\Z")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordIds(dict):
     """word (bytes between ASCII white space) -> its ids as little-endian uint32; at most `limit` words.
 
-    White space always ends a token of this vocabulary, so a text's ids are those of its words in turn."""
+    White space always ends a token of this vocabulary, so a text's ids are those of its words in turn. Words that
+    are new are cut into pieces, which repeat more often than words; new pieces are encoded together, and every
+    piece ends with the one token that has the end-of-word mark."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got, strict=True)}
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(pieces), 512):
+            own = pieces[lo : lo + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            out.update((p, raw[4 * a : 4 * z]) for p, a, z in zip(own, [0, *stops[:-1]], stops, strict=True))
+        return out
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        simple, odd = {}, []
+        for w in words:
+            t = w.decode()
+            if SIMPLE.match(t):
+                simple[w] = PIECE.findall(t.lower())
+            else:
+                odd.append(w)
+        known = self.pieces
+        fresh = self._encoded([p for p in set().union(*simple.values()) if p not in known]) if simple else {}
+        if len(known) + len(fresh) > self.limit:
+            known.clear()
+            fresh = self._encoded(list(set().union(*simple.values())))
+        known.update(fresh)
+        return {w: b"".join(map(known.__getitem__, ps)) for w, ps in simple.items()} | (self._whole(odd) if odd else {})
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         words = [t.split() for t in texts]
         missing = [w for w in set().union(*words) if w not in self]
-        extra = {}
-        if missing:
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            extra = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, got, strict=True)}
-            room = self.limit - len(self)
-            if room >= len(extra):
-                self.update(extra)
-                extra = {}
-            elif room > 0:
-                self.update(list(extra.items())[:room])
+        extra = self._new(missing) if missing else {}
+        room = self.limit - len(self)
+        if room >= len(extra):
+            self.update(extra)
+            extra = {}
+        elif room > 0:
+            self.update(list(extra.items())[:room])
         if extra:
             get = self.get
             for ws in words:
