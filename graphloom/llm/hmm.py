@@ -31,7 +31,7 @@ from .ngram_join import by_group
 HEAD, TAIL, STATES = 8192, 16, 8
 WINDOW, SAMPLE, SAMPLE_DOCS, SAMPLE_STEPS = 128, 6000, 3000, 20
 PARTS, PASSES, SMOOTH = 16, 1, 0.02
-LOCAL_TOP = 12_000
+LOCAL_TOP, SLICE = 12_000, 8_000_000
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
 META = np.dtype([("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("logs", "<f8"), ("forward", "<f8"), ("tail", "<i4", (TAIL,))])
@@ -135,14 +135,13 @@ def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sequences(texts: list[bytes], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    lists = [t.lower().split() for t in texts]
-    sizes = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
-    flat = np.full(int(sizes.sum()), END, np.int32)
-    at = 0
-    for x, n in zip(lists, sizes.tolist(), strict=True):
-        flat[at : at + n - 1] = symbols.of(x)
-        at += n
-    return flat, sizes
+    """Symbols of texts, end symbol included, laid end to end; one text's words are held at a time."""
+    stop, parts, sizes = np.array([END], np.int32), [], []
+    for t in texts:
+        x = symbols.of(t.lower().split())
+        parts += [x, stop]
+        sizes.append(len(x) + 1)
+    return np.concatenate(parts) if parts else np.empty(0, np.int32), np.asarray(sizes, np.int64)
 
 
 def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
@@ -218,6 +217,17 @@ def _combined(rows: list) -> dict:
     return out
 
 
+def _sliced(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
+    """Rows of a batch in slices of about SLICE bytes of text: what a worker holds at a time."""
+    texts, held, ids = batch_words(b.column("text")), np.asarray(b.column("held").to_pylist(), np.uint8), b.column("doc_id").to_pylist()
+    lo = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= SLICE or i == len(texts):
+            yield texts[lo:i], held[lo:i], ids[lo:i]
+            lo, size = i, 0
+
+
 def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
     logs = np.log10(seen + 0.1)
     known = (seen > 0).astype(np.int64)
@@ -225,8 +235,7 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, number = Symbols(head), TaskContext.get().partitionId() << 32
-        for b in batches:
-            texts, held = batch_words(b.column("text")), np.asarray(b.column("held").to_pylist(), np.uint8)
+        for texts, held, ids in (x for b in batches for x in _sliced(b)):
             flat, sizes = _sequences(texts, symbols)
             starts = np.cumsum(sizes) - sizes
             meta = np.zeros(len(texts), META)
@@ -237,7 +246,7 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
             doc = np.repeat(np.arange(len(texts)), sizes)
             meta["logs"], meta["known"] = np.bincount(doc, value, len(texts)), np.bincount(doc, sure, len(texts))
             meta["tail"] = np.bincount(doc[is_tail] * TAIL + flat[is_tail] - HEAD, minlength=len(texts) * TAIL).reshape(-1, TAIL)
-            out = [(number, -1, b.column("doc_id").to_pylist(), meta.tobytes())]
+            out = [(number, -1, ids, meta.tobytes())]
             found = []
             for i, t in enumerate(texts):
                 if meta["tail"][i].any():
@@ -347,7 +356,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
     head, model, seen = train(docs.where("not held").select("text"))
-    buckets = max(16, docs.rdd.getNumPartitions())
+    buckets = max(16, 2 * docs.rdd.getNumPartitions())
     sent = stored(docs.mapInArrow(_scored(head, model, seen, buckets), "batch long, bucket int, ids array<long>, blob binary"))
     tails = sent.where("bucket >= 0").select("bucket", "batch", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = stored(tails.mapInArrow(_counted, "batch long, blob binary"))
