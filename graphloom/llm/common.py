@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -14,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = (1 << 64) - 1
+ARROW_BYTES = str(16 << 20)  #: rows that a Python worker gets at once; long documents count by their bytes
 _SHIPPED: set[str] = set()
 
 
@@ -22,7 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and bound what their Python workers get at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -64,10 +69,22 @@ def batch_words(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+_CLEAR: dict[str, object] = {}
+
+
+def claim(owner: str) -> None:
+    """Empties the word tables of other operators in this Python worker, which Spark may use for many stages."""
+    for name, clear in list(_CLEAR.items()):
+        if name != owner:
+            clear()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class HashCache(dict):
     """word -> 64-bit hash; holds at most `limit` words, so its memory is bounded whatever the corpus."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
@@ -79,6 +96,7 @@ class HashCache(dict):
 
 
 WORDS = HashCache()
+_CLEAR["words"] = WORDS.clear
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

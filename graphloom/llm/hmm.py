@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, hash_words, ship, stored
+from .common import batch_words, claim, hash_words, ship, stored
 from .ngram_join import by_group
 
 HEAD, TAIL, STATES = 8192, 16, 8
@@ -183,6 +183,7 @@ def _sampled(head: list[bytes]):
 
 def _expected(head: list[bytes], model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("none")
         symbols, into = Symbols(head), blank()
         for b in batches:
             for part in _slices(batch_words(b.column("text")), 2_500_000):
@@ -234,6 +235,7 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
     names = ["batch", "bucket", "ids", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         symbols, number = Symbols(head), TaskContext.get().partitionId() << 32
         for texts, held, ids in (x for b in batches for x in _sliced(b)):
             flat, sizes = _sequences(texts, symbols)
@@ -272,6 +274,7 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket: counts its words, then answers each batch of documents; batch -1 holds the bucket's totals."""
+    claim("none")
     for t in by_group(batches, ["bucket"]):
         own = [np.frombuffer(x, ENTRY) for x in t.column("blob").to_pylist()]
         source = np.repeat(t.column("batch").to_numpy(), [len(x) for x in own])

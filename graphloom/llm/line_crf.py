@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, hash_words, ship
+from .common import batch_words, claim, hash_words, ship
 
 FIT_DOCS, FIT_LINES, FIT_STEPS, RIDGE = 6000, 100, 160, 1e-3
 OWN = 14
@@ -211,6 +211,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for b in batches:
             s = _all_scores(field, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -224,6 +225,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for b in batches:
             yield b.filter(pa.array(_all_scores(field, b.column("text")) >= 0.5))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, hash_words, mixed, ship, stored
+from .common import batch_words, claim, hash_words, mixed, ship, stored
 from .components import components
 
 RARE = 12  #: shingles in at most so many samples are indexed singly
@@ -77,6 +77,7 @@ class Rule:
 
 def _sets(width: int, rule: Rule, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for b in batches:
             n, key, cls, toks = [], [], [], []
             for t in batch_words(b.column("text")):
@@ -201,6 +202,7 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _verify(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("none")
         for t in by_group(batches, ["unit", "slice"]):
             if t.num_rows > 1:
                 yield _links(_forest(*_unpack(t), rule))
@@ -212,6 +214,7 @@ def _visit(rule: Rule):
     """Residents of a block come first; visitors are streamed past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("none")
         key, held, home = None, [], None
         for b in batches:
             role, pos = np.asarray(b.column("role")), 0

@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import _CLEAR, claim, ship
 
 SHORT, CLOSE = 64, 0.985  #: rests below SHORT stay whole, as do rests that fill CLOSE of their class
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -41,7 +41,7 @@ class WordIds(dict):
     are new are cut into pieces, which repeat more often than words; new pieces are encoded together, and every
     piece ends with the one token that has the end-of-word mark."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +76,7 @@ class WordIds(dict):
                 odd.append(w)
         known = self.pieces
         fresh = self._encoded([p for p in set().union(*simple.values()) if p not in known]) if simple else {}
-        if len(known) + len(fresh) > self.limit:
+        if len(known) + len(fresh) > self.limit // 2:
             known.clear()
             fresh = self._encoded(list(set().union(*simple.values())))
         known.update(fresh)
@@ -169,6 +169,7 @@ class Packer:
 
 
 _IDS: dict[str, WordIds] = {}
+_CLEAR["packing"] = _IDS.clear
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -183,6 +184,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         if path not in _IDS:
             _IDS[path] = WordIds(path)
         words = _IDS[path]

@@ -20,7 +20,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import _CLEAR, claim, ship
 
 L, N, O, A2, A3, SP, WS, WW, END = range(9)
 START, IN_L, IN_N, IN_O, SPACE, IN_W, ONE, TWO = range(8)
@@ -181,6 +181,7 @@ def entry_states(grid: np.ndarray) -> np.ndarray:
 
 
 _COUNTERS: dict[str, Counter] = {}
+_CLEAR["tokens"] = _COUNTERS.clear
 
 
 def counter(path: str) -> Counter:
@@ -209,6 +210,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         c = counter(path)
         for b in batches:
             ids, column = b.column("doc_id"), b.column("text")
