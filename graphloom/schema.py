@@ -6,7 +6,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 
 
 def _struct(spec: str) -> StructType:
-    kinds = {"s": StringType(), "l": LongType(), "i": IntegerType(), "d": DoubleType(), "b": BooleanType(), "t": TimestampType(), "v": ArrayType(FloatType(), False), "a": ArrayType(StringType())}
+    kinds = {"s": StringType(), "l": LongType(), "i": IntegerType(), "d": DoubleType(), "b": BooleanType(), "t": TimestampType(), "v": ArrayType(FloatType()), "a": ArrayType(StringType())}
     return StructType([StructField(n, kinds[k], True) for n, k in (x.split(":") for x in spec.split())])
 
 
