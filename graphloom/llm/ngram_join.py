@@ -18,8 +18,10 @@ near a band's edge is indexed in both.
 
 Documents that share a signature form candidate units (connected components of a star for each
 signature, never all pairs). Units are cut into blocks of bounded size; a block is verified exactly
-in memory and emits only a spanning forest of its links. Documents that a block leaves outside
-their unit's largest component then visit the unit's other blocks.
+in memory and emits only a spanning forest of its links. Members of larger units are kept as their symmetric
+difference from the unit's first set, which is short for near copies; two sets differ by the symmetric difference
+of their differences, so the check stays exact. Documents that a block leaves outside their unit's largest
+component then visit the unit's other blocks.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from .common import batch_words, claim, hash_words, mixed, ship, stored
 from .components import components
 
 RARE = 12  #: shingles in at most so many samples are indexed singly
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  #: bounds of a verified block
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  #: bounds of a verified block; units within them are one block
+LARGE_SETS = 1024  #: sets in a block of a larger unit, whose members are kept as differences from its first set
+BROADCAST_SHINGLES = 1 << 20  #: first sets of larger units with at most so many shingles (8 MB) are broadcast
 TOUR = 64  #: in units of at most so many blocks a visitor sees all; in larger ones those with a common signature
 BROADCAST_IDS = 2_000_000  #: at most so many ids (16 MB) are broadcast; beyond, a shuffle join
 
@@ -90,12 +94,11 @@ def _sets(width: int, rule: Rule, full: bool):
             sizes = np.fromiter(map(len, toks), np.int64, len(toks))
             flat = pa.array(np.concatenate(toks) if toks else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-            own = [b.column("doc_id")] if not full else [b.column("cls")]
             if full:
                 ok = pa.array(np.array(cls, np.int64) == b.column("cls").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), lists], ["cls", "n", "toks"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "unit", "large")), pa.array(n, pa.int64()), lists], ["cls", "unit", "large", "n", "toks"]).filter(ok)
             else:
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(cls, pa.int64()), lists], ["doc_id", "n", "key", "cls", "toks"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(cls, pa.int64()), lists], ["doc_id", "n", "key", "cls", "toks"])
 
     return run
 
@@ -155,12 +158,15 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _similar(x: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, rule: Rule) -> np.ndarray:
-    """Which of the sets (flat, cut at starts) are similar to x."""
+def _similar(x: np.ndarray, n: int, sizes: np.ndarray, offs: np.ndarray, flat: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which sets are similar to x. x and flat (cut at offs) hold differences from one base set, which may be empty;
+    n and sizes are the sizes of the sets themselves."""
     at = np.searchsorted(x, flat)
     at[at == len(x)] = 0
-    inter = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
-    return rule.den * inter >= rule.num * (len(x) + sizes - inter)
+    same = np.concatenate([[0], np.cumsum(x[at] == flat)]) if len(x) else np.zeros(len(flat) + 1, np.int64)
+    apart = len(x) + np.diff(offs) - 2 * (same[offs[1:]] - same[offs[:-1]])
+    inter = (n + sizes - apart) // 2
+    return rule.den * inter >= rule.num * (n + sizes - inter)
 
 
 def _unpack(t: pa.Table):
@@ -169,12 +175,12 @@ def _unpack(t: pa.Table):
         lists = lists.chunk(0)
     offs = np.asarray(lists.offsets)
     flat = np.asarray(lists.values)[offs[0] : offs[-1]].view(np.uint64)
-    return np.asarray(t.column("cls").combine_chunks()), flat, offs - offs[0]
+    return np.asarray(t.column("cls").combine_chunks()), np.asarray(t.column("n").combine_chunks()), flat, offs - offs[0]
 
 
-def _forest(ids: np.ndarray, flat: np.ndarray, offs: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+def _forest(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, offs: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """Links that span every component of the sets of a block: breadth-first, each set is expanded once."""
-    sizes, left, out = np.diff(offs), np.ones(len(ids), bool), []
+    left, out = np.ones(len(ids), bool), []
     for s in range(len(ids)):
         if not left[s]:
             continue
@@ -187,14 +193,24 @@ def _forest(ids: np.ndarray, flat: np.ndarray, offs: np.ndarray, rule: Rule) ->
             if not len(rest):
                 continue
             part = np.concatenate([flat[offs[j] : offs[j + 1]] for j in rest])
-            starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-            for j in rest[_similar(flat[offs[i] : offs[i + 1]], sizes[rest], starts, part, rule)]:
+            cut = np.concatenate([[0], np.cumsum(offs[rest + 1] - offs[rest])])
+            for j in rest[_similar(flat[offs[i] : offs[i + 1]], int(sizes[i]), sizes[rest], cut, part, rule)]:
                 left[j] = False
                 queue.append(j)
                 out.append((ids[i], ids[j]))
     return out
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of larger units as symmetric differences from their unit's first set (a column base)."""
+    claim("none")
+    for b in batches:
+        out = [np.setxor1d(np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64), assume_unique=True) for x, y in zip(b.column("toks"), b.column("base"), strict=True)]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        flat = np.concatenate(out) if out else np.empty(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("unit"), b.column("n"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], ["cls", "unit", "n", "toks"])
+
+
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     x = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
@@ -230,13 +246,12 @@ def _visit(rule: Rule):
                     if not held:
                         continue
                     whole = pa.concat_tables(held)
-                    ids, flat, offs = _unpack(whole)
-                    home = (ids, flat, offs, np.asarray(whole.column("comp").combine_chunks()))
-                ids, flat, offs, comp = home
-                vid, vflat, voffs = _unpack(t)
+                    home = (*_unpack(whole), np.asarray(whole.column("comp").combine_chunks()))
+                ids, sizes, flat, offs, comp = home
+                vid, vsizes, vflat, voffs = _unpack(t)
                 out = []
                 for i, c in enumerate(np.asarray(t.column("comp").combine_chunks())):
-                    hit = _similar(vflat[voffs[i] : voffs[i + 1]], np.diff(offs), offs[:-1], flat, rule) & (comp != c)
+                    hit = _similar(vflat[voffs[i] : voffs[i + 1]], int(vsizes[i]), sizes, offs, flat, rule) & (comp != c)
                     first = np.unique(comp[hit], return_index=True)[1]
                     out += [(vid[i], x) for x in ids[hit][first]]
                 yield _links(out)
@@ -244,6 +259,37 @@ def _visit(rule: Rule):
     return run
 
 
+def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that span the components of units of more than one block."""
+    base = sets.where("cls = unit").select("unit", F.col("toks").alias("base")).dropDuplicates(["unit"])
+    if (base.agg(F.sum(F.size("base"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        base = F.broadcast(base)
+    short = stored(sets.join(base, "unit").select("cls", "unit", "n", "toks", "base").mapInArrow(_differences, "cls long, unit long, n long, toks array<long>"))
+    size = short.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.size("toks")).alias("shingles"))
+    slices = size.select("unit", F.greatest(F.ceil(F.col("sets") / LARGE_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("slices"))
+    cut = short.select("cls", "unit", "n").join(slices, "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")))
+    cut = stored(cut)
+    toks = short.select("cls", "toks")
+    blocks = cut.join(toks, "cls").repartition("unit", "slice").sortWithinPartitions("unit", "slice")
+    links = stored(blocks.select("cls", "unit", "slice", "n", "toks").mapInArrow(_verify(rule), "a long, b long"))
+    cut = cut.where("slices > 1")
+    if cut.isEmpty():
+        return links
+    comps = components(links)
+    cut = stored(cut.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "unit", "slice", "slices", "n", F.coalesce("comp", "cls").alias("comp")))
+    largest = cut.groupBy("unit", "comp").count().groupBy("unit").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    minor = stored(cut.join(largest, "unit").where("comp <> main").drop("main"))
+    near = minor.where(F.col("slices") <= TOUR).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    wide = cut.where(F.col("slices") > TOUR)
+    seen = sigs.join(wide, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
+    far = minor.where(F.col("slices") > TOUR).join(sigs, "cls").join(seen, ["sig", "unit"]).select(*near.columns).distinct()
+    trips = near.unionByName(far).where("slice <> to").select("cls", "unit", F.col("to").alias("slice"), "n", "comp")
+    both = cut.select("cls", "unit", "slice", "n", "comp", F.lit(0).alias("role")).unionByName(trips.withColumn("role", F.lit(1)))
+    rows = both.join(toks, "cls").repartition("unit", "slice").sortWithinPartitions("unit", "slice", "role")
+    more = rows.select("cls", "unit", "slice", "role", "comp", "n", "toks").mapInArrow(_visit(rule), "a long, b long")
+    return links.unionByName(more)
+
+
 def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, class_id (hash of the set; null for an empty one), component_id.
 
@@ -267,32 +313,18 @@ def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     lead = sigs.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead < top").select("sig", "lead")
     units = components(sigs.join(lead, "sig").select("cls", "lead"), "cls", "lead")
     members = stored(units.join(reps.select(F.col("cls").alias("node"), "first_doc", "n"), "node").select(F.col("node").alias("cls"), F.col("comp").alias("unit"), "first_doc", "n"))
-    size = members.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    slices = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    placed = stored(members.join(size.select("unit", slices.alias("slices")), "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices"))).drop("n"))
-    want = placed.select(F.col("first_doc").alias("doc_id"), "cls", "unit", "slice", "slices")
-    if want.count() <= BROADCAST_IDS:
-        want = F.broadcast(want)
-    texts = docs.join(want, "doc_id")
-    sets = texts.select("cls", "text").mapInArrow(_sets(width, rule, True), "cls long, n long, toks array<long>")
-    sets = stored(sets.join(placed.select("cls", "unit", "slice", "slices"), "cls"))
-    blocks = sets.repartition("unit", "slice").sortWithinPartitions("unit", "slice")
-    links = stored(blocks.select("cls", "unit", "slice", "toks").mapInArrow(_verify(rule), "a long, b long"))
+    size = members.groupBy("unit").agg(((F.count("*") > BLOCK_SETS) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    placed = stored(members.join(size, "unit").drop("n"))
+    want = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
+    texts = docs.join(want.withColumnRenamed("first_doc", "doc_id"), "doc_id")
+    sets = stored(texts.select("cls", "unit", "large", "text").mapInArrow(_sets(width, rule, True), "cls long, unit long, large boolean, n long, toks array<long>"))
+    small = sets.where("not large").repartition("unit").sortWithinPartitions("unit")
+    links = stored(small.select("cls", "unit", F.lit(0).cast("long").alias("slice"), "n", "toks").mapInArrow(_verify(rule), "a long, b long"))
+    large = sets.where("large")
+    if not large.isEmpty():
+        more = _large_units(large, sigs, rule)
+        links = stored(links.unionByName(more))
     comps = components(links)
-    cut = placed.where("slices > 1")
-    if not cut.isEmpty():
-        cut = stored(cut.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "unit", "slice", "slices", F.coalesce("comp", "cls").alias("comp")))
-        largest = cut.groupBy("unit", "comp").count().groupBy("unit").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        minor = stored(cut.join(largest, "unit").where("comp <> main").drop("main"))
-        near = minor.where(F.col("slices") <= TOUR).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-        large = cut.where(F.col("slices") > TOUR)
-        seen = sigs.join(large, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
-        far = minor.where(F.col("slices") > TOUR).join(sigs, "cls").join(seen, ["sig", "unit"]).select(*near.columns).distinct()
-        trips = near.unionByName(far).where("slice <> to").select("cls", "unit", F.col("to").alias("slice"), "comp")
-        both = cut.select("cls", "unit", "slice", "comp", F.lit(0).alias("role")).unionByName(trips.withColumn("role", F.lit(1)))
-        rows = both.join(sets.select("cls", "toks"), "cls").repartition("unit", "slice").sortWithinPartitions("unit", "slice", "role")
-        more = stored(rows.select("cls", "unit", "slice", "role", "comp", "toks").mapInArrow(_visit(rule), "a long, b long"))
-        comps = components(links.unionByName(more))
     named = comps.join(placed.select(F.col("cls").alias("node"), "first_doc"), "node")
     low = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     linked = named.join(low, "comp").select(F.col("node").alias("cls"), "component_id")

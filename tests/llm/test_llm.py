@@ -61,6 +61,7 @@ def shingle_set(text, width):
 @pytest.mark.parametrize(("width", "num", "den"), [(3, 9, 10), (5, 8, 10)])
 def test_ngram_join(spark, texts, monkeypatch, width, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)  # many blocks, so that visitors travel
+    monkeypatch.setattr(ngram_join, "LARGE_SETS", 6)
     monkeypatch.setattr(ngram_join, "TOUR", 2)
     sets = {i: shingle_set(t, width) for i, t in texts}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
