@@ -41,7 +41,7 @@ class WordIds(dict):
     are new are cut into pieces, which repeat more often than words; new pieces are encoded together, and every
     piece ends with the one token that has the end-of-word mark."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
