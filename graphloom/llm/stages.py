@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_crf, ngram_join, packing, pii
-from .common import table
+from .common import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +15,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies (five words, 0.8)."""
+    """One document, that with the smallest doc_id, of each group of near copies (five words, 0.8).
+
+    The ids that go are broadcast when counted to be few, so texts are not shuffled; else both sides are joined by
+    id. Rows that repeat a doc_id are one document and stay or go together; rows without an id stay."""
     groups = ngram_join.component_table(docs, width=5, num=8, den=10)
-    first = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    if gone.count() <= ngram_join.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +46,6 @@ STAGES = [("quality", quality), ("near_copies", near_copies), ("decontaminate",
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared scratch folder and read by the next."""
-    from .common import stored
-
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
