@@ -2,7 +2,7 @@
 
 Vectors and queries are dealt into blocks of bounded size; every pair of a query block and a vector block is one
 cell. In a cell both sides get a cover tree: a node of level l covers its points within 2**l of its centre, and its
-children's centres lie more than 2**(l-1) apart. The trees are walked together, best bound first. For a pair of nodes
+children's centres lie more than 2**(l-1) apart; points too scattered for centres of their own share leaves. The trees are walked together, best bound first. For a pair of nodes
 with centres q, c and radii r, s no score exceeds q.c + |q| s + |c| r + r s; the pair is pruned when that is below
 the worst k-th score among the queries of the node. Cells emit k candidates for each query; a ranking per query merges
 them. Scores are exact integers: products stay below 2**53 in float64, and larger inputs go through Python integers.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import ship, stored
 from .ngram_join import by_group
 
-BLOCK, QUERIES, LEAF = 16_384, 1_024, 64
+BLOCK, QUERIES, LEAF, TRIES = 8_192, 1_024, 128, 32
 EXACT = 1 << 23  #: components up to this keep float64 inner products exact for up to 128 dimensions
 LONG = (1 << 63) - 1
 
@@ -43,10 +43,10 @@ class Node:
             near = ((x[rest] - x[rest[0]]) ** 2).sum(1) <= 4.0 ** (level - 1)
             groups.append(rest[near])
             rest = rest[~near]
-        single = [g[0] for g in groups if len(g) <= 2]
-        if len(single) > LEAF:  # scattered points gain nothing from nodes of their own
-            loose = np.concatenate([g for g in groups if len(g) <= 2])
-            groups = [g for g in groups if len(g) > 2] + [loose[i : i + LEAF] for i in range(0, len(loose), LEAF)]
+            if len(groups) >= TRIES and len(points) - len(rest) < 4 * len(groups):
+                break  # scattered: centres of their own gain nothing
+        loose = np.concatenate([rest, *(g for g in groups if len(g) <= 2)])
+        groups = [g for g in groups if len(g) > 2] + [loose[i : i + LEAF] for i in range(0, len(loose), LEAF)]
         self.children = [Node(x, g, level - 1) for g in groups] if len(groups) > 1 or level > -2 else []
 
 
@@ -62,7 +62,8 @@ class Best:
         return float(self.score[rows, -1].min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        for r, s in zip(rows.tolist(), scores, strict=True):
+        hopeful = np.flatnonzero((scores >= self.score[rows, -1][:, None]).any(1))
+        for r, s in zip(rows[hopeful].tolist(), scores[hopeful], strict=True):
             ok = (s >= self.score[r, -1]) & (ids != self.own[r])
             if ok.any():
                 a, b = np.concatenate([self.score[r], s[ok]]), np.concatenate([self.id[r], ids[ok]])
