@@ -267,10 +267,12 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     short = stored(sets.join(base, "unit").select("cls", "unit", "n", "toks", "base").mapInArrow(_differences, "cls long, unit long, n long, toks array<long>"))
     size = short.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.size("toks")).alias("shingles"))
     slices = size.select("unit", F.greatest(F.ceil(F.col("sets") / LARGE_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("slices"))
-    cut = short.select("cls", "unit", "n").join(slices, "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")))
-    cut = stored(cut)
-    toks = short.select("cls", "toks")
-    blocks = cut.join(toks, "cls").repartition("unit", "slice").sortWithinPartitions("unit", "slice")
+    slices = stored(slices)
+    if slices.count() <= BROADCAST_IDS:
+        slices = F.broadcast(slices)
+    dealt = short.join(slices, "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")))
+    cut, toks = dealt.drop("toks"), short.select("cls", "toks")
+    blocks = dealt.repartition("unit", "slice").sortWithinPartitions("unit", "slice")
     links = stored(blocks.select("cls", "unit", "slice", "n", "toks").mapInArrow(_verify(rule), "a long, b long"))
     cut = cut.where("slices > 1")
     if cut.isEmpty():
@@ -279,6 +281,7 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     cut = stored(cut.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "unit", "slice", "slices", "n", F.coalesce("comp", "cls").alias("comp")))
     largest = cut.groupBy("unit", "comp").count().groupBy("unit").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     minor = stored(cut.join(largest, "unit").where("comp <> main").drop("main"))
+    cut = stored(cut.join(minor.select("unit").distinct(), "unit", "left_semi"))  # whole units need no visits
     near = minor.where(F.col("slices") <= TOUR).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     wide = cut.where(F.col("slices") > TOUR)
     seen = sigs.join(wide, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
