@@ -156,9 +156,9 @@ def symbol_lookup(spark, sf):
     return p.join(F.broadcast(first), "p_name").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_size").alias("line"))  # one name
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_size AS line FROM part WHERE p_brand = 'Brand#11' AND p_retailprice > 1000")
+@query("SELECT p_partkey AS id, p_name AS name, p_size AS line FROM part WHERE p_brand = 'Brand#11' AND p_retailprice > 950")
 def exported_by_file(spark, sf):
-    return table(spark, sf, "part").where("p_brand = 'Brand#11' and p_retailprice > 1000").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("line"))
+    return table(spark, sf, "part").where("p_brand = 'Brand#11' and p_retailprice > 950").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("line"))
 
 
 @query(f"WITH {DEP} SELECT f.p_partkey AS file_id, i.p_partkey AS importer_id, i.p_name AS importer FROM dep JOIN part f ON f.p_partkey = dst JOIN part i ON i.p_partkey = src WHERE f.p_brand = 'Brand#11'")
