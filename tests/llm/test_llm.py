@@ -162,6 +162,55 @@ def test_decontamination(spark):
     assert decontaminate.leaked_pairs(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_many_and_long_items(spark):
+    """Copies are found when the benchmark has many more items than the projection has directions, and in long items."""
+    rnd = np.random.default_rng(14)
+    share = 1 / np.arange(1, 8001)
+    share /= share.sum()
+
+    def text(n):
+        return [f"w{x}" for x in rnd.choice(8000, n, p=share)]
+
+    items = [(i, " ".join(text(38))) for i in range(2500)] + [(5000 + i, " ".join(text(n))) for i, n in enumerate([49, 90, 300, 600, 1500])]
+    planted = items[::25] + items[2500:]
+    rows, want, altered = [], set(), set()
+    for i, (item, t) in enumerate(planted):
+        w, own = text(200), t.split()
+        at = int(rnd.integers(200))
+        rows.append((i, " ".join(w[:at] + own + w[at:])))
+        want.add((i, item))
+        own = [x if rnd.random() > 0.1 else "changed" for x in own]
+        rows.append((1000 + i, " ".join(w[:at] + own + w[at:])))
+        altered.add((1000 + i, item))
+    rows += [(3000 + i, " ".join(text(300))) for i in range(50)]
+    got = decontaminate.leaked_pairs(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    pairs = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert want <= pairs
+    assert len(altered - pairs) <= 0.05 * len(altered)
+    assert not pairs - want - altered
+
+
+def test_exact_cosines():
+    rnd = np.random.default_rng(15)
+    index = decontaminate.Index([(i, " ".join(f"w{x}" for x in rnd.integers(0, 60, 20)).encode()) for i in range(50)])
+    index.weigh(rnd.integers(1, 90, len(index.vocab)).astype(float), 100)
+    index.settle(np.zeros((len(index.vocab), 1)))
+    texts = [[f"w{x}".encode() for x in rnd.integers(0, 75, n)] for n in (40, 9, 1, 100, 33)]
+    feature, sizes = np.concatenate([index.features(w) for w in texts]), np.array([40, 9, 1, 100, 33])
+    got = {(t, at, i): c for t, at, i, _, c in index.candidates(feature, sizes)}
+    want = {}
+    for t, w in enumerate(texts):
+        for at in range(0, len(w), decontaminate.STEP):
+            own = w[at : at + decontaminate.WINDOW]
+            norm = math.sqrt(sum(float(index.idf[index.vocab[x]]) ** 2 if x in index.vocab else index.other for x in own))
+            for i, other in enumerate(index.words):
+                both = sum(own.count(x) * other.count(x) * float(index.idf[index.vocab[x]]) ** 2 for x in set(own) & set(other))
+                cos = both / norm / math.sqrt(sum((other.count(x) * float(index.idf[index.vocab[x]])) ** 2 for x in set(other)))
+                if cos >= decontaminate.COSINE:
+                    want[t, at, i] = cos
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
 def test_lcs():
     assert decontaminate.lcs(list("abcbdab"), list("bdcaba")) == 4 and decontaminate.lcs([], [1]) == 0
 
