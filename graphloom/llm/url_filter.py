@@ -2,23 +2,23 @@
 
 Transactions are the distinct tokens of labelled URLs (words of the host, first words of the path) with an item for the
 label. Rules {tokens} => bad are kept by confidence and support; a rule is dropped when a subset of its tokens is at
-least as confident. The kept rules, at most MAX_RULES, form an inverted index from each rule's rarest token;
-a URL looks its tokens up and is blocked when all tokens of a rule are there. All of it stays in the JVM.
+least as confident. All others are kept, in a table with each rule's rarest token; the distinct token sets of the URLs
+are joined with it and blocked when all tokens of a rule are there. All of it stays in the JVM.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Fixed values: (host, path) => verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Host words that label a URL as bad whatever its page's label.
 SEEDS = ["casino", "bets", "pills", "adult", "spam", "ads", "porn", "xxx"]
-SUPPORT, ROWS, CONFIDENCE, MAX_RULES, MAX_TOKENS = 0.0005, 4, 0.8, 5_000, 4
+SUPPORT, ROWS, CONFIDENCE, MAX_TOKENS = 0.0005, 4, 0.8, 4
 BAD = "=bad"
 
 
@@ -46,28 +46,35 @@ def _explicit() -> tuple[Column, Column]:
     return rule, verdict
 
 
-def mined(pages: DataFrame, labels: DataFrame) -> list[dict]:
-    """Pruned rules: tokens, confidence, and the tokens' frequencies decide the index."""
+def pruned(rules: DataFrame) -> DataFrame:
+    """The rules (tokens, sorted; confidence) of which no proper subset of the tokens is a rule at least as confident."""
+    parts = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> (shiftright(m, i) & 1) = 1))")
+    smaller = rules.where("size(tokens) > 1").select("tokens", "confidence", F.explode(parts).alias("part"))
+    weaker = smaller.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("had")), "part").where("had >= confidence")
+    return rules.join(weaker.select("tokens").distinct(), "tokens", "left_anti")
+
+
+def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pruned rules: tokens (sorted), confidence."""
     bad = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.min("quality").alias("quality"))
     seeded = F.exists("tokens", lambda t: t.isin(*[f"h:{s}" for s in SEEDS]))
     rows = pages.where("size(tokens) > 0").join(bad, "page_id", "left").withColumn("seeded", seeded).where("seeded or quality is not null")
     baskets = rows.select(F.when(F.col("seeded") | (F.col("quality") == 0), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     n = baskets.count()
     if not n:
-        return []
+        return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double")
     model = FPGrowth(itemsCol="items", minSupport=max(SUPPORT, ROWS / n), minConfidence=CONFIDENCE).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    rows = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support").orderBy(F.size("tokens"), F.desc("confidence"), F.desc("support"), "tokens").limit(MAX_RULES).collect()
-    kept: list[dict] = []
-    by_token: dict[str, list[dict]] = {}
-    for r in rows:
-        own = set(r["tokens"])
-        weaker = any(set(k["tokens"]) <= own and k["confidence"] >= r["confidence"] for t in own for k in by_token.get(t, []))
-        if not weaker:
-            kept.append(r.asDict())
-            for t in own:
-                by_token.setdefault(t, []).append(kept[-1])
-    return kept
+    return pruned(stored(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence")))
+
+
+def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """The token sets that hold all tokens of a rule; a rule is looked up by the token that the fewest sets have."""
+    held = sets.select("tokens", F.explode("tokens").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = rules.select(F.col("tokens").alias("rule"), F.explode("tokens").alias("key")).join(common, "key")
+    keyed = keyed.groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    return held.join(keyed, "key").where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct()
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,16 +85,8 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host, path = host_and_path()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rows = rows.select("*", tokens().alias("tokens"))
-    rules = mined(rows, labels)
-    index: dict[str, list[list[str]]] = {}
-    common: dict[str, int] = {}
-    for r in rules:
-        for t in r["tokens"]:
-            common[t] = common.get(t, 0) + 1
-    for r in rules:
-        index.setdefault(min(r["tokens"], key=lambda t: (common[t], t)), []).append(r["tokens"])
-    lookup = F.from_json(F.lit(json.dumps(index)), "map<string, array<array<string>>>")
-    fits = F.exists("tokens", lambda t: F.coalesce(F.exists(F.element_at(lookup, t), lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0), F.lit(False)))
+    fits = fitting(rows.select("tokens").distinct(), stored(mined(rows, labels))).withColumn("mined", F.lit(True))
+    rows = rows.join(fits, "tokens", "left")
     rule, verdict = _explicit()
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), fits.alias("mined"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), F.coalesce("mined", F.lit(False)).alias("mined"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"), "mined")

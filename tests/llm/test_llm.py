@@ -290,6 +290,32 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def url_tables(spark, pages):
+    rows = [(i, u, "") for i, (u, _) in enumerate(pages)]
+    marks = [(i, q, 0) for i, (_, q) in enumerate(pages) if q is not None]
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_url_rules_have_no_cap(spark):
+    """Thousands of redundant pairs of confidence 1.0 do not push out a rule of two tokens and one of three."""
+    seen = [(f"http://casino.z/{' '.join(f'a{10 * i + k}' for k in range(6))}".replace(" ", "/"), None) for i in range(150) for _ in range(4)]
+    seen += [(f"http://casino.z/a{10 * i}/a{10 * i + 3}/c{i}/d{i}/e{i}/f{i}", None) for i in range(150) for _ in range(4)]
+    seen += [("http://m.q/red/blue", 0)] * 9 + [("http://m.q/red/blue", 1)] + [("http://m.q/red/x", 1)] * 9 + [("http://m.q/y/blue", 1)] * 9
+    seen += [("http://m.q/k/l/m", 0)] * 9 + [("http://m.q/k/l/m", 1)] + [(f"http://m.q/{p}", 1) for p in ("k/l", "k/m", "l/m") for _ in range(9)]
+    asked = [("http://new.q/red/blue", None), ("http://new.q/k/l/m", None), ("http://new.q/red/l", None), ("http://new.q/k/m", None)]
+    got = {r["page_id"]: r["mined"] for r in url_filter.judged(*url_tables(spark, seen + asked)).collect()}
+    assert [got[len(seen) + i] for i in range(4)] == [True, True, False, False] and len(got) == len(seen) + 4
+
+
+def test_url_rules_pruned(spark):
+    rnd = np.random.default_rng(16)
+    sets = sorted({tuple(sorted(rnd.choice(list("abcdefg"), rnd.integers(1, 5), replace=False).tolist())) for _ in range(70)})
+    rules = [(list(s), float(rnd.choice([0.8, 0.9, 1.0]))) for s in sets]
+    want = {tuple(s) for s, c in rules if not any(set(k) < set(s) and d >= c for k, d in rules)}
+    got = [tuple(r["tokens"]) for r in url_filter.pruned(spark.createDataFrame(rules, "tokens array<string>, confidence double")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_quality(spark):
     rnd = np.random.default_rng(9)
     words = [f"word{i}" for i in range(300)]
