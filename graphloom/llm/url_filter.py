@@ -1,7 +1,8 @@
 """URL filters: explicit rules first, then association rules mined with Spark's FP-growth.
 
-Transactions are the distinct tokens of labelled URLs (words of the host, first words of the path) with an item for the
-label. Rules {tokens} => bad are kept by confidence and support; a rule is dropped when a subset of its tokens is at
+Transactions are the distinct tokens of labelled URLs (words of the host and of the path) with an item for the label.
+Long paths would make 2^words sets of one URL, so only tokens that a kept rule can have are mined, and tokens that all
+labelled URLs have together or not at all count as one. Rules {tokens} => bad are kept by confidence and support; a rule is dropped when a subset of its tokens is at
 least as confident. All others are kept, in a table with each rule's rarest token; the distinct token sets of the URLs
 are joined with it and blocked when all tokens of a rule are there. All of it stays in the JVM.
 """
@@ -34,7 +35,7 @@ def tokens() -> Column:
     """Distinct host words (h:) and path words (p:) of columns host and path; numbers are one token."""
     host = F.transform(F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x))
     words = F.filter(F.split("path", r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    path = F.transform(F.slice(words, 1, 6), lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "^[0-9]+$", "#")))
+    path = F.transform(words, lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, "^[0-9]+$", "#")))
     return F.array_distinct(F.concat(host, path))
 
 
@@ -54,27 +55,39 @@ def pruned(rules: DataFrame) -> DataFrame:
     return rules.join(weaker.select("tokens").distinct(), "tokens", "left_anti")
 
 
-def mined(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pruned rules: tokens (sorted), confidence."""
+def mined(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pruned rules (tokens, sorted; confidence) and the tokens that stand for others in them (token, name)."""
     bad = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.min("quality").alias("quality"))
     seeded = F.exists("tokens", lambda t: t.isin(*[f"h:{s}" for s in SEEDS]))
     rows = pages.where("size(tokens) > 0").join(bad, "page_id", "left").withColumn("seeded", seeded).where("seeded or quality is not null")
-    baskets = rows.select(F.when(F.col("seeded") | (F.col("quality") == 0), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    n = baskets.count()
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("seeded") | (F.col("quality") == 0)).alias("bad")))
+    spark = pages.sparkSession
+    n = rows.count()
     if not n:
-        return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=max(SUPPORT, ROWS / n), minConfidence=CONFIDENCE).fit(baskets)
+        return spark.createDataFrame([], "tokens array<string>, confidence double"), spark.createDataFrame([], "token string, name string")
+    support = max(SUPPORT, ROWS / n)
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("hits"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    seen = seen.where(F.col("hits") >= F.ceil(F.lit(support * n * (1 - 1e-9))))  # no rule of the others has the support
+    names = stored(seen.groupBy("n", "hits", "x", "y").agg(F.min("token").alias("name"), F.collect_list("token").alias("token")).select("name", "n", "hits", F.explode("token").alias("token")))
+    sure = names.where("token = name and hits = n").select(F.array("name").alias("tokens"), F.lit(1.0).alias("confidence"))  # no larger rule with it is kept
+    open_ = each.join(names.where("token = name and hits < n").select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("tokens"))
+    baskets = open_.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    m = baskets.count()
+    if not m:
+        return sure, names.select("token", "name")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n * (1 - 1e-9) / m), minConfidence=CONFIDENCE).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    return pruned(stored(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence")))
+    return pruned(stored(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence"))).unionByName(sure), names.select("token", "name")
 
 
 def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The token sets that hold all tokens of a rule; a rule is looked up by the token that the fewest sets have."""
-    held = sets.select("tokens", F.explode("tokens").alias("key"))
+    """The token sets whose names hold all of a rule; a rule is looked up by the name that the fewest sets have."""
+    held = sets.select("tokens", "names", F.explode("names").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("n"))
     keyed = rules.select(F.col("tokens").alias("rule"), F.explode("tokens").alias("key")).join(common, "key")
     keyed = keyed.groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
-    return held.join(keyed, "key").where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct()
+    return held.join(keyed, "key").where(F.size(F.array_except("rule", "names")) == 0).select("tokens").distinct()
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -85,7 +98,10 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host, path = host_and_path()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rows = rows.select("*", tokens().alias("tokens"))
-    fits = fitting(rows.select("tokens").distinct(), stored(mined(rows, labels))).withColumn("mined", F.lit(True))
+    rules, names = mined(rows, labels)
+    sets = rows.select("tokens").distinct()
+    named = sets.select("tokens", F.explode("tokens").alias("token")).join(names, "token").groupBy("tokens").agg(F.collect_set("name").alias("names"))
+    fits = fitting(named, stored(rules)).withColumn("mined", F.lit(True))
     rows = rows.join(fits, "tokens", "left")
     rule, verdict = _explicit()
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), F.coalesce("mined", F.lit(False)).alias("mined"))

@@ -307,6 +307,40 @@ def test_url_rules_have_no_cap(spark):
     assert [got[len(seen) + i] for i in range(4)] == [True, True, False, False] and len(got) == len(seen) + 4
 
 
+def test_url_rules_of_long_paths(spark):
+    """Words after the sixth are learnt and block, alone and together; repeated long paths do not multiply the sets."""
+    start = "a/b/c/d/e/f/g/h"
+    seen = [(f"http://m.q/{start}/evil/{i}", 0) for i in range(20)] + [(f"http://m.q/{start}/fine/{i}", 1) for i in range(60)]
+    seen += [(f"http://m.q/{start}/red/blue", 0)] * 9 + [(f"http://m.q/{start}/{x}", 1) for x in ("red/x", "y/blue") for _ in range(9)]
+    slug = "/".join(f"s{i}" for i in range(60))
+    seen += [(f"http://m.q/{slug}", 0)] * 10 + [(f"http://m.q/{slug}", 1)]
+    asked = [f"http://n.q/{start}/evil/1", "http://n.q/1/2/3/4/5/6/7/evil", f"http://n.q/{start}/red/1/blue", f"http://n.q/{start}/red", "http://n.q/s59/x", f"http://n.q/{start}"]
+    got = {r["page_id"]: r["mined"] for r in url_filter.judged(*url_tables(spark, seen + [(u, None) for u in asked])).collect()}
+    assert [got[len(seen) + i] for i in range(6)] == [True, True, True, False, True, False]
+
+
+def test_url_rules_against_brute_force(spark):
+    rnd = np.random.default_rng(17)
+    rows = [(sorted(set(rnd.choice(list("abcdefgh"), rnd.integers(1, 7)).tolist())), int(rnd.random() < 0.4)) for _ in range(150)]
+    rows = [(w, 0 if "a" in w and "b" in w and rnd.random() < 0.9 else 0 if "c" in w and "d" in w and "e" in w else q) for w, q in rows]
+    rows = [([*w, "twin"] if "a" in w else w, q) for w, q in rows]
+    sets = [({"h:q", *(f"p:{x}" for x in w)}, q) for w, q in rows]
+    least, rules = max(url_filter.SUPPORT, url_filter.ROWS / len(sets)) * len(sets), []
+    words = sorted(set().union(*(s for s, _ in sets)))
+    for k in range(1, url_filter.MAX_TOKENS + 1):
+        for own in itertools.combinations(words, k):
+            marks = [q for s, q in sets if s >= set(own)]
+            hits = marks.count(0)
+            if hits >= least - 1e-6 and hits >= url_filter.CONFIDENCE * len(marks):
+                rules.append(set(own))
+    asked = [[*c] for k in (1, 2, 3, 4) for c in itertools.combinations([*"abcdefgh", "twin"], k)]
+    urls = [("http://q/" + "/".join(w), q) for w, q in rows] + [("http://q/" + "/".join(w), None) for w in asked]
+    got = {r["page_id"]: r["mined"] for r in url_filter.judged(*url_tables(spark, urls)).collect()}
+    for i, own in enumerate([s for s, _ in sets] + [{"h:q", *(f"p:{x}" for x in w)} for w in asked]):
+        assert got[i] == any(r <= own for r in rules), own
+    assert rules and len(set(got.values())) == 2
+
+
 def test_url_rules_pruned(spark):
     rnd = np.random.default_rng(16)
     sets = sorted({tuple(sorted(rnd.choice(list("abcdefg"), rnd.integers(1, 5), replace=False).tolist())) for _ in range(70)})
