@@ -1,13 +1,16 @@
 """Licence scans by sentence-rule recognition, in DataFrame and SQL functions only.
 
-A text is split into sentences; each is normalised (lower case, runs of other characters to one blank, numbers to #)
-and looked up among known licence sentences. The identifiers that it yields, in order, are matched against the licence
+A text is split into sentences, over the ends of wrapped lines but not over blank lines (or lines of marks only); one
+that is not known as a whole is split at its line ends and looked up in parts. Each is normalised (lower case, runs of other characters to one blank, numbers to #)
+and looked up among known licence sentences, with and without its lead-in ("this project is"). The identifiers that it yields, in order, are matched against the licence
 rules in order: a rule fits where its identifiers follow each other, other sentences between them ignored. Documents
 without a cue word hold no known sentence and are not split. One row is one document's own work: no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +55,37 @@ RULES = [
     ("CC-BY-SA", ["cc_by_sa"]),
     ("CC-BY", ["cc_by"]),
 ]
+GNU = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+LATER = " either version # of the license or at your option any later version"
+ENDORSE = "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Further normalised sentences and the identifiers that they yield; the SQL has only those of SENTENCES.
+WHOLE = {
+    "licensed under the mit license": "mit_notice",
+    "distributed under the mit license": "mit_notice",
+    "available under the mit license": "mit_notice",
+    "licensed under the apache license version # the license": "apache_notice",
+    "licensed under the apache license version # the license you may not use this file except in compliance with the license": "apache_notice,apache_terms",
+    "released under the apache license version #": "apache_notice",
+    "distributed under the apache license version #": "apache_notice",
+    "licensed under the apache license #": "apache_notice",
+    "released under the gnu general public license version #": "gpl_short",
+    "licensed under the gnu general public license v #": "gpl_short",
+    "licensed under the mozilla public license version #": "mpl_notice",
+    "licensed under the mozilla public license v #": "mpl_notice",
+    **{GNU.format(kind) + end: name for kind, name in (("", "gpl_terms"), ("lesser ", "lgpl_terms"), ("library ", "lgpl_terms"), ("affero ", "agpl_terms")) for end in ("", LATER, " version # of the license", " either version # of the license or any later version")},
+    **{ENDORSE.format(who): "bsd_names" for who in ("the copyright holder", "the organization", "the author", "the project", "the university")},
+}
+WHOLE_RULES = [
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
+    *RULES,
+    ("LGPL", ["lgpl_terms"]),
+    ("AGPL", ["agpl_terms"]),
+]
+LEAD = "^(?:this|the|these|our|all)(?: [a-z0-9]+){0,4} (?:is|are)(?: free software| hereby| made)? "
 CUES = ("license", "licensed", "permission", "redistribut", "copyright")
 SPLIT = r"[.!?]+(?:[ \t\r]+|$)|\n+|[.!?]+\n+"
+#: Ends of whole sentences: full stops but that of "v. 2.0", colons at line ends, blank lines.
+ENDS = r"(?<![^a-z0-9]v)[.!?]+[ \t\r\n]+|:[ \t\r]*\n+|\n[^\p{L}\p{N}\n]*\n"
 OTHER, NUMBER = "[^a-z0-9]+", "[0-9]+(?: [0-9]+)*"
 
 
@@ -67,16 +99,23 @@ def license_table(docs: DataFrame) -> DataFrame:
     cue = low.contains(CUES[0])
     for c in CUES[1:]:
         cue = cue | low.contains(c)
-    known = F.from_json(F.lit("{" + ", ".join(f'"{v}": "{k}"' for k, v in SENTENCES.items()) + "}"), "map<string, string>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(cue, F.split(low, SPLIT, -1)).alias("sentences"))
+    known = F.from_json(F.lit(json.dumps({v: k for k, v in SENTENCES.items()} | WHOLE)), "map<string, string>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(cue, F.split(low, ENDS, -1)).alias("sentences"))
+
+    def named(s):
+        plain = F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), NUMBER, "#")
+        return F.coalesce(F.element_at(known, plain), F.element_at(known, F.regexp_replace(plain, LEAD, "")))
 
-    def name(s):
-        return F.element_at(known, F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), NUMBER, "#"))
+    def names(s):
+        whole = named(s)
+        parts = F.filter(F.transform(F.split(s, SPLIT, -1), named), lambda x: x.isNotNull())
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(parts)
 
-    ids = F.filter(F.transform("sentences", name), lambda x: x.isNotNull())
+    # an entry may yield several identifiers
+    ids = F.flatten(F.transform(F.flatten(F.transform("sentences", names)), lambda x: F.split(x, ",")))
     rows = rows.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    fits = [F.when(F.contains(line, F.lit("," + ",".join(seq) + ",")), F.lit(n)) for n, seq in RULES]
+    fits = [F.when(F.contains(line, F.lit("," + ",".join(seq) + ",")), F.lit(n)) for n, seq in WHOLE_RULES]
     rows = rows.select("doc_id", "ids", F.array_distinct(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("all"))
     return rows.select("doc_id", F.when(F.size("all") > 0, F.element_at("all", 1)).alias("license"), F.array_join("all", ",").alias("licenses"), F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_known"))
 

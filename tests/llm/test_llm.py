@@ -249,6 +249,59 @@ def test_licenses(spark):
     assert all(any(c in s for c in licenses.CUES) or s.startswith(("you can", "you may", "this source", "the mit")) for s in licenses.SENTENCES.values())
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_TEXT = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD_TEXT = """Copyright (c) 2021, A. Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+"""
+MPL_TEXT = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_licenses_in_original_texts(spark):
+    lesser = GPL_TEXT.replace("GNU General", "GNU Lesser General").replace("program", "library")
+    rows = [MIT_TEXT, APACHE_TEXT, BSD_TEXT, BSD_TEXT + BSD_NAMES, GPL_TEXT, MPL_TEXT, lesser, "This project is released under the MIT License.", "This project is not released under the MIT License.", MIT_TEXT.replace("\n", "\r\n")]
+    got = {r["doc_id"]: (r["license"], r["sentence_ids"]) for r in licenses.license_table(docs(spark, list(enumerate(rows)))).collect()}
+    assert [got[i][0] for i in range(len(rows))] == ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL", "MPL-2.0", "LGPL", "MIT", None, "MIT"]
+    assert got[0][1] == got[9][1] == "mit_name,mit_grant,mit_keep" and got[1][1] == "apache_notice,apache_terms,apache_copy"
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
