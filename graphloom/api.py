@@ -39,7 +39,7 @@ class Index:
         found = files.config_files(self.spark, f"file://{self.repo}", CONFIGS)
         spaces = files.workspaces(found)
         packages = self.spark.createDataFrame(spaces, "dir string, name string") if spaces else None
-        return build.analyze(files.read_tree(self.spark, f"file://{self.repo}", ignore), packages, files.go_module(found), files.aliases(found))
+        return build.analyze(files.read_tree(self.spark, f"file://{self.repo}", ignore), packages, files.go_module(found), files.aliases(found), files.psr4(found))
 
     def analyze(self, commit: str | None = None) -> dict:
         """Scans, scores and stores the repository as of its head commit."""

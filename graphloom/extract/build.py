@@ -41,7 +41,7 @@ def node_table(found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return n.withColumn("layer", layer(F.col("type"), F.col("language")))
 
 
-def _references(found: DataFrame, go_module: str | None, aliases: list[tuple[str, str]]) -> DataFrame:
+def _references(found: DataFrame, go_module: str | None, aliases: list[tuple[str, str]], psr4: list[tuple[str, str]]) -> DataFrame:
     refs = found.where("what = 'ref'").withColumn("_id", F.monotonically_increasing_id())
     tries = F.coalesce("candidates", F.array().cast("array<string>"))
     for alias, target in aliases:  # path aliases of a script configuration, in order
@@ -59,14 +59,18 @@ def _references(found: DataFrame, go_module: str | None, aliases: list[tuple[str
         local = F.when(F.col("wanted") == go_module, ".").otherwise(F.expr(f"substring(wanted, {len(go_module) + 2})"))
         tries = F.when(inside, F.array(local)).otherwise(tries)
         refs = refs.withColumn("external", F.when(inside, F.lit(None)).otherwise(F.col("external")))
+    if psr4:  # the mapped files of a PHP class come before its namespace read as a path
+        own = F.element_at("candidates", 1)
+        mapped = [F.when(F.startswith(own, F.lit(f"{space}/" if space else "")), F.concat(F.lit(f"{folder}/" if folder else ""), F.substring(own, len(space) + 2 if space else 1, 1_000_000))) for space, folder in psr4]
+        tries = F.when(F.col("wanted").endswith(".php"), F.concat(F.filter(F.array(*mapped), lambda x: x.isNotNull()), tries)).otherwise(tries)
     return refs.withColumn("candidates", tries)
 
 
-def link_table(found: DataFrame, go_module: str | None = None, aliases: list[tuple[str, str]] = ()) -> DataFrame:
+def link_table(found: DataFrame, go_module: str | None = None, aliases: list[tuple[str, str]] = (), psr4: list[tuple[str, str]] = ()) -> DataFrame:
     """(source, target, kind, external, weight) after first-match, suffix, scope and name resolution."""
     nodes = found.where("what = 'node'")
     ids = nodes.select(F.col("name").alias("path")).distinct()
-    refs = stored(_references(found, go_module, list(aliases)))
+    refs = stored(_references(found, go_module, list(aliases), list(psr4)))
     hit = first_match(refs.select("_id", "candidates"), ids, ["_id"]).select("_id", F.col("target").alias("_t1"))
     tail = suffix_match(refs.where("wanted like '%.rb' or wanted like '%.php'").select("_id", "wanted"), ids, ["_id"]).select("_id", F.col("target").alias("_t2"))
     named = nodes.where("doc is not null").groupBy(F.col("doc").alias("wanted")).agg(F.max("name").alias("_t3"))
@@ -93,10 +97,11 @@ def api_links(found: DataFrame) -> DataFrame:
     return matched.where("route_id is not null").select(F.col("call_id.path").alias("source"), F.col("route_id").alias("target")).distinct().select("source", "target", F.lit("api-call").alias("kind"), F.lit(1).cast("long").alias("weight"))
 
 
-def analyze(sources: DataFrame, packages: DataFrame | None = None, go_module: str | None = None, aliases: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
-    """nodes, links and symbols of source files (path, content). packages: (dir, name) of a monorepo's workspaces."""
+def analyze(sources: DataFrame, packages: DataFrame | None = None, go_module: str | None = None, aliases: list[tuple[str, str]] = (), psr4: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+    """nodes, links and symbols of source files (path, content). packages: (dir, name) of a monorepo's workspaces; psr4:
+    (namespace, folder) of PHP."""
     found = facts(sources)
-    inside, links = node_table(found), stored(link_table(found, go_module, aliases))
+    inside, links = node_table(found), stored(link_table(found, go_module, aliases, psr4))
     outside = links.where("external").select(F.col("target").alias("id")).distinct().join(inside.select("id"), "id", "left_anti")
     hashes = sources.select(F.col("path").alias("id"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.length("content").cast("long").alias("size"))
     own = inside.join(hashes, "id", "left")

@@ -73,6 +73,21 @@ def aliases(found: dict[str, str]) -> list[tuple[str, str]]:
     return out
 
 
+def psr4(found: dict[str, str]) -> list[tuple[str, str]]:
+    """(namespace with / at its inner joints, folder) of the root composer.json, in order; the empty namespace is last."""
+    out = []
+    data = _json(found.get("composer.json", ""))
+    for section in ("autoload", "autoload-dev"):
+        part = data.get(section)
+        spaces = part.get("psr-4") if isinstance(part, dict) else None
+        for space, folders in (spaces if isinstance(spaces, dict) else {}).items():
+            for f in folders if isinstance(folders, list) else [folders]:
+                if isinstance(f, str):
+                    f = posixpath.normpath(f or ".")
+                    out.append((space.strip("\\").replace("\\", "/"), "" if f == "." else f))
+    return sorted(out, key=lambda x: x[0] == "")
+
+
 def framework(found: dict[str, str]) -> str | None:
     deps: set[str] = set()
     for p, text in found.items():

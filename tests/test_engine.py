@@ -239,3 +239,17 @@ def test_debounce_batch_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert {r["events"] for r in spark.table("fired").collect()} == {1, 2}
     assert watched(spark.createDataFrame([("a.py",), ("b.css",)], "path string")).count() == 1
+
+
+def test_psr4(spark, tmp_path):
+    from graphloom.api import Index
+
+    (tmp_path / "composer.json").write_text(json.dumps({"autoload": {"psr-4": {"App\\": "app/", "": "lib"}}, "autoload-dev": {"psr-4": {"App\\Tests\\": ["none", "./tests/"]}}}))
+    texts = {"index.php": "<?php\nuse App\\Models\\User;\nuse App\\Tests\\Case;\nuse Old\\Thing;\n"}
+    for path in ["app/Models/User.php", "aaa/User.php", "tests/Case.php", "aaa/Case.php", "lib/Old/Thing.php", "aaa/Thing.php"]:
+        texts[path] = "<?php\n"
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = {(r["source"], r["target"]) for r in Index(spark, str(tmp_path)).graph()["links"].collect()}
+    assert got == {("index.php", t) for t in ("app/Models/User.php", "tests/Case.php", "lib/Old/Thing.php")}
