@@ -1,13 +1,18 @@
-"""Exact token counts by a compiled finite-state transducer.
-
-The pre-tokenizer of the byte-level vocabulary is compiled to a deterministic transducer of 8 states over
-9 symbols (a character's class with one character of lookahead). Each transition says whether a piece ends
-before the character. An arc for a finished piece carries the number of tokens that the piece emits; arcs are
-determinised on demand by running the merges once, and kept in a bounded table (the merges themselves run in tiktoken's core).
-
-Text is cut into chunks of equal length whatever its word borders. A chunk is a map from entry state to exit
-state; these maps compose associatively, so a parallel prefix scan over them gives every chunk's entry state,
-and all chunks then run in lockstep to mark the piece ends.
+"""Exact token counts by a compiled finite-state tokenizer.
+
+Two deterministic transducers run one after the other. The first is the pre-tokenizer of the byte-level vocabulary: 8
+states over 9 symbols (a character's class with one character of lookahead); each transition says whether a piece
+begins at the character. Text is cut into chunks of equal length whatever its word borders. A chunk is a map from entry
+state to exit state; these maps compose associatively, so a parallel prefix scan over them gives every chunk's entry
+state, and all chunks then run in lockstep to mark where pieces begin.
+
+The second compiles the merges: it reads the bytes of a piece, and every transition carries the number of tokens that it
+emits (the count of the prefix read so far may also fall, by a negative number). A prefix has exactly one last token: the
+one that fits the last token of the shorter prefix before it, where two tokens fit if no merge joins their ends before
+each is complete. A state is what later bytes can still depend on: for every start of a possible further token its
+place in the vocabulary's trie, the token before it and the count there. States and transitions are determinised when
+first met and kept in a bounded hash table. At the first byte of a piece the state is START whatever came before, so
+the map of a chunk that begins there is constant: all chunks run in lockstep and their counts add up.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from .common import _CLEAR, claim, ship
 
 L, N, O, A2, A3, SP, WS, WW, END = range(9)
 START, IN_L, IN_N, IN_O, SPACE, IN_W, ONE, TWO = range(8)
-CHUNK, PART_CHARS = 256, 2_000_000
+CHUNK, PART_CHARS = 256, 1_500_000
 #: What may follow an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
@@ -49,39 +54,169 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
 NEXT, CUT = transducer()
 
 
-def arcs(model: dict):
-    """A function from a piece's bytes to its tokens, for the merges of a tokenizers JSON file."""
-    import tiktoken
-
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
-    letters = sorted(byte, key=lambda c: model["vocab"][c])
-    ranks = {bytes(byte[c] for c in token): i for i, token in enumerate(dict.fromkeys([*letters, *merges]))}
-    return tiktoken.Encoding("merges", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-
-class Counter(dict):
-    """piece -> tokens; the compiled arcs, at most `limit` of them."""
-
-    def __init__(self, path: str, limit: int = 500_000):
+class Merges:
+    """Transducer over bytes for the merges of a tokenizers JSON file; states and transitions are made on demand."""
+
+    def __init__(self, model: dict, limit: int = 600_000):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(shown)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        number = {c: i for i, c in enumerate(byte)}
+        self.rank: dict[tuple[int, int], int] = {}
+        left, right, self.born, spelled = [-1] * 256, [-1] * 256, [-1] * 256, list(byte)
+        for r, (a, b) in enumerate(pairs):
+            x, y = number[a], number[b]
+            if a + b not in number:
+                number[a + b] = len(left)
+                left.append(x)
+                right.append(y)
+                self.born.append(r)
+                spelled.append(a + b)
+            self.rank.setdefault((x, y), r)
+        self.left, self.right = left, right
+        self.child: list[dict[int, int]] = [{}]
+        self.token = [-1]
+        for t, text in enumerate(spelled):
+            node = 0
+            for c in text:
+                nxt = self.child[node].get(byte[c])
+                if nxt is None:
+                    nxt = self.child[node][byte[c]] = len(self.child)
+                    self.child.append({})
+                    self.token.append(-1)
+                node = nxt
+            self.token[node] = t
+        self.limit, self.size = limit, 1 << 21
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.fits.clear()
+        self.states: dict[tuple, int] = {((0, -1, 0),): 0}
+        self.known: list[tuple] = [((0, -1, 0),)]
+        self.keys = np.full(self.size, -1, np.int64)
+        self.to = np.zeros(self.size, np.int32)
+        self.emits = np.zeros(self.size, np.int16)
+        self.used = 0
+
+    def _ends(self, token: int, side: list[int]) -> list[tuple[int, float]]:
+        """Tokens along one end of a token's merge tree, each with the rank at which a merge uses it up."""
+        out, end = [], float("inf")
+        while token >= 0:
+            out.append((token, end))
+            end, token = self.born[token], side[token]
+        return out
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether a and b stay apart: no merge of an end of a with an end of b comes while both are there. Of two
+        equal merges the one further left comes first."""
+        got = self.fits.get((a, b))
+        if got is None:
+            ours = self._ends(b, self.left)
+            got = not any(x_end > r and y_end >= r for x, x_end in self._ends(a, self.right) for y, y_end in ours if (r := self.rank.get((x, y))) is not None)
+            self.fits[a, b] = got
+        return got
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state and emitted tokens."""
+        open_, last, count = [], -1, 0
+        for node, before, had in self.known[state]:
+            nxt = self.child[node].get(byte)
+            if nxt is None:
+                continue
+            t = self.token[nxt]
+            if t >= 0 and (before < 0 or self.fit(before, t)):
+                last, count = t, had + 1
+            if self.child[nxt]:
+                open_.append((nxt, before, had))
+        entry = (*((n, b, h - count) for n, b, h in open_), (0, last, 0))
+        to = self.states.get(entry)
+        if to is None:
+            to = self.states[entry] = len(self.known)
+            self.known.append(entry)
+        return to, count
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+    def _learn(self, keys: np.ndarray) -> None:
+        for key in np.unique(keys).tolist():
+            to, count = self.step(key >> 8, key & 255)
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & (self.size - 1)
+            self.keys[at], self.to[at], self.emits[at] = key, to, count
+            self.used += 1
+
+    def move(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state.astype(np.int64) << 8 | byte
+        at = self._slot(key)
+        got = self.keys[at]
+        off = np.flatnonzero(got != key)
+        while len(off):
+            new = off[got[off] < 0]
+            if len(new):
+                self._learn(key[new])
+                at[new] = self._slot(key[new])
+                off = np.union1d(new, np.setdiff1d(off, new, assume_unique=True))
+                got[new] = self.keys[at[new]]
+                off = off[got[off] != key[off]]
+                if not len(off):
+                    break
+            at[off] = (at[off] + 1) & (self.size - 1)
+            got[off] = self.keys[at[off]]
+            off = off[got[off] != key[off]]
+        return self.to[at], self.emits[at]
+
+    def counts(self, raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Tokens that each byte emits; begin: where pieces begin, 0 first. The bytes run in lockstep as chunks of about
+        CHUNK bytes, each from the begin of a piece."""
+        out = np.zeros(len(raw), np.int16)
+        if self.used > self.limit or len(self.known) > self.limit:
+            self.reset()
+        first = begin[np.unique(np.searchsorted(begin, np.arange(0, len(raw), CHUNK)).clip(max=len(begin) - 1))]
+        size = np.diff(np.append(first, len(raw)))
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        fresh = np.zeros(len(raw), bool)
+        fresh[begin] = True
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left").tolist()
+        state = np.zeros(len(first), np.int32)
+        for k, m in enumerate(live):
+            if m < 8:  # what is left of a few long pieces
+                self._singly(raw, fresh, first[:m] + k, first[:m] + size[:m], state[:m], out)
+                break
+            at = first[:m] + k
+            now = state[:m]
+            now[fresh[at]] = 0
+            state[:m], out[at] = self.move(now, raw[at])
+        return out
+
+    def _singly(self, raw, fresh, start, stop, state, out) -> None:
+        for a, z, s in zip(start.tolist(), stop.tolist(), state.tolist(), strict=True):
+            memo: dict[tuple[int, int], tuple[int, int]] = {}
+            for i, (byte, new) in enumerate(zip(raw[a:z].tolist(), fresh[a:z].tolist(), strict=True), a):
+                key = (0 if new else s, byte)
+                got = memo.get(key)
+                if got is None:
+                    got = memo[key] = self.step(*key)
+                s, out[i] = got
+
+
+class Counter:
+    """Tokens of texts by both transducers."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokens, self.limit = arcs(spec["model"]), limit
+        self.merges = Merges(spec["model"])
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str  # for the classes of characters
         self.classes = np.full(0x110000, 255, np.uint8)
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.tokens(piece.encode()))
-        if len(self) < self.limit:
-            self[piece] = n
-        return n
-
     def _class(self, char: str) -> int:
         """Class of a character as the library's own pre-tokenizer treats it: which runs it joins."""
         for sym, probe in ((L, "a"), (N, "1"), (O, "!")):
@@ -139,12 +274,13 @@ class Counter(dict):
         text = "\n".join(segments) + "\n"
         border = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1) - 1
         begin = self.ends(self.symbols(text, border))
-        stop = np.append(begin[1:], len(text))
-        real = np.ones(len(begin), bool)
-        real[np.searchsorted(begin, border)] = False
-        begin, stop = begin[real], stop[real]
-        counts = np.fromiter((self[text[a:b]] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64, len(begin))
-        np.add.at(total, np.asarray(owner, np.int64)[np.searchsorted(border, begin)], counts)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        place = np.cumsum(width) - width
+        emitted = self.merges.counts(np.frombuffer(text.encode(), np.uint8), place[begin])
+        emitted[place[border]] = 0
+        own = np.add.reduceat(emitted.astype(np.int64), np.concatenate([[0], place[border[:-1]] + 1]))
+        np.add.at(total, np.asarray(owner, np.int64), own)
         return total
 
 
