@@ -4,14 +4,17 @@ Symbols of the model are the HEAD most frequent training words, TAIL classes of
 two bytes) and one end symbol. Emission of a word of class g in state s is b_s(g) * (c + 0.1) / Z_g with its own
 training count c, so probabilities of texts are proper over an open vocabulary.
 
-Training: the states start from EM on a bounded sample of windows (SAMPLE of WINDOW symbols); one Baum-Welch pass
-over every training document then adds up expected counts within partitions, partitions' sums meet in PARTS
-pieces on the executors, and the model is re-estimated from those. Scoring: the scaled forward recursion over
-each whole text gives its exact likelihood.
-
-Counts of all words: head counts are summed with the Baum-Welch pass. Tail words go, as packed arrays of
-(hash, document, times), to hash buckets; a bucket holds all occurrences of its words, so it counts them and
-sends each batch of documents its sum of log10(c + 0.1). Frequent words never travel, so no bucket is hot.
+Training: states start from EM on a bounded sample (SAMPLE windows of WINDOW symbols). Then come Baum-Welch passes, each
+over all training documents: partitions add up expected counts of whole sequences, their sums meet in pieces on the
+executors, and the model is re-estimated. Passes end when the log-likelihood per token improves by less than CONVERGED
+of itself, after MOST_PASSES at the latest. Sequences longer than SEGMENT run as segments side by side: products of a
+segment's transition matrices carry the forward and backward messages across its ends, so the counts are those of the
+whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood.
+
+Counts of all words: head counts are summed with the last Baum-Welch pass. Tail words go, as packed arrays of
+(hash, document, times), to hash buckets of about BUCKET_BYTES; a bucket holds all occurrences of its words, so it counts
+them and sends each batch of documents its sum of log10(c + 0.1). Frequent words never travel, so no bucket is hot. Which
+words are frequent enough for the head is decided by counts that may miss rare words; every reported count is exact.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import batch_words, claim, hash_words, ship, stored
 from .ngram_join import by_group
+from .sums import combined, pieces, summed
 
 HEAD, TAIL, STATES = 8192, 16, 8
 WINDOW, SAMPLE, SAMPLE_DOCS, SAMPLE_STEPS = 128, 6000, 3000, 20
-PARTS, PASSES, SMOOTH = 16, 1, 0.02
-LOCAL_TOP, SLICE = 12_000, 8_000_000
+SEGMENT, LONG, MOST_PASSES, CONVERGED, SMOOTH = 1024, 2048, 5, 0.002, 0.02
+LOCAL_TOP, SLICE, BUCKET_BYTES = 12_000, 3_000_000, 8_000_000
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
 META = np.dtype([("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("logs", "<f8"), ("forward", "<f8"), ("tail", "<i4", (TAIL,))])
@@ -44,7 +48,7 @@ def tail_class(word: bytes) -> int:
 class Symbols(dict):
     """word -> symbol; words outside the head get HEAD + their tail class. At most `limit` words are kept."""
 
-    def __init__(self, head: list[bytes], limit: int = 300_000):
+    def __init__(self, head: list[bytes], limit: int = 150_000):
         super().__init__((w, i) for i, w in enumerate(head))
         self.limit = limit + len(head)
 
@@ -67,52 +71,139 @@ class Model:
         self.start, self.move = start.astype(np.float64), move.astype(np.float64)
         self.emit = np.ascontiguousarray(emit.T.astype(np.float64))  # symbol, state
 
+    def matrices(self, flat: np.ndarray, first: np.ndarray, n: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment the product over its symbols of move * emission, scaled to sum 1, and the logarithm of the
+        scale. In segments that open a sequence (opens) every row is the forward vector from the start."""
+        order = np.argsort(-n, kind="stable")
+        first, n, opens = first[order], n[order], opens[order]
+        live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+        p = np.broadcast_to(np.eye(STATES), (len(n), STATES, STATES)).copy()
+        logs = np.zeros(len(n))
+        for t, m in enumerate(live.tolist()):
+            own = (p[:m].reshape(-1, STATES) @ self.move).reshape(m, STATES, STATES)
+            if t == 0:
+                own[opens[:m]] = self.start
+            own *= self.emit[flat[first[:m] + t]][:, None, :]
+            if t % 8 == 7 or t + 1 == len(live) or live[t + 1] < m:
+                c = own.sum((1, 2))
+                own /= c[:, None, None]
+                logs[:m] += np.log(c)
+            p[:m] = own
+        back, out = np.empty_like(p), np.empty_like(logs)
+        back[order], out[order] = p, logs
+        return back, out
+
     def forward(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Natural-log likelihood of every sequence: the scaled forward recursion, all sequences in lockstep."""
-        order = np.argsort(-sizes, kind="stable")
+        """Natural-log likelihood of every sequence: the scaled forward recursion, all sequences in lockstep; those of
+        more than LONG symbols as products of segments."""
+        out = np.zeros(len(sizes))
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            first, n, rank, base = segments(starts[long], sizes[long])
+            p, logs = self.matrices(flat, first, n, rank == 0)
+            a, last = p[base, 0], np.diff(np.append(base, len(n)))
+            scale = a.sum(1)
+            out[long] = np.add.reduceat(logs, base) + np.log(scale)
+            a = a / scale[:, None]
+            for r in range(1, int(last.max())):
+                own = np.flatnonzero(last > r)
+                a[own] = np.einsum("ds,dst->dt", a[own], p[base[own] + r])
+                c = a[own].sum(1)
+                a[own] /= c[:, None]
+                out[long[own]] += np.log(c)
+        short = np.flatnonzero(sizes <= LONG)
+        order = short[np.argsort(-sizes[short], kind="stable")]
         at, left = starts[order], sizes[order]
-        out = np.zeros(len(order))
         live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
-        a = None
+        a, total = None, np.zeros(len(order))
         for t, m in enumerate(live.tolist()):
-            b = self.emit[flat[at[:m] + t]]
-            a = (self.start if t == 0 else a[:m] @ self.move) * b
+            a = (self.start if t == 0 else a[:m] @ self.move) * self.emit[flat[at[:m] + t]]
             c = a.sum(1)
             a /= c[:, None]
-            out[:m] += np.log(c)
-        back = np.empty_like(out)
-        back[order] = out
-        return back
-
-    def expect(self, grid: np.ndarray, sizes: np.ndarray, into: dict) -> None:
-        """Adds the expected counts of windows (columns of grid, sorted by falling size) to into."""
-        steps, lanes = grid.shape
-        live = np.searchsorted(-sizes, -np.arange(steps), side="left")
-        alpha = np.zeros((steps, lanes, STATES))
-        scale = np.ones((steps, lanes))
-        for t in range(steps):
-            m = live[t]
-            a = (self.start if t == 0 else alpha[t - 1, :m] @ self.move) * self.emit[grid[t, :m]]
-            scale[t, :m] = a.sum(1)
-            alpha[t, :m] = a / scale[t, :m, None]
-        beta = np.ones((lanes, STATES))
-        for t in range(steps - 1, -1, -1):
+            total[:m] += np.log(c)
+        out[order] = total
+        return out
+
+    def _messages(self, flat: np.ndarray, first: np.ndarray, n: np.ndarray, rank: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State distribution before each segment (of the ranks above 0) and backward vector after it."""
+        before, after = np.zeros((len(n), STATES)), np.ones((len(n), STATES))
+        count = np.diff(np.append(base, len(n)))
+        many = np.repeat(count > 1, count)
+        if not many.any():
+            return before, after
+        own = np.flatnonzero(many)
+        place = np.full(len(n), -1)
+        place[own] = np.arange(len(own))
+        p, _ = self.matrices(flat, first[own], n[own], rank[own] == 0)
+        most = int(count.max())
+        for r in range(1, most):
+            k = base[count > r] + r
+            a = p[place[k - 1], 0] if r == 1 else np.einsum("ds,dst->dt", before[k - 1], p[place[k - 1]])
+            before[k] = a / a.sum(1, keepdims=True)
+        for r in range(most - 2, -1, -1):
+            k = base[count > r + 1] + r
+            b = np.einsum("dst,dt->ds", p[place[k + 1]], after[k + 1])
+            after[k] = b / b.sum(1, keepdims=True)
+        return before, after
+
+    def expect(self, flat: np.ndarray, sizes: np.ndarray, into: dict) -> None:
+        """Adds the expected counts of whole sequences, laid end to end, to into."""
+        first, n, rank, base = segments(np.cumsum(sizes) - sizes, sizes)
+        if not len(n):
+            return
+        before, after = self._messages(flat, first, n, rank, base)
+        order = np.argsort(-n, kind="stable")
+        first, n, inner = first[order], n[order], rank[order] > 0
+        before, beta = before[order], after[order]
+        live = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()
+        symbols, alpha, inverse, like = [], [], [], 0.0
+        a = np.where(inner[:, None], before @ self.move, self.start)
+        for t, m in enumerate(live):
+            x = flat.take(first[:m] + t)
+            a = (a if t == 0 else a[:m] @ self.move) * self.emit.take(x, 0)
+            c = 1 / a.sum(1)
+            a *= c[:, None]
+            like -= np.log(c).sum()
+            symbols.append(x)
+            alpha.append(a)
+            inverse.append(c)
+        into["like"] += like
+        ends = np.empty_like(beta)
+        for t, m in enumerate(live):
+            stop = live[t + 1] if t + 1 < len(live) else 0
+            ends[stop:m] = alpha[t][stop:m]
+        beta /= (ends * beta).sum(1, keepdims=True)
+        moves = np.zeros((STATES, STATES))
+        for t in range(len(live) - 1, -1, -1):
             m = live[t]
-            if t + 1 < steps and (k := live[t + 1]):
-                nxt = self.emit[grid[t + 1, :k]] * beta[:k] / scale[t + 1, :k, None]
-                into["move"] += self.move * (alpha[t, :k].T @ nxt)
-                beta[:k] = nxt @ self.move.T
-            alpha[t, :m] *= beta[:m]
-        into["start"] += alpha[0].sum(0)
-        real = np.arange(steps)[:, None] < sizes[None, :]
-        symbols, gamma = grid[real], alpha[real]
+            b = beta[:m]
+            g = self.emit.take(symbols[t], 0) * b
+            g *= inverse[t][:, None]
+            alpha[t] *= b
+            if t:
+                moves += alpha[t - 1][:m].T @ g
+                np.matmul(g, self.move.T, out=b)
+            else:
+                moves += before[inner].T @ g[inner]
+        into["move"] += self.move * moves
+        into["start"] += alpha[0][~inner].sum(0)
+        x, gamma = np.concatenate(symbols), np.concatenate(alpha)
         for s in range(STATES):
-            into["emit"][s] += np.bincount(symbols, weights=gamma[:, s], minlength=ALL)
-        into["seen"] += np.bincount(symbols, minlength=ALL)
+            into["emit"][s] += np.bincount(x, weights=gamma[:, s], minlength=ALL)
+        into["seen"] += np.bincount(x, minlength=ALL)
+
+
+def segments(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First symbol, length and rank in its sequence of every segment; first segment of every sequence."""
+    per = -(-sizes // SEGMENT)
+    base = np.cumsum(per) - per
+    rank = np.arange(per.sum()) - np.repeat(base, per)
+    first = np.repeat(starts, per) + SEGMENT * rank
+    return first, np.minimum(SEGMENT, np.repeat(starts + sizes, per) - first), rank, base
 
 
 def blank() -> dict:
-    return {"emit": np.zeros((STATES, ALL)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES), "seen": np.zeros(ALL)}
+    return {"emit": np.zeros((STATES, ALL)), "move": np.zeros((STATES, STATES)), "start": np.zeros(STATES), "seen": np.zeros(ALL), "like": np.zeros(1)}
 
 
 def estimate(x: dict) -> Model:
@@ -122,18 +213,6 @@ def estimate(x: dict) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences laid end to end, cut into columns of at most WINDOW symbols, longest first."""
-    per = -(-sizes // WINDOW)
-    first = np.repeat(np.cumsum(sizes) - sizes, per) + WINDOW * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-    stop = np.minimum(first + WINDOW, np.repeat(np.cumsum(sizes), per))
-    n = stop - first
-    order = np.argsort(-n, kind="stable")
-    first, n = first[order], n[order]
-    at = np.minimum(first[None, :] + np.arange(WINDOW)[:, None], len(flat) - 1)
-    return flat[at], n
-
-
 def _sequences(texts: list[bytes], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of texts, end symbol included, laid end to end; one text's words are held at a time."""
     stop, parts, sizes = np.array([END], np.int32), [], []
@@ -157,26 +236,30 @@ def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("none")
     seen: Counter = Counter()
     for b in batches:
-        for part in _slices(batch_words(b.column("text")), 4_000_000):
+        for part in _slices(batch_words(b.column("text")), 1_000_000):
             for t in part:
                 seen.update(t.lower().split())
-            if len(seen) > 400_000:  # lossy counting: only the ranking of frequent words is wanted
+            if len(seen) > 250_000:  # lossy counting: only the ranking of frequent words is wanted
                 seen = Counter({w: c for w, c in seen.items() if c > 2})
-                if len(seen) > 300_000:
-                    seen = Counter(dict(seen.most_common(100_000)))
+                if len(seen) > 150_000:
+                    seen = Counter(dict(seen.most_common(60_000)))
     top = seen.most_common(LOCAL_TOP)
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "c"])
 
 
 def _sampled(head: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("none")
         symbols = Symbols(head)
         for b in batches:
-            for part in _slices(batch_words(b.column("text")), 4_000_000):
-                grid, n = windows(*_sequences(part, symbols))
-                yield pa.RecordBatch.from_arrays([pa.array([grid[:k, i].tobytes() for i, k in enumerate(n)], pa.binary())], ["w"])
+            for part in _slices(batch_words(b.column("text")), SLICE):
+                flat, sizes = _sequences(part, symbols)
+                stop = np.cumsum(sizes).tolist()
+                cut = [flat[at : min(at + WINDOW, z)].tobytes() for a, z in zip([0, *stop[:-1]], stop, strict=True) for at in range(a, z, WINDOW)]
+                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["w"])
 
     return run
 
@@ -186,35 +269,18 @@ def _expected(head: list[bytes], model: Model):
         claim("none")
         symbols, into = Symbols(head), blank()
         for b in batches:
-            for part in _slices(batch_words(b.column("text")), 2_500_000):
-                model.expect(*windows(*_sequences(part, symbols)), into)
-        flat = np.concatenate([into[k].ravel() for k in ("emit", "move", "start", "seen")]).astype("<f8")
-        pieces = np.array_split(flat, PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "v"])
+            for part in _slices(batch_words(b.column("text")), SLICE):
+                model.expect(*_sequences(part, symbols), into)
+        yield pieces(np.concatenate([into[k].ravel() for k in into]))
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, v in zip(b.column("part").to_pylist(), b.column("v").to_pylist(), strict=True):
-            x = np.frombuffer(v, "<f8")
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "v"])
-
-
-def _combined(rows: list) -> dict:
-    parts: dict[int, np.ndarray] = {}
-    for r in rows:
-        x = np.frombuffer(bytes(r["v"]), "<f8")
-        parts[r["part"]] = parts[r["part"]] + x if r["part"] in parts else x
-    out = blank()
-    if parts:
-        flat, at = np.concatenate([parts[p] for p in range(PARTS)]), 0
-        for k in ("emit", "move", "start", "seen"):
-            out[k] = flat[at : at + out[k].size].reshape(out[k].shape)
-            at += out[k].size
+def _split(flat: np.ndarray) -> dict:
+    out, at = blank(), 0
+    for k, v in out.items():
+        out[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
     return out
 
 
@@ -328,24 +394,25 @@ def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
     got = some.mapInArrow(_sampled(head), "w binary").orderBy(F.xxhash64("w"), "w").limit(SAMPLE).collect()
     rng = np.random.default_rng(7)
     init = blank()
-    lists = sorted((np.frombuffer(bytes(r["w"]), np.int32) for r in got), key=len, reverse=True)
+    lists = [np.frombuffer(bytes(r["w"]), np.int32) for r in got]
     if lists:
-        grid = np.zeros((WINDOW, len(lists)), np.int32)
-        for i, x in enumerate(lists):
-            grid[: len(x), i] = x
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        init["seen"] = np.bincount(np.concatenate(lists), minlength=ALL).astype(float)
+        flat, sizes = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+        init["seen"] = np.bincount(flat, minlength=ALL).astype(float)
         init["emit"] = init["seen"] * rng.gamma(1.0, 1.0, (STATES, ALL))
         init["move"] = np.eye(STATES) * 5.0 * len(lists) + len(lists)
         for _ in range(SAMPLE_STEPS):
             model, now = estimate(init), blank()
-            model.expect(grid, sizes, now)
+            model.expect(flat, sizes, now)
             init = now
-    model, sums = estimate(init), blank()
-    for _ in range(PASSES):
-        rows = learn.mapInArrow(_expected(head, model), "part int, v binary").repartition(PARTS, "part").mapInArrow(_summed, "part int, v binary").collect()
-        sums = _combined(rows)
+    model, sums, last = estimate(init), blank(), None
+    size = sum(v.size for v in sums.values())
+    for _ in range(MOST_PASSES):
+        sums = _split(combined(summed(learn.mapInArrow(_expected(head, model), "part int, v binary")), size))
         model = estimate(sums)
+        like = float(sums["like"][0]) / max(1.0, float(sums["seen"].sum()))
+        if last is not None and like - last < CONVERGED * abs(last):
+            break
+        last = like
     return head, model, sums["seen"]
 
 
@@ -359,10 +426,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
     head, model, seen = train(docs.where("not held").select("text"))
-    buckets = max(16, 2 * docs.rdd.getNumPartitions())
+    tails = float(seen[HEAD:END].sum()) * 10 / 9  # tokens outside the head, those held out included
+    buckets = max(16, int(tails * ENTRY.itemsize) // BUCKET_BYTES)
     sent = stored(docs.mapInArrow(_scored(head, model, seen, buckets), "batch long, bucket int, ids array<long>, blob binary"))
-    tails = sent.where("bucket >= 0").select("bucket", "batch", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = stored(tails.mapInArrow(_counted, "batch long, blob binary"))
+    entries = sent.where("bucket >= 0").select("bucket", "batch", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = stored(entries.mapInArrow(_counted, "batch long, blob binary"))
     rows = answers.where("batch < 0").select("blob").collect()  # one short row for each bucket
     t = sum((np.frombuffer(bytes(r["blob"]), "<f8") for r in rows), np.zeros(2 * TAIL))
     own = np.delete(seen, np.arange(HEAD, END))
