@@ -2,8 +2,9 @@
 
 Every line is good or bad. A line's features are its own shape and those of its two neighbours; transitions tie
 neighbouring labels. Forward-backward marginals of "good", weighted by line length, average to the document's
-score. The field is fitted by gradient ascent on a bounded sample of labelled documents (FIT_DOCS documents, the
-first FIT_LINES lines of each), all of whose lines carry the document's label. Scoring covers every line.
+score. The field is fitted by gradient ascent on a bounded sample of labelled rows: whole documents in the order of a
+hash, at most FIT_DOCS of them with at most FIT_TOTAL lines together; one that no longer fits is passed over. All lines
+of a document carry its label. Scoring covers every line.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, claim, hash_words, ship
+from .common import batch_words, claim, hash_words, ship, stored
 
-FIT_DOCS, FIT_LINES, FIT_STEPS, RIDGE = 6000, 100, 160, 1e-3
+FIT_DOCS, FIT_TOTAL, FIT_STEPS, RIDGE = 6000, 100_000, 160, 1e-3
+SLICE = 1_000_000  #: bytes of text whose features are held at a time
 OWN = 14
 WIDTH = 3 * OWN + 3
 
@@ -163,11 +165,14 @@ def fit(x: np.ndarray, per: np.ndarray, label: np.ndarray) -> Field:
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words")
     for b in batches:
-        x, per, _ = features(batch_words(b.column("text")))
-        first = np.cumsum(per) - per
-        blobs = [x[f : f + min(n, FIT_LINES)].astype("<f4").tobytes() for f, n in zip(first.tolist(), per.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(blobs, pa.binary())], ["quality", "x"])
+        texts = batch_words(b.column("text"))
+        for lo, hi in _slices(texts):
+            x, per, _ = features(texts[lo:hi])
+            first = np.cumsum(per) - per
+            blobs = [x[f : f + n].astype("<f4").tobytes() for f, n in zip(first.tolist(), per.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("h").slice(lo, hi - lo), b.column("quality").slice(lo, hi - lo), pa.array(per), pa.array(blobs, pa.binary())], ["h", "quality", "lines", "x"])
 
 
 def held_out(col: str = "doc_id"):
@@ -178,9 +183,15 @@ def trained(docs: DataFrame, labels: DataFrame) -> Field:
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
     some = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("text", "quality")
-    rows = texts.mapInArrow(_fit_rows, "quality int, x binary").limit(2 * FIT_DOCS).collect()
-    rows.sort(key=lambda r: (r["quality"], bytes(r["x"])))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "quality")
+    rows = stored(texts.mapInArrow(_fit_rows, "h long, quality int, lines long, x binary"))
+    lines, chosen = 0, []
+    for r in rows.groupBy("h").agg(F.min("lines").alias("lines")).orderBy("h").limit(FIT_DOCS).collect():  # a repeated row teaches once
+        if lines + r["lines"] <= FIT_TOTAL:
+            chosen.append((r["h"],))
+            lines += r["lines"]
+    wanted = docs.sparkSession.createDataFrame(chosen, "h long")
+    rows = rows.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("h").collect()
     if not rows:
         return Field(np.zeros(WIDTH), np.zeros((2, 2)), np.zeros(WIDTH), np.ones(WIDTH))
     parts = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH) for r in rows]
@@ -191,7 +202,7 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts, 1):
         size += len(t)
-        if size > 4_000_000 or i == len(texts):
+        if size > SLICE or i == len(texts):
             yield lo, i
             lo, size = i, 0
 
@@ -221,7 +232,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, whole, that the classifier does not reject."""
+    """The rows of docs, whole, whose score is 0.5 or more. Null and empty texts are one empty line; null ids, repeated
+    rows and columns of any name are kept as they are; an empty table gives an empty result."""
     field = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
