@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import shutil
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,10 +13,12 @@ from pathlib import Path
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-ARROW_BYTES = str(16 << 20)  #: rows that a Python worker gets at once; long documents count by their bytes
+ARROW_BYTES = str(4 << 20)  #: rows that a Python worker gets at once; long documents count by their bytes
+BROADCAST_ROWS = 250_000  #: a counted table of a few longs a row is broadcast up to so many rows (about 25 MB)
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +42,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is named (tests)."""
+    """The shared folder of the cluster. Without one a single machine uses a folder of its own; a cluster may not."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp()}"
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -54,12 +57,27 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_local(path: str) -> None:
-    if os.path.isdir(path):
-        shutil.rmtree(path, ignore_errors=True)
+def written() -> int:
+    """A mark for dropped(): how many tables stored() has written so far."""
+    return len(_WRITTEN)
+
+
+def dropped(spark: SparkSession, start: int, stop: int) -> None:
+    """Deletes the tables that stored() wrote between two marks; nothing may read them any more."""
+    for i in range(start, stop):
+        if _WRITTEN[i]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN[i])
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _WRITTEN[i] = ""
+
+
+def held(table_: DataFrame) -> DataFrame:
+    """A stored table of a few longs a row, with a broadcast hint if a count shows that it is small."""
+    return F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_
 
 
 def batch_words(column) -> list[bytes]:
@@ -70,21 +88,35 @@ def batch_words(column) -> list[bytes]:
 
 
 _CLEAR: dict[str, object] = {}
+TRIM, MMAP, ARENAS = -1, -3, -8  #: fixed values: options of the C library's mallopt
 
 
 def claim(owner: str) -> None:
-    """Empties the word tables of other operators in this Python worker, which Spark may use for many stages."""
+    """Empties the word tables of other operators in this Python worker, which Spark may use for many stages, and gives
+    free memory back. From then on arrays of a megabyte or more are mapped on their own, so that they go back too."""
+    import pyarrow as pa
+
     for name, clear in list(_CLEAR.items()):
         if name != owner:
             clear()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
-        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has these
+        c = ctypes.CDLL(None)
+        c.mallopt(MMAP, 1 << 20)
+        c.mallopt(TRIM, 1 << 20)
+        c.mallopt(ARENAS, 1)
+        c.malloc_trim(0)
+    if not _POOL:
+        pa.set_memory_pool(pa.system_memory_pool())
+        _POOL.append(True)
+
+
+_POOL: list[bool] = []
 
 
 class HashCache(dict):
     """word -> 64-bit hash; holds at most `limit` words, so its memory is bounded whatever the corpus."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, held, stored, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -14,14 +14,16 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    """(w, m): the smallest neighbour of every node. It is written and, if few, broadcast: a node with very many edges
+    then stays spread over the tasks that hold them, and beyond that both sides are plain tables whose hot keys can be split."""
+    return held(stored(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))))
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both).select("w", F.least("w", "m").alias("m"))
-    out = both.join(low, both.u == low.w).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    low = _lowest(both)
+    out = both.join(low, both.u == low.w).where("v > u").select(F.col("v").alias("u"), F.least("w", "m").alias("v"))
+    return stored(out.where("u <> v").distinct())
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -29,23 +31,27 @@ def _small(edges: DataFrame) -> DataFrame:
     low = _lowest(down)
     joined = down.join(low, down.u == low.w)
     pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-    return joined.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+    return stored(joined.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of an edge; comp is the smallest node that it reaches.
 
     Each round is written to the shared scratch folder, so lineage stays short and a lost executor
-    costs one round. Rounds grow with the logarithm of the component size. No edge: no row.
-    Null ends and self-loops are ignored."""
-    clean = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    state = stored(clean)
+    costs one round; the rounds before it are deleted. Rounds grow with the logarithm of the component size. No edge:
+    no row. Null ends and self-loops are ignored."""
+    spark, start = edges.sparkSession, written()
+    state = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     before = _state(state)
     while before[0]:
-        state = stored(_small(_large(state)))
+        state, stop = _small(_large(state)), written() - 1
         after = _state(state)
+        dropped(spark, start, stop)
+        start = stop
         if after == before:
             break
         before = after
     leaves = state.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return stored(leaves.unionByName(leaves.select(F.col("comp").alias("node"), "comp")).distinct())
+    out = stored(leaves.unionByName(leaves.select(F.col("comp").alias("node"), "comp")).distinct())
+    dropped(spark, start, written() - 1)
+    return out

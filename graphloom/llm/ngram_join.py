@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, claim, hash_words, mixed, ship, stored
+from .common import batch_words, claim, hash_words, held, mixed, ship, stored
 from .components import components
 
 RARE = 12  #: shingles in at most so many samples are indexed singly
@@ -42,7 +42,6 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  #: bounds of a verified block; units
 LARGE_SETS = 1024  #: sets in a block of a larger unit, whose members are kept as differences from its first set
 BROADCAST_SHINGLES = 1 << 20  #: first sets of larger units with at most so many shingles (8 MB) are broadcast
 TOUR = 64  #: in units of at most so many blocks a visitor sees all; in larger ones those with a common signature
-BROADCAST_IDS = 2_000_000  #: at most so many ids (16 MB) are broadcast; beyond, a shuffle join
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -98,7 +97,7 @@ def _sets(width: int, rule: Rule, full: bool):
                 ok = pa.array(np.array(cls, np.int64) == b.column("cls").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "unit", "large")), pa.array(n, pa.int64()), lists], ["cls", "unit", "large", "n", "toks"]).filter(ok)
             else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(cls, pa.int64()), lists], ["doc_id", "n", "key", "cls", "toks"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(cls, pa.int64()), lists], ["doc_id", "th", "n", "key", "cls", "toks"])
 
     return run
 
@@ -267,9 +266,7 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     short = stored(sets.join(base, "unit").select("cls", "unit", "n", "toks", "base").mapInArrow(_differences, "cls long, unit long, n long, toks array<long>"))
     size = short.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.size("toks")).alias("shingles"))
     slices = size.select("unit", F.greatest(F.ceil(F.col("sets") / LARGE_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("slices"))
-    slices = stored(slices)
-    if slices.count() <= BROADCAST_IDS:
-        slices = F.broadcast(slices)
+    slices = held(stored(slices))
     dealt = short.join(slices, "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")))
     cut, toks = dealt.drop("toks"), short.select("cls", "toks")
     blocks = dealt.repartition("unit", "slice").sortWithinPartitions("unit", "slice")
@@ -293,20 +290,17 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     return links.unionByName(more)
 
 
-def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, class_id (hash of the set; null for an empty one), component_id.
+def labelled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, th (xxhash64 of the text: with doc_id it names a row), n (set size), cls (hash of the set), rep and kept.
 
-    docs: doc_id long, text string; other columns are ignored. Words are runs of bytes that are not ASCII white
-    space, A-Z lower-cased; a text of fewer than `width` words is one shingle. Null or empty texts and texts
-    without words have n_shingles 0 and link with nothing: component_id is their doc_id. Rows that repeat a
-    doc_id are documents of their own with that id; a null doc_id counts as larger than any other. An empty
-    table gives an empty result."""
-    spark = docs.sparkSession
-    ship(spark)
+    rep is the first row of the document's component, struct<none, first_doc, first_th>: the smallest doc_id, a null
+    one last, then the smallest th; null for empty sets. kept: whether the row is that first row, or its set is empty."""
+    ship(docs.sparkSession)
     rule = Rule(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = stored(docs.mapInArrow(_sets(width, rule, False), "doc_id long, n long, key binary, cls long, toks array<long>"))
-    reps = stored(every.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "cls", "toks")).alias("r")).select("key", F.col("r.doc_id").alias("first_doc"), "r.n", "r.cls", "r.toks"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    every = stored(docs.mapInArrow(_sets(width, rule, False), "doc_id long, th long, n long, key binary, cls long, toks array<long>"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc"), F.col("th").alias("first_th"), "n", "cls", "toks")
+    reps = stored(every.where("n > 0").groupBy("key").agg(F.min(own).alias("r")).select("key", "r.first_doc", "r.first_th", "r.n", "r.cls", "r.toks"))
     posts = reps.select("cls", "n", F.explode("toks").alias("tok"))
     df = posts.groupBy("tok").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     o = F.floor((F.col("n") * num + (den - 1)) / den)
@@ -315,12 +309,14 @@ def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
     sigs = stored(found.mapInArrow(_signatures(rule), "sig long, cls long"))
     lead = sigs.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead < top").select("sig", "lead")
     units = components(sigs.join(lead, "sig").select("cls", "lead"), "cls", "lead")
-    members = stored(units.join(reps.select(F.col("cls").alias("node"), "first_doc", "n"), "node").select(F.col("node").alias("cls"), F.col("comp").alias("unit"), "first_doc", "n"))
+    members = stored(units.join(reps.select(F.col("cls").alias("node"), "first_doc", "first_th", "n"), "node").select(F.col("node").alias("cls"), F.col("comp").alias("unit"), "first_doc", "first_th", "n"))
     size = members.groupBy("unit").agg(((F.count("*") > BLOCK_SETS) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
     placed = stored(members.join(size, "unit").drop("n"))
-    want = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
-    texts = docs.join(want.withColumnRenamed("first_doc", "doc_id"), "doc_id")
-    sets = stored(texts.select("cls", "unit", "large", "text").mapInArrow(_sets(width, rule, True), "cls long, unit long, large boolean, n long, toks array<long>"))
+    want = held(placed)
+    texts = docs.join(want, docs["doc_id"].eqNullSafe(want["first_doc"]) & (docs["th"] == want["first_th"])).select("cls", "unit", "large", "text")
+    if not every.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["cls"])  # a row that is there more than once stands for its set once
+    sets = stored(texts.mapInArrow(_sets(width, rule, True), "cls long, unit long, large boolean, n long, toks array<long>"))
     small = sets.where("not large").repartition("unit").sortWithinPartitions("unit")
     links = stored(small.select("cls", "unit", F.lit(0).cast("long").alias("slice"), "n", "toks").mapInArrow(_verify(rule), "a long, b long"))
     large = sets.where("large")
@@ -328,9 +324,23 @@ def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10
         more = _large_units(large, sigs, rule)
         links = stored(links.unionByName(more))
     comps = components(links)
-    named = comps.join(placed.select(F.col("cls").alias("node"), "first_doc"), "node")
-    low = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    linked = named.join(low, "comp").select(F.col("node").alias("cls"), "component_id")
-    classes = reps.select("key", "cls", "first_doc").join(linked, "cls", "left").select("key", F.coalesce("component_id", "first_doc").alias("component_id"))
-    out = every.select("doc_id", "n", "key", "cls").join(classes, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "first_th")
+    named = comps.join(placed.select(F.col("cls").alias("node"), first.alias("own")), "node")
+    low = named.groupBy("comp").agg(F.min("own").alias("low"))
+    linked = named.join(low, "comp").select(F.col("node").alias("cls"), "low")
+    classes = reps.select("key", "cls", first.alias("own")).join(linked, "cls", "left").select("key", F.coalesce("low", "own").alias("rep"))
+    out = every.select("doc_id", "th", "n", "key", "cls").join(classes, "key", "left")
+    is_first = F.col("doc_id").eqNullSafe(F.col("rep.first_doc")) & (F.col("th") == F.col("rep.first_th"))
+    return out.select("doc_id", "th", "n", "cls", "rep", F.when(F.col("n") > 0, is_first).otherwise(F.lit(True)).alias("kept"))
+
+
+def component_table(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, class_id (hash of the set; null for an empty one), component_id; a row for each row of docs.
+
+    docs: doc_id long, text string; other columns are ignored. Words are runs of bytes that are not ASCII white
+    space, A-Z lower-cased; a text of fewer than `width` words is one shingle. Null or empty texts and texts
+    without words have n_shingles 0 and link with nothing: component_id is their doc_id. Rows that repeat a
+    doc_id are documents of their own with that id; a null doc_id counts as larger than any other, and a component of
+    such rows alone has a null component_id. An empty table gives an empty result."""
+    rows = labelled(docs, width, num, den)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.when(F.col("n") > 0, F.col("rep.first_doc")).otherwise(F.col("doc_id")).alias("component_id"))

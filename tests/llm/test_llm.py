@@ -132,6 +132,25 @@ def test_top_k(spark):
     assert cover_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_prunes_clusters(spark, monkeypatch):
+    """In clustered data few pairs are scored; in small blocks queries travel only to blocks that may matter."""
+    rnd = np.random.default_rng(20)
+    centres = rnd.normal(size=(40, 16)) * 4
+    v = (centres[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 16)) * 0.05).round(3)
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = np.floor(v * 1024)
+    scores = whole[::100] @ whole.T
+    for block in (cover_topk.BLOCK_NUMBERS, 16 * 500):
+        monkeypatch.setattr(cover_topk, "BLOCK_NUMBERS", block)
+        got: dict = {}
+        for r in cover_topk.top_k(table).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for row, q in enumerate(range(0, 6000, 100)):
+            order = [i for i in np.lexsort((np.arange(6000), -scores[row])).tolist() if i != q][:10]
+            assert got[q] == [(i, int(scores[row, i])) for i in order]
+        assert cover_topk.compared(table) < 0.3
+
+
 def test_decontamination(spark):
     rnd = np.random.default_rng(4)
     common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(9000)]
