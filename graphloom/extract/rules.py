@@ -3,6 +3,7 @@ results depend on."""
 
 from __future__ import annotations
 
+GENERATED = ["generated", "generated-sources"]
 SKIP_DIRS = ["__pycache__", "node_modules", ".venv", "venv", "env", ".git", "dist", "build", ".next", "out", "coverage", ".turbo", ".cache", "target", "vendor", ".expo"]
 
 LANGUAGES = {
@@ -15,7 +16,7 @@ JS_INDEX = ["index.js", "index.ts", "index.jsx", "index.tsx", "index.vue"]
 CSS_ORDER = [".css", ".scss", ".sass", ".less", ".styl"]
 COMPOSE = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml", "docker-compose.override.yml", "docker-compose.override.yaml", "docker-compose.prod.yml", "docker-compose.prod.yaml", "docker-compose.dev.yml", "docker-compose.dev.yaml"]
 
-#: language: ordered (type, how, names); how: stem, part (of the lower-case path), stem_has, stem_end, stem_tail (.name)
+#: language: ordered (type, how, names); how: stem, part (of the lower-case path), app (stem of a script with elements below app), stem_has, stem_end, stem_tail (.name)
 TYPES = {
     "python": [("config", "stem", ["config", "settings", "constants", "env", "configuration", "conf"])],
     "javascript": [
@@ -23,6 +24,7 @@ TYPES = {
         ("config", "stem_tail", ["config", "settings", "constants", "env", "configuration", "conf"]),
         ("component", "suffix", [".vue"]),
         ("route", "part", ["pages", "routes", "views", "screens"]),
+        ("route", "app", ["page", "layout", "loading", "error", "not-found", "template", "route"]),
         ("store", "part", ["store", "stores", "state", "redux", "slices", "atoms", "contexts", "context"]),
         ("store", "stem_has", ["store", "slice", "reducer", "context", "atom", "provider", "actions", "mutations"]),
         ("store", "text", [r"createContext\s*[(<]", r"createSlice\s*\(|createStore\s*\(|atom\s*\(|writable\s*\(|readable\s*\(|create\s*\(\s*\((?:set|get)\)"]),
@@ -74,9 +76,9 @@ JVM_REFS = {"java": r"(?m)^import\s+(?:static\s+)?([\w.]+)\s*;", "kotlin": r"(?m
 PHP_FILES, PHP_USE = r"(?i)(?:require|include)(?:_once)?\s+['\"]([^'\"]+)['\"]", r"(?m)^use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;"
 SQL_TABLE, SQL_REFERENCE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(\w+)[`\"\]]?", r"(?i)(?:FOREIGN\s+KEY\s*\([^)]+\)\s+)?REFERENCES\s+[`\"\[]?(\w+)[`\"\]]?"
 PRISMA_MODEL, PRISMA_FIELD = r"(?s)\bmodel\s+(\w+)\s*\{([^}]+)\}", r"(?m)^\s+(\w+)\s+(\w+)"
-PRISMA_SCALARS = ["String", "Int", "Float", "Boolean", "DateTime", "Json", "Bytes", "Decimal", "BigInt"]
+PRISMA_SCALARS = ["String", "Int", "Float", "Boolean", "DateTime", "Json", "Bytes", "Decimal", "BigInt", "Unsupported"]
 DOCKER_FROM = r"(?mi)^FROM\s+(?:--platform=\S+\s+)?(\S+?)(?:\s+AS\s+(\w+))?$"
-GITLAB_RESERVED = ["stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache", "pages"]
+GITLAB_RESERVED = ["stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache"]
 ROUTES = [r"(?mi)@\w+\.(?:get|post|put|delete|patch|options|head)\s*\(\s*['\"]([^'\"]+)['\"]", r"(?m)@\w+\.route\s*\(\s*['\"]([^'\"]+)['\"]", r"(?m)(?:re_)?path\s*\(\s*r?['\"]([^'\"]+)['\"]"]
 ROUTER_PREFIX, INCLUDED_PREFIX = r"(?m)APIRouter\s*\([^)]*prefix\s*=\s*['\"]([^'\"]+)['\"]", r"(?ms)include_router\s*\(\s*(\w+)\.router.*?prefix\s*=\s*['\"]([^'\"]+)['\"]"
 CALLS = [r"(?m)fetch\s*\(\s*[`'\"](\S+?)[`'\"]", r"(?mi)\b\w+\s*\.\s*(?:get|post|put|delete|patch)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]"]
@@ -107,6 +109,7 @@ SYMBOLS = {
         ("variable", r'(?m)^variable\s+"([^"]+)"'), ("output", r'(?m)^output\s+"([^"]+)"'), ("provider", r'(?m)^provider\s+"([^"]+)"'),
     ],
 }
+LISTED = r"[\s.]*(?:\w+\s+as\s+)?(\w+)(?=\s|$)"  #: one item of an export list: name, or name as alias
 NOISE = {"java": ["if", "for", "while", "return", "new", "throw", "catch", "switch", "case"]}
 SAME = {"typescript": "javascript", "vue": "javascript", "scss": "css", "sass": "css", "less": "css", "kotlin": "java"}
 

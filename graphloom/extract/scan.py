@@ -6,7 +6,8 @@ A row is (path, what, name, line, kind, exported, doc, methods, candidates, exte
           external: name of an outside package if nothing fits; kind: of link
   symbol  name, line, kind, exported, doc, methods
   define / refer  names that are matched within a scope (wanted): Terraform, compose, CI, SQL
-  route / call    name: URL
+  route / call    name: URL; wanted: of a route, its router's prefix
+  error   name: what kept the file from being read; doc: its message
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def node_type(path: str, text: str, lang: str) -> str:
 def _fits(how: str, names: list[str], stem: str, suffix: str, parts: list[str], text: str) -> bool:
     tests = {
         "stem": lambda: stem in names, "part": lambda: any(p in names for p in parts), "stem_has": lambda: any(n in stem for n in names), "stem_end": lambda: stem.endswith(tuple(names)),
-        "stem_tail": lambda: any(stem.endswith("." + n) for n in names), "suffix": lambda: suffix in names, "text": lambda: any(re.search(p, text) for p in names), "any": lambda: True,
+        "stem_tail": lambda: any(stem.endswith("." + n) for n in names), "suffix": lambda: suffix in names, "text": lambda: any(re.search(p, text) for p in names), "any": lambda: True, "app": lambda: "app" in parts and suffix in (".jsx", ".tsx") and stem in names,
     }
     return tests[how]()
 
@@ -86,7 +87,7 @@ def _python_refs(path: str, text: str) -> Iterator[dict]:
         if isinstance(n, ast.Import):
             wanted = [(0, a.name) for a in n.names]
         elif isinstance(n, ast.ImportFrom):
-            wanted = [(n.level, n.module or "")]
+            wanted = [(n.level, n.module)] if n.module else [(n.level, a.name) for a in n.names]  # from . import a, b
         else:
             continue
         for level, name in wanted:
@@ -95,7 +96,7 @@ def _python_refs(path: str, text: str) -> Iterator[dict]:
                 base = here
                 for _ in range(level - 1):
                     base = posixpath.dirname(base)
-                tries = [posixpath.join(base, rel + ".py"), posixpath.join(base, rel, "__init__.py")] if rel else [posixpath.join(base, "__init__.py")]
+                tries = [posixpath.join(base, rel + ".py"), posixpath.join(base, rel, "__init__.py")]
                 yield row(path, "ref", path, candidates=tries)
             else:
                 tries = [rel + ".py", rel + "/__init__.py"]
@@ -241,14 +242,15 @@ def _names(x) -> list[str]:
     if isinstance(x, str):
         return [x]
     if isinstance(x, dict):
-        return list(x)
-    return [n if isinstance(n, str) else n.get("job", "") for n in x or [] if isinstance(n, str | dict)]
+        return [str(n) for n in x]
+    return [str(n.get("job", "")) if isinstance(n, dict) else str(n) for n in (x if isinstance(x, list) else [])]
 
 
 def _compose(path: str, text: str) -> Iterator[dict]:
     services = _yaml(text).get("services")
     for name, spec in (services if isinstance(services, dict) else {}).items():
         spec = spec if isinstance(spec, dict) else {}
+        name = str(name)
         yield row(path, "node", name, kind="service", external="docker", line=text.count("\n") + 1)
         for dep in _names(spec.get("depends_on")):
             yield row(path, "ref", name, candidates=[dep], kind="depends")
@@ -272,6 +274,7 @@ def _jobs(path: str, text: str, lang: str) -> Iterator[dict]:
     for name, spec in (jobs if isinstance(jobs, dict) else {}).items():
         if not isinstance(spec, dict):
             continue
+        name = str(name)
         yield row(path, "node", prefix + name, kind="pipeline", external=lang, line=0)
         for dep in _names(spec.get("needs")):  # the edge runs from the dependency to the job
             yield row(path, "ref", prefix + dep, candidates=[prefix + name], kind="depends")
@@ -325,9 +328,8 @@ def _python_symbols(path: str, text: str) -> Iterator[dict]:
 
 def _listed(names: str) -> list[str]:
     """Names of an export list; of "a as b" it is b; default and what is no plain name are left out."""
-    parts = [p.strip().lstrip(".") for p in names.split(",")]
-    last = [p.split(" as ")[-1].split() for p in parts if p]
-    return [w[0] for w in last if w and re.fullmatch(r"\w+", w[0]) and w[0] != "default"]
+    items = (re.match(R.LISTED, item) for item in names.split(","))
+    return [m[1] for m in items if m and m[1] != "default"]
 
 
 def symbols(path: str, text: str, lang: str) -> Iterator[dict]:
@@ -348,9 +350,9 @@ def symbols(path: str, text: str, lang: str) -> Iterator[dict]:
 
 def urls(path: str, text: str, lang: str) -> Iterator[dict]:
     if lang == "python":
-        prefix = (_all(R.ROUTER_PREFIX, text) or [""])[0]
+        prefix = (_all(R.ROUTER_PREFIX, text) or [None])[0]
         for p in dict.fromkeys(x for r in R.ROUTES for x in _all(r, text)):
-            yield row(path, "route", prefix + p)
+            yield row(path, "route", p, wanted=prefix)  # the router's own prefix, unless it is mounted under another
         for module, p in re.findall(R.INCLUDED_PREFIX, text):
             yield row(path, "include", module, wanted=p)
     elif R.SAME.get(lang, lang) == "javascript":
@@ -362,7 +364,16 @@ def urls(path: str, text: str, lang: str) -> Iterator[dict]:
 OWN_NODES = ("compose", "github-actions", "gitlab-ci", "sql", "prisma")
 
 
-def scan(path: str, text: str) -> Iterator[dict]:
+def scan(path: str, text: str) -> list[dict]:
+    """All rows of a file. One that an extractor cannot take (too deeply nested, say) gives its node and an error row."""
+    try:
+        return list(_scan(path, text))
+    except (ArithmeticError, AttributeError, LookupError, MemoryError, RecursionError, TypeError, ValueError) as e:
+        own = row(path, "node", path, kind="module", external=language(path), line=text.count("\n") + 1)
+        return [own, row(path, "error", type(e).__name__, doc=str(e)[:200])]
+
+
+def _scan(path: str, text: str) -> Iterator[dict]:
     lang = language(path)
     if lang is None:
         return
