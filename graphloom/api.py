@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import math
 import os
 import sys
 from collections.abc import Callable
@@ -96,17 +95,19 @@ class Index:
         else:
             links, total = graph.valid_edges(self.edges(), rows.where("active"), "path"), rows.where("active and node_type <> 'import'").count()
         start = self.spark.createDataFrame([(path,)], "origin string")
-        near = build.stored(graph.reach(links.select("src", "dst"), start, None).where("hop > 0"))
-        inner = links.select("src", "dst").join(near.select(F.col("node").alias("src")), "src", "left_semi")
-        paths = graph.shortest_paths(inner).where(F.col("origin") == path).select("node", "path")
-        found = near.join(paths, "node", "left").select("node", "hop", "path").orderBy("hop", "node").collect()
-        return {"file": path, "total": total, "dependents": [r.asDict() for r in found]}
+        near = build.stored(graph.reach(links.select("src", "dst"), start, None).select("node", "hop"))
+        paths = {path: [path]}
+        found = near.where("hop > 0").join(graph.next_steps(links, near), "node").orderBy("hop", "node").collect()
+        for r in found:
+            paths[r["node"]] = [r["node"], *paths[r["next"]]]
+        return {"file": path, "total": total, "dependents": [{"node": r["node"], "hop": r["hop"], "path": paths[r["node"]]} for r in found]}
 
     def dependencies(self, file: str) -> dict | None:
         path = self.find(file)
         if path is None:
             return None
-        row = graph.adjacency(self.edges().select("src", "dst")).where(F.col("id") == path).first()
+        own = self.edges().select("src", "dst").where((F.col("src") == path) | (F.col("dst") == path))
+        row = graph.adjacency(own).where(F.col("id") == path).first()
         score = self.store.read("files").where(F.col("path") == path).select("blast_score").first()
         return {"file": path, "imports": row["imports"] or [] if row else [], "imported_by": row["imported_by"] or [] if row else [], "blast_score": score["blast_score"]}
 
@@ -144,12 +145,8 @@ class Index:
         f = temporal.backfilled(self.store.read("files"), first_files, ["path"], skeleton)
         source = trees.where(F.col("path").rlike(r"\.(py|js|jsx|ts|tsx|mjs|cjs|vue)$"))
         text = git.blobs(source, self.repo)
-        per = source.groupBy("path", "blob").agg(F.min("seq").alias("seq")).join(text, "blob")
-        per = build.stored(per.select(F.concat_ws("\x01", F.col("seq").cast("string"), "path").alias("tag"), "path", "seq", "content"))
-        found = build.facts(per.select("path", "content"))
-        links = found.where("what = 'ref'").select(F.col("path").alias("source"), F.posexplode("candidates").alias("at", "target"))
-        links = links.join(trees.select(F.col("path").alias("target")).distinct(), "target").groupBy("source", "target").agg(F.min("at"))
-        born = per.groupBy(F.col("path").alias("source")).agg(F.min("seq").alias("seq")).join(links, "source").join(names, "seq")
+        refs = build.stored(build.references(source.select("path", "blob").distinct().join(text, "blob")))
+        born = temporal.first_links(trees, refs).join(names.withColumnRenamed("seq", "first"), "first")
         first_edges = born.select(F.xxhash64("source").alias("source_file_id"), F.xxhash64("target").alias("target_file_id"), F.col("hash").alias("first"))
         e = temporal.backfilled(self.store.read("edges"), first_edges, ["source_file_id", "target_file_id"], {"active": F.lit(False), "kind": F.lit("imports"), "weight": F.lit(1.0), "id": F.xxhash64("source_file_id", "target_file_id", F.lit("imports"))})
         self.store.write({"files": f, "edges": e, "commits": self.store.record_commits(commits)})
@@ -180,7 +177,7 @@ class Index:
         owners = syms.select("id", F.col("path").alias("owner"))
         links = self.edges().select("src", "dst")
         seen = temporal.symbol_visible(self.store.read("symbols"), git.reachable(self.spark, self.repo, as_of)).select("id") if as_of else None
-        hits = search.hybrid(docs, vectors, q, syms.select("id", "path", "exported", "name", "kind", "line", "doc", "blast_score"), query, k, lambda seeds, n: graph.expand(links, owners, seeds, n), seen)
+        hits = search.hybrid(docs, vectors, q, syms.select("id", "path", "exported", "name", "kind", "line", "doc", "blast_score"), query, k, lambda seeds, n: graph.expand(links, owners, seeds, n), seen, porter=True)
         return [r.asDict() for r in hits.orderBy(F.desc("score"), "id").collect()]
 
     def neighborhood(self, file: str, direction: str = "both", depth: int = 2) -> dict:
@@ -199,7 +196,10 @@ class Index:
 
     def gate(self, staged: list[str], threshold: int = 10) -> list[dict]:
         """Staged files whose floored score reaches the threshold."""
-        return [r for r in self.high_blast(0.0) if r["path"] in set(staged) and math.floor(r["blast_score"]) >= threshold]
+        named = self.spark.createDataFrame([(p,) for p in staged], "path string").distinct()
+        rows = graph.high_blast(self.store.read("files").where("active"), 0.0, NON_FILE_TYPES).join(named, "path", "left_semi")
+        rows = rows.where(F.floor("blast_score") >= threshold).orderBy(F.desc("blast_score"), "path")
+        return [r.asDict() for r in rows.select("path", "node_type", "blast_score", "direct_dependents", "transitive_dependents").collect()]
 
 
 def provider() -> Callable[[list[str]], list[list[float]]]:

@@ -31,6 +31,23 @@ def facts(sources: DataFrame) -> DataFrame:
     return stored(sources.select("path", "content").mapInArrow(_scan, FACTS))
 
 
+def _referring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from .scan import scan
+
+    schema = pa.schema([("path", pa.string()), ("blob", pa.string()), ("ref", pa.int32()), ("candidates", pa.list_(pa.string()))])
+    for b in batches:
+        rows = []
+        for p, blob, t in zip(*(b.column(c).to_pylist() for c in ("path", "blob", "content")), strict=True):
+            refs = [r["candidates"] for r in scan(p, t or "") if r["what"] == "ref" and r["candidates"]]
+            rows += [{"path": p, "blob": blob, "ref": i, "candidates": c} for i, c in enumerate(refs)]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def references(versions: DataFrame) -> DataFrame:
+    """(path, blob, ref, candidates) of file versions (path, blob, content): each reference's paths to try, in order."""
+    return versions.select("path", "blob", "content").mapInArrow(_referring, "path string, blob string, ref int, candidates array<string>")
+
+
 def symbol_table(found: DataFrame) -> DataFrame:
     return found.where("what = 'symbol'").select("path", "name", "line", "kind", "exported", "doc", "methods")
 
@@ -90,7 +107,7 @@ def api_links(found: DataFrame) -> DataFrame:
     mount = found.where("what = 'include'").groupBy(F.col("name").alias("_module")).agg(F.min("wanted").alias("_mount"))
     module = F.regexp_extract("path", r"([^/]+)\.py$", 1)
     routes = found.where("what = 'route'").withColumn("_module", module).join(mount, "_module", "left")
-    routes = routes.select("path", normalize_url(F.concat(F.coalesce("_mount", F.lit("")), "name")).alias("url")).distinct()
+    routes = routes.select("path", normalize_url(F.concat(F.coalesce("_mount", "wanted", F.lit("")), "name")).alias("url")).distinct()
     numbered = routes.groupBy("url").agg(F.min("path").alias("route_id"))
     calls = found.where("what = 'call'").select("path", normalize_url(F.regexp_replace("name", r"^https?://[^/]+", "")).alias("url")).distinct()
     matched = route_match(calls.select(F.struct("path", "url").alias("call_id"), "url"), numbered.select("route_id", "url"))

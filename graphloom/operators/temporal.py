@@ -81,6 +81,17 @@ def tree_changes(log: DataFrame, key: str, value: str) -> DataFrame:
     return steps.withColumn("change", F.when(fresh, "added").when(~F.col(value).eqNullSafe(F.col("_value")), "modified")).where("change is not null").select("seq", key, "change")
 
 
+def first_links(trees: DataFrame, refs: DataFrame) -> DataFrame:
+    """(source, target, first): the first commit in which a changed file's reference found its target.
+
+    trees (seq, path, blob): every commit's files; refs (path, blob, ref, candidates): of each version of a file. A
+    version is resolved in the trees of the commits that bring it, by the first candidate that is there."""
+    brought = tree_changes(trees, "path", "blob").select("seq", "path").join(trees, ["seq", "path"])
+    tried = brought.join(refs, ["path", "blob"]).select("seq", F.col("path").alias("source"), "ref", F.posexplode("candidates").alias("at", "path"))
+    hit = tried.join(trees.select("seq", "path"), ["seq", "path"]).groupBy("seq", "source", "ref").agg(F.min_by("path", "at").alias("target"))
+    return hit.where("source <> target").groupBy("source", "target").agg(F.min("seq").alias("first"))
+
+
 def touched(edges: DataFrame, paths: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """edges with touched: whether an end is among the paths (a column path)."""
     a = paths.select(F.col("path").alias("_p1"), F.lit(True).alias("_a")).distinct()
@@ -96,10 +107,3 @@ def backfilled(current: DataFrame, firsts: DataFrame, keys: Sequence[str], skele
     missing = f.join(current.select(*keys), list(keys), "left_anti").withColumn("first_seen_commit", F.col("_first"))
     fill = [F.col(c) if c in (*keys, "first_seen_commit") else skeleton.get(c, F.lit(None)).cast(current.schema[c].dataType).alias(c) for c in current.columns]
     return own.unionByName(missing.select(*fill))
-
-
-def reachable_commits(parents: DataFrame, ref: str, step) -> DataFrame:
-    """Ancestors-or-self of ref over (hash, parent), by breadth-first search (step: graph.reach)."""
-    start = parents.sparkSession.createDataFrame([(ref,)], "origin string")
-    edges = parents.where("parent is not null").select(F.col("hash").alias("src"), F.col("parent").alias("dst"))
-    return step(edges, start, None, "dependencies").select(F.col("node").alias("hash"))

@@ -21,6 +21,19 @@ def soft_deleted(spark, sf):
     return life(spark, sf).where("not active").select("user_id", "event_type", "last")
 
 
+@query(f"""WITH {SNAP}, t AS (SELECT seq, user_id, event_type, n, lag(seq) OVER w AS before, lag(n) OVER w AS had FROM snap WINDOW w AS (PARTITION BY user_id, event_type ORDER BY seq)),
+c AS (SELECT * FROM t WHERE before IS NULL OR before < seq - 1 OR n <> had),
+l AS (SELECT c.seq, c.user_id, c.event_type, CASE WHEN a.user_id IS NOT NULL THEN c.user_id + 1 WHEN b.user_id IS NOT NULL THEN c.user_id + 2 END AS other FROM c LEFT JOIN snap a ON a.seq = c.seq AND a.event_type = c.event_type AND a.user_id = c.user_id + 1 LEFT JOIN snap b ON b.seq = c.seq AND b.event_type = c.event_type AND b.user_id = c.user_id + 2)
+SELECT user_id || '/' || event_type AS source, other || '/' || event_type AS target, min(seq)::INTEGER AS first FROM l WHERE other IS NOT NULL GROUP BY 1, 2""")
+def edge_first_seen(spark, sf):
+    """A user's events refer to the next user's of the same kind, or else to the one after: which commit first shows it."""
+    s = snapshots(spark, sf)
+    path = lambda d: F.concat((F.col("user_id") + d).cast("string"), F.lit("/"), F.col("event_type"))
+    trees = s.select("seq", path(0).alias("path"), F.col("n").cast("string").alias("blob"))
+    refs = s.select(path(0).alias("path"), F.col("n").cast("string").alias("blob"), F.lit(0).alias("ref"), F.array(path(1), path(2)).alias("candidates")).distinct()
+    return temporal.first_links(trees, refs)
+
+
 @query(f"WITH {LIFE} SELECT count(*) AS rows, count(*) FILTER (active) AS active, count(*) FILTER (NOT active) AS inactive, count(DISTINCT event_type) AS kinds FROM life")
 def status(spark, sf):
     return life(spark, sf).agg(F.count("*").alias("rows"), F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("inactive"), F.count_distinct("event_type").alias("kinds"))
