@@ -19,11 +19,6 @@ def loc(content) -> Column:
     return (F.length(col(content)) - F.length(F.replace(col(content), F.lit("\n"))) + 1).cast("long")
 
 
-def line_of(content, position) -> Column:
-    """1-based line of a 0-based offset."""
-    return loc(F.substring(col(content), F.lit(1), col(position)))
-
-
 def content_hash(content) -> Column:
     return F.substring(F.sha2(col(content), 256), 1, 16)
 
@@ -38,7 +33,7 @@ def tokens(text) -> Column:
 
 
 def query_stems(query) -> Column:
-    words = F.split(F.regexp_replace(F.lower(col(query)), r"[^\w\s]", " "), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(col(query)), r"[^\p{L}\p{N}_ \t\n\r\f]", " "), r"[ \t\n\r\f]+")
     return F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 4))
 
 
@@ -86,13 +81,6 @@ def package_name(specifier) -> Column:
     return F.regexp_extract(col(specifier), r"^(@[^/]+/[^/]+|[^/]+)", 1)
 
 
-def host_package(specifier) -> Column:
-    """Code-host paths keep three segments, others up to two when the first holds a dot, else the first."""
-    p = F.split(col(specifier), "/")
-    hosts = ["github.com", "gitlab.com", "bitbucket.org"]
-    return F.when(p[0].isin(*hosts), F.array_join(F.slice(p, 1, 3), "/")).when(F.contains(p[0], F.lit(".")), F.array_join(F.slice(p, 1, 2), "/")).otherwise(p[0])
-
-
 def top_components(name, separator: str = ".", n: int = 2) -> Column:
     return F.substring_index(col(name), separator, n)
 
@@ -122,17 +110,3 @@ def gitignore_regex(pattern: str) -> str:
         out += "[^/]*" if p[i] == "*" else "." if p[i] == "?" else "\\" + p[i] if p[i] in special else p[i]
         i += 1
     return out
-
-
-def exported(kind: str, name) -> Column:
-    n = col(name)
-    return {"python": ~n.startswith("_"), "go": n.rlike(r"^\p{Lu}")}.get(kind, F.lit(True))
-
-
-def format_symbol(name, kind, line, methods, abbreviations: dict[str, str], most: int = 6) -> Column:
-    """name:abbr:line[m1,m2,+n]"""
-    short = reduce(lambda c, kv: c.when(col(kind) == kv[0], kv[1]), abbreviations.items(), F.when(F.lit(False), "")).otherwise("?")
-    rest = F.size(col(methods)) - most
-    listed = F.concat(F.array_join(F.slice(col(methods), 1, most), ","), F.when(rest > 0, F.concat(F.lit(",+"), rest.cast("string"))).otherwise(""))
-    tail = F.when(F.size(F.coalesce(col(methods), F.array().cast("array<string>"))) > 0, F.concat(F.lit("["), listed, F.lit("]"))).otherwise("")
-    return F.concat(col(name), F.lit(":"), short, F.lit(":"), col(line).cast("string"), tail)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.porter import stemmed, stems
 from ..functions.text import path_boost, query_stems, tokens
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -19,11 +20,11 @@ def postings(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     return t.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, prefixes: list[str], text: str = "text", key: str = "id") -> DataFrame:
+def bm25(docs: DataFrame, prefixes: list[str], text: str = "text", key: str = "id", split=tokens) -> DataFrame:
     """(id, score) of documents with a token that starts with any of the prefixes.
 
     Prefix frequencies are counted in the document's own row, so only matches and three sums leave the scan."""
-    t = docs.select(F.col(key).alias("id"), tokens(text).alias("_t"))
+    t = docs.select(F.col(key).alias("id"), split(text).alias("_t"))
     rows = t.select("id", F.size("_t").alias("len"), *[_starting(p).alias(f"tf{i}") for i, p in enumerate(prefixes)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(prefixes))])
     hits = rows.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(prefixes))]))
@@ -69,18 +70,23 @@ def truncations(words: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def fts(docs: DataFrame, query: str, k: int, text: str = "text", key: str = "id") -> DataFrame:
-    """(id, score): the k best for any of the query's words as prefixes; truncated words if there is no match at all."""
+def fts(docs: DataFrame, query: str, k: int, text: str = "text", key: str = "id", porter: bool = False) -> DataFrame:
+    """(id, score): the k best for any of the query's words as prefixes; truncated words if there is no match at all.
+
+    porter: words of texts and query lose their accents and are stemmed first."""
     words = query_words(query)
+    split = stemmed if porter else tokens
+    if porter:
+        words = list(dict.fromkeys(s for w in words for s in stems(w)))
     empty = docs.sparkSession.createDataFrame([], "id long, score double")
     if not words:
         return empty
-    hits = bm25(docs, words, text, key)
+    hits = bm25(docs, words, text, key, split)
     short = truncations(words)
     if hits.isEmpty():
         if not short:
             return empty
-        hits = bm25(docs, short, text, key)
+        hits = bm25(docs, short, text, key, split)
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -121,13 +127,13 @@ def reranked(fused: DataFrame, symbols: DataFrame, query: str, k: int) -> DataFr
     return rows.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.desc("rrf"), "id").limit(k).drop("_stems")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame | None, query_vector: DataFrame | None, symbols: DataFrame, query: str, k: int = 10, expand=None, visible=None) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame | None, query_vector: DataFrame | None, symbols: DataFrame, query: str, k: int = 10, expand=None, visible=None, porter: bool = False) -> DataFrame:
     """Vector and keyword lists of 2k, graph neighbours of the best five of each when there are fewer than k hits,
     fused, filtered by visible (a frame of ids), hydrated and boosted."""
     lists = []
     if vectors is not None and query_vector is not None:
         lists.append(ranked(knn(vectors, query_vector, 2 * k), "semantic", [F.col("distance"), F.col("id")]))
-    lists.append(ranked(fts(docs, query, 2 * k), "fts", [F.desc("score"), F.col("id")]))
+    lists.append(ranked(fts(docs, query, 2 * k, porter=porter), "fts", [F.desc("score"), F.col("id")]))
     if expand is not None:
         hits = sum(x.count() for x in lists)  # lists hold at most 2k rows
         if 0 < hits < k:

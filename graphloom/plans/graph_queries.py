@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.risk import affected_pct, layer, link_kind, risk_label
 from ..operators import graph
 from ..schema import NON_FILE_TYPES, SOURCE_TYPES
-from .views import BLAST, CLOSURE, DEP, NODES, dep_edges, nodes, table
+from .views import BLAST, CLOSURE, DEP, LATEST, NODES, dep_edges, latest, nodes, table
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -70,10 +70,10 @@ def risk_labels(spark, sf):
     return scored.select("origin", risk_label(F.col("blast_score"), F.col("total")).alias("risk"), affected_pct("direct", "transitive", F.col("total").cast("double")).alias("pct"))
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST} SELECT origin FROM bl WHERE floor(blast_score) >= 10 AND origin % 3 = 0")
+@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST}, {LATEST} SELECT origin FROM bl WHERE floor(blast_score) >= 10 AND origin IN (SELECT path FROM paths)")
 def staged_gate(spark, sf):
-    """The pre-commit gate: staged files whose floored score reaches the threshold; every third file stands for staged."""
-    staged = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("origin"))
+    """The pre-commit gate: staged files whose floored score reaches the threshold; the latest parts stand for staged."""
+    staged = latest(spark, sf).withColumnRenamed("path", "origin")
     scored = graph.blast(graph.closure(dep_edges(spark, sf)))
     return scored.where(F.floor("blast_score") >= 10).join(staged, "origin", "left_semi").select("origin")
 
@@ -169,14 +169,13 @@ def importers(spark, sf):
     return dep_edges(spark, sf).join(f, "dst").join(i, "src").select(F.col("dst").alias("file_id"), F.col("src").alias("importer_id"), "importer")
 
 
-@query(f"WITH {DEP} SELECT src, dst, weight, (src % 100 = 0 OR dst % 100 = 0) AS touched FROM dep")
+@query(f"WITH {DEP}, {LATEST} SELECT src, dst, weight, (src IN (SELECT path FROM paths) OR dst IN (SELECT path FROM paths)) AS touched FROM dep")
 def touched_edges(spark, sf):
     from ..operators.temporal import touched
 
-    paths = table(spark, sf, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("path"))
-    return touched(dep_edges(spark, sf), paths)
+    return touched(dep_edges(spark, sf), latest(spark, sf))
 
 
-@query(f"WITH {DEP} SELECT count(*) FILTER (src % 100 = 0 OR dst % 100 = 0) AS shown, count(*) FILTER (NOT (src % 100 = 0 OR dst % 100 = 0)) AS suppressed FROM dep")
+@query(f"WITH {DEP}, {LATEST}, t AS (SELECT (src IN (SELECT path FROM paths) OR dst IN (SELECT path FROM paths)) AS touched FROM dep) SELECT count(*) FILTER (touched) AS shown, count(*) FILTER (NOT touched) AS suppressed FROM t")
 def suppressed_count(spark, sf):
     return touched_edges(spark, sf).agg(F.count_if("touched").alias("shown"), F.count_if(~F.col("touched")).alias("suppressed"))

@@ -49,6 +49,12 @@ def fts_prefix_or(spark, sf):
     return search.fts(_docs(spark, sf), QUERY, 20).select("id", F.round("score", 6).alias("score"))
 
 
+@query()
+def fts_porter(spark, sf):
+    """Accents folded and words stemmed on both sides; Porter's algorithm has no SQL, so tests compare it with FTS5."""
+    return search.fts(_docs(spark, sf), "stations monthly", 20, porter=True).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_bm25(['then'])} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def fts_truncation_fallback(spark, sf):
     return search.fts(_docs(spark, sf), "thenq", 20).select("id", F.round("score", 6).alias("score"))
@@ -63,9 +69,9 @@ def knn_topk(spark, sf):
     return search.knn(_vectors(spark, sf), q, 20).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DIST} AS d FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+@query(f"WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DIST} AS d FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def knn_batch(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return search.knn_batch(_vectors(spark, sf), q, 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 

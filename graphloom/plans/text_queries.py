@@ -20,10 +20,9 @@ def doc_first_line_trunc(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.first_line("text").alias("first"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3), lambda w: substr(w, 1, 4)), ' ') AS stems FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}_ \\t\\n\\r\\f]', ' ', 'g'), '[ \\t\\n\\r\\f]+'), lambda w: length(w) >= 3), lambda w: substr(w, 1, 4)), ' ') AS stems FROM conversations")
 def stems(spark, sf):
-    ascii_only = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return ascii_only.select("conv_id", "turn", F.array_join(T.query_stems("text"), " ").alias("stems"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.query_stems("text"), " ").alias("stems"))
 
 
 @query("SELECT page_id, regexp_extract(split_part(url, '://', 2), '^(@[^/]+/[^/]+|[^/]+)', 1) AS package, regexp_extract(split_part(split_part(url, '://', 2), '/', 1), '^[^.]*\\.?[^.]*') AS top2 FROM pages")

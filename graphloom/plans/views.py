@@ -28,6 +28,13 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"), node_type().alias("node_type"), "p_brand", "p_size")
 
 
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    """(path): parts shipped on the last day, as the files that a change touches."""
+    lines = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"), "l_partkey")
+    last = lines.agg(F.max("day").alias("day"))
+    return lines.join(F.broadcast(last), "day").select(F.col("l_partkey").alias("path")).distinct()  # one row
+
+
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """(seq, day, user_id, event_type, n): a commit for each day, numbered from 0."""
     e = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "user_id", "event_type").agg(F.count("*").alias("n"))
@@ -54,6 +61,7 @@ def reachable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DEP = """dep AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 42 AND b.l_quantity >= 42 AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+LATEST = """paths AS (SELECT DISTINCT l_partkey AS path FROM lineitem WHERE CAST(l_shipdate AS DATE) = (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem))"""
 NODES = """nodes AS (SELECT p_partkey AS id, p_name AS path, CASE WHEN p_size <= 5 THEN 'import' WHEN p_size <= 10 THEN 'service' WHEN p_brand LIKE '%1' THEN 'component' WHEN p_brand LIKE '%2' THEN 'route' WHEN p_brand LIKE '%3' THEN 'style' ELSE 'module' END AS node_type, p_brand, p_size FROM part)"""
 CLOSURE = """walk(origin, node, hop) AS (SELECT dst, src, 1 FROM dep UNION SELECT w.origin, d.src, w.hop + 1 FROM walk w JOIN dep d ON d.dst = w.node WHERE d.src <> w.origin AND w.hop < 40),
 clo AS (SELECT origin, node, min(hop) AS hop FROM walk GROUP BY 1, 2)"""
