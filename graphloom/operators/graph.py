@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.risk import blast_score
 from ..scratch import stored
 
-SMALL = 1_000_000  #: rows of a side that may be broadcast after its count is known
-
-
-def maybe_broadcast(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small; for tables that are cheap to count."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def weighted(pairs: DataFrame, by: tuple[str, ...] = ("src", "dst"), weight: Column | None = None) -> DataFrame:
     """Weights of links summed over occurrences and analysers."""
     return pairs.groupBy(*by).agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("weight"))
@@ -79,16 +71,28 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int | None = None, direct
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(origin, node, hop, path): the smallest of the shortest paths [node, ..., origin], by element."""
-    back = edges.where("src <> dst").select("src", "dst").distinct()
-    front = stored(back.select(F.col("dst").alias("origin"), F.col("src").alias("node"), F.lit(1).alias("hop"), F.array("src", "dst").alias("path")))
-    seen = front
-    while not front.isEmpty():
-        grown = front.join(back, front["node"] == back["dst"]).where("src <> origin")
-        grown = grown.select("origin", F.col("src").alias("node"), (F.col("hop") + 1).alias("hop"), F.concat(F.array("src"), "path").alias("path"))
-        front = stored(grown.join(seen, ["origin", "node"], "left_anti").groupBy("origin", "node", "hop").agg(F.min("path").alias("path")))
-        seen = seen.unionByName(front)
-    return seen
+    """(origin, node, hop, path): the smallest of the shortest paths [node, ..., origin], by element.
+
+    Distances give each pair its next node, the smallest one that is a step nearer; paths then double in length each
+    round, so rounds grow with the logarithm of the longest one."""
+    far = stored(closure(edges).where("origin <> node"))
+    back = edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    near = far.select("origin", F.col("node").alias("to"), (F.col("hop") + 1).alias("hop"))
+    step = far.where("hop > 1").join(back, "node").join(near, ["origin", "to", "hop"]).groupBy("origin", "node", "hop").agg(F.min("to").alias("to"))
+    last = far.where("hop = 1").select("origin", "node", "hop", F.lit(None).cast(far.schema["node"].dataType).alias("to"))
+    state = stored(step.unionByName(last).withColumn("path", F.when(F.col("to").isNull(), F.array("node", "origin")).otherwise(F.array("node"))))
+    while not state.where("to is not null").isEmpty():
+        rest = state.select("origin", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("path").alias("_rest"))
+        grown = state.where("to is not null").join(rest, ["origin", "to"]).select("origin", "node", "hop", F.col("_to").alias("to"), F.concat("path", "_rest").alias("path"))
+        state = stored(state.where("to is null").select("origin", "node", "hop", "to", "path").unionByName(grown))
+    return state.select("origin", "node", "hop", "path")
+
+
+def next_steps(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, next): for nodes (node, hop) reached from one origin the smallest next node on a shortest path to it."""
+    here = reached.select(F.col("node").alias("src"), "hop")
+    there = reached.select(F.col("node").alias("dst"), (F.col("hop") + 1).alias("hop"))
+    return edges.select("src", "dst").join(here, "src").join(there, ["dst", "hop"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
 
 
 def blast(reached: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import join_path, parent, same_tail
+from ..functions.text import same_tail
 
 
 def first_match(refs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,12 +53,6 @@ def word_usage(names: DataFrame, texts: DataFrame, pattern: str = r"\w+") -> Dat
     return words.join(names.select("name").distinct(), "name")
 
 
-def relative_candidates(specifier, path, extensions: list[str], index: list[str]):
-    """Candidate paths of a relative import: itself, with each extension, then each index file below it."""
-    base = join_path(parent(path), specifier)
-    return F.array(base, *[F.concat(base, F.lit(e)) for e in extensions], *[F.concat(base, F.lit("/" + i)) for i in index])
-
-
 def fuzzy_path(files: DataFrame, arg: str) -> DataFrame:
     """At most one file: the exact path, else the shortest that ends with the argument or is its end."""
     clean = arg.lstrip("./")

@@ -39,8 +39,3 @@ def rebuild_on_change(changes: DataFrame, rebuild: Callable[[], None], checkpoin
             rebuild()
 
     return changes.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
-
-
-def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Tumbling daily counts by type, with late events up to the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
