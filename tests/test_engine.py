@@ -204,6 +204,9 @@ def test_index_over_three_commits(spark, tmp_path):
     assert ix.status()["active_files"] == 2 and ix.status()["last_indexed_commit"] == hashes[2]
     assert ix.history()["commits"] == 3 and ix.store.read("commits").count() == 3
     assert ix.store.read("files").where("first_seen_commit is null").count() == 0
+    assert [r["first_seen_commit"] for r in ix.edges(False).where("src = 'a.py' and dst = 'b.py'").collect()] == [hashes[1]]
+    assert ix.impact("b.py", hashes[0])["dependents"] == []
+    assert [r["path"] for r in ix.gate(["b.py", "no.py"], 0)] in ([], ["b.py"])
     assert ix.dependencies("b.py")["imported_by"] == [] and ix.neighborhood("zz.q")["error"]
     assert "given:fn:2" in report.section([r.asDict() for r in ix.symbols().collect()])
     said = []
@@ -253,3 +256,53 @@ def test_psr4(spark, tmp_path):
         (tmp_path / path).write_text(text)
     got = {(r["source"], r["target"]) for r in Index(spark, str(tmp_path)).graph()["links"].collect()}
     assert got == {("index.php", t) for t in ("app/Models/User.php", "tests/Case.php", "lib/Old/Thing.php")}
+
+
+def test_first_links(spark):
+    """A reference counts from the first commit whose version of the file finds it, by the first candidate there."""
+    from graphloom.operators import temporal
+
+    trees = [(0, "a", "1"), (0, "y", "1"), (1, "a", "2"), (1, "y", "1"), (2, "a", "2"), (2, "y", "1"), (2, "x", "1"), (3, "a", "3"), (3, "y", "1"), (3, "x", "1"), (4, "a", "1"), (4, "y", "1")]
+    refs = [("a", "2", 0, ["x", "y"]), ("a", "3", 0, ["x", "y"]), ("a", "3", 1, ["a"]), ("y", "1", 0, ["none"])]
+    got = temporal.first_links(spark.createDataFrame(trees, "seq int, path string, blob string"), spark.createDataFrame(refs, "path string, blob string, ref int, candidates array<string>"))
+    assert {(r["source"], r["target"], r["first"]) for r in got.collect()} == {("a", "y", 1), ("a", "x", 3)}
+
+
+def test_porter_matches_sqlite():
+    import sqlite3
+
+    from graphloom.functions.porter import stems
+
+    words = """caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing
+    happy sky relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism
+    decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference
+    airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize
+    probate rate cease controll roll running runs run stations monthly generalization oscillators café naïve Straße by yes toy enjoying died dies""".split()
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'porter unicode61')")
+    c.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    c.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(words, 1))
+    want = {doc: term for term, doc in c.execute("SELECT term, doc FROM v")}
+    assert [stems(w)[0] for w in words] == [want[i] for i in range(1, len(words) + 1)]
+
+
+def test_porter_search(spark):
+    docs = spark.createDataFrame([(1, "The runner runs"), (2, "A café was running"), (3, "none"), (4, None)], "id long, text string")
+    assert {r["id"] for r in search.fts(docs, "run", 5, porter=True).collect()} == {1, 2}
+    assert [r["id"] for r in search.fts(docs, "Cafe", 5, porter=True).collect()] == [2]
+
+
+def test_bad_files_are_kept_apart():
+    rows = scan.scan("deep.py", "x = " + "(" * 5000 + ")" * 5000)
+    assert rows[0]["what"] == "node" and scan.scan("ok.py", "def f(): pass")[1]["name"] == "f"
+    jobs = [r for r in scan.scan(".github/workflows/ci.yml", "jobs:\n  1:\n    needs: [2]\n  pages:\n    needs: a\n") if r["what"] == "node"]
+    assert {r["name"] for r in jobs} == {"ci/1", "ci/pages"} or not jobs  # without a YAML library keys are words
+
+
+def test_references_of_siblings_routes_and_lists():
+    rel = [r["candidates"] for r in scan.scan("p/q.py", "from . import b, c\nfrom .d import e\nfrom .. import z") if r["what"] == "ref"]
+    assert rel == [["p/b.py", "p/b/__init__.py"], ["p/c.py", "p/c/__init__.py"], ["p/d.py", "p/d/__init__.py"], ["z.py", "z/__init__.py"]]
+    assert scan.scan("app/x/page.tsx", "export default function Page() {}")[0]["kind"] == "route" and scan.scan("app/x/card.tsx", "")[0]["kind"] == "component"
+    assert [r["name"] for r in scan.scan("m.js", "export { a, b as c, default as d, e as default }") if r["what"] == "symbol"] == ["a", "c", "d"]
+    routes = [(r["name"], r["wanted"]) for r in scan.scan("auth.py", "r = APIRouter(prefix='/own')\n@r.get('/me')\ndef f(): pass") if r["what"] == "route"]
+    assert routes == [("/me", "/own")]
