@@ -321,6 +321,23 @@ def test_licenses_in_original_texts(spark):
     assert got[0][1] == got[9][1] == "mit_name,mit_grant,mit_keep" and got[1][1] == "apache_notice,apache_terms,apache_copy"
 
 
+def test_licenses_equal_their_sql(spark):
+    """Wrapped, flattened and mixed texts, nulls and repeats: the SQL for DuckDB gives the same rows."""
+    import duckdb
+    import pandas as pd
+
+    flat = [re.sub(r"[ \n*#/]+", " ", t).strip() for t in (MIT_TEXT, APACHE_TEXT, BSD_TEXT, BSD_TEXT + BSD_NAMES, GPL_TEXT, MPL_TEXT, GPL_TEXT.replace("GNU General", "GNU Lesser General"))]
+    rows = [MIT_TEXT, APACHE_TEXT, BSD_TEXT + BSD_NAMES, GPL_TEXT, MPL_TEXT, *flat, *flat[:2], None, "", "Licensed under CC BY 4.0.\nmore\nMIT License\n", "license \u212a v. 2", "Licensed under: the MIT License! " * 3]
+    table = [(i % 12, t) for i, t in enumerate(rows)]
+    got = [tuple(r) for r in licenses.license_table(docs(spark, table)).collect()]
+    documents = pd.DataFrame(table, columns=["doc_id", "text"])
+    want = duckdb.connect().register("documents", documents).sql(licenses.oracle()).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    named = [r[1] for r in got[5:12]]
+    assert named == ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL", "MPL-2.0", "LGPL"]
+    assert licenses.license_table(docs(spark, [])).count() == 0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
