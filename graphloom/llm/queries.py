@@ -37,7 +37,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.labelled_urls(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

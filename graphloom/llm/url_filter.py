@@ -1,6 +1,7 @@
 """URL filters: explicit rules first, then association rules mined with Spark's FP-growth.
 
-Transactions are the distinct tokens of labelled URLs (words of the host and of the path) with an item for the label.
+Transactions are the distinct tokens of labelled URLs (words of the host and of the path) with an item for the label. A
+URL's label comes from what its page shows: labelled_urls() joins pages to labelled documents by their opening words.
 Long paths would make 2^words sets of one URL, so only tokens that a kept rule can have are mined, and tokens that all
 labelled URLs have together or not at all count as one. Rules {tokens} => bad are kept by confidence and support; a rule is dropped when a subset of its tokens is at
 least as confident. All others are kept, in a table with each rule's rarest token; the distinct token sets of the URLs
@@ -13,13 +14,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, stored
 
 #: Fixed values: (host, path) => verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Host words that label a URL as bad whatever its page's label.
-SEEDS = ["casino", "bets", "pills", "adult", "spam", "ads", "porn", "xxx"]
-SUPPORT, ROWS, CONFIDENCE, MAX_TOKENS = 0.0005, 4, 0.8, 4
+#: A rule needs a share SUPPORT of the labelled URLs and ROWS of them, all bad, and CONFIDENCE among all that it fits.
+SUPPORT, ROWS, CONFIDENCE, MAX_TOKENS = 0.0005, 8, 0.8, 4
+OPENING, LEAST = 40, 20  #: characters of an opening that are compared, and that it must have
 BAD = "=bad"
 
 
@@ -55,13 +56,28 @@ def pruned(rules: DataFrame) -> DataFrame:
     return rules.join(weaker.select("tokens").distinct(), "tokens", "left_anti")
 
 
-def mined(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def labelled_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of the pages that show a labelled document: their title begins as the document's first line does.
+
+    bad: at least half of the labelled documents that begin so have quality 0. Null texts, openings of fewer than LEAST
+    characters, null and other labels teach nothing; of several labels of a document the lowest counts."""
+    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    blank = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    first = F.substring(blank(F.substring_index("text", "\n", 1)), 1, OPENING)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("opening")).where(F.length("opening") >= LEAST).join(marks, "doc_id")
+    known = held(stored(known.groupBy("opening").agg((F.avg("quality") <= 0.5).alias("bad"))))
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(code), F.lit(char))
+    shown = pages.where("url is not null and html is not null").select("url", F.substring(blank(title), 1, OPENING).alias("opening"))
+    return shown.where(F.length("opening") >= LEAST).join(known, "opening").select("url", "bad")
+
+
+def mined(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pruned rules (tokens, sorted; confidence) and the tokens that stand for others in them (token, name)."""
-    bad = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.min("quality").alias("quality"))
-    seeded = F.exists("tokens", lambda t: t.isin(*[f"h:{s}" for s in SEEDS]))
-    rows = pages.where("size(tokens) > 0").join(bad, "page_id", "left").withColumn("seeded", seeded).where("seeded or quality is not null")
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("seeded") | (F.col("quality") == 0)).alias("bad")))
-    spark = pages.sparkSession
+    rows = split(labelled.where("url is not null and bad is not null"), "bad").where("size(tokens) > 0")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
+    spark = labelled.sparkSession
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "tokens array<string>, confidence double"), spark.createDataFrame([], "token string, name string")
@@ -90,15 +106,21 @@ def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return held.join(keyed, "key").where(F.size(F.array_except("rule", "names")) == 0).select("tokens").distinct()
 
 
-def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def split(urls: DataFrame, *keep) -> DataFrame:
+    """The columns to keep, with host, path and tokens of a column url."""
+    host, path = host_and_path()
+    rows = urls.select(*keep, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    return rows.select("*", tokens().alias("tokens"))
+
+
+def judged(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (whether an association rule fits); a row for each row of pages.
 
-    A null URL or one without :// has an empty host and path, no rule and is allowed. Repeated rows and null ids are
-    kept; other columns are ignored; without labels or seeds no rule is mined. An empty table gives an empty result."""
-    host, path = host_and_path()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    rows = rows.select("*", tokens().alias("tokens"))
-    rules, names = mined(rows, labels)
+    labelled: url string, bad boolean; every row counts, rows with a null teach nothing. A null URL or one without ://
+    has an empty host and path, no rule and is allowed. Repeated rows and null ids are kept; other columns are ignored;
+    without labels no rule is mined. An empty table gives an empty result."""
+    rows = split(pages, F.col("page_id").cast("long").alias("page_id"))
+    rules, names = mined(labelled)
     sets = rows.select("tokens").distinct()
     named = sets.select("tokens", F.explode("tokens").alias("token")).join(names, "token").groupBy("tokens").agg(F.collect_set("name").alias("names"))
     fits = fitting(named, stored(rules)).withColumn("mined", F.lit(True))

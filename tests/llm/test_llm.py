@@ -371,7 +371,7 @@ def test_url_filter(spark):
     urls = ["http://a.net/x", "https://A.Example.net/en/1", "http://www.example.com/de/2?q", "http://b.org/fr/1", "http://net", "x", None, "http://notnet/", "http://shop.casino-win.example.org/it/1", "http://ok.example.org/it/2"]
     more = [f"http://s{i}.casino-win.example.org/en/{i}" for i in range(20)] + [f"http://t{i}.example.org/en/{i}" for i in range(40)]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls + more)], "page_id long, url string, html string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(30, 70)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(u, "casino" in u) for u in more] + [(None, True), ("http://a.b/c", None)], "url string, bad boolean")
     got = {r["page_id"]: r for r in url_filter.judged(pages, labels).collect()}
     want = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), (None, "allow")]
     assert [(got[i]["rule"], got[i]["verdict"]) for i in range(10)] == want
@@ -381,14 +381,29 @@ def test_url_filter(spark):
 
 def url_tables(spark, pages):
     rows = [(i, u, "") for i, (u, _) in enumerate(pages)]
-    marks = [(i, q, 0) for i, (_, q) in enumerate(pages) if q is not None]
-    return spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    marks = [(u, q == 0) for u, q in pages if q is not None]
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "url string, bad boolean")
 
 
-def test_url_rules_have_no_cap(spark):
+@pytest.fixture
+def few_rows(monkeypatch):
+    monkeypatch.setattr(url_filter, "ROWS", 4)
+
+
+def test_url_labels(spark):
+    """A URL is labelled by the documents whose opening its title shows; short openings, nulls and other labels teach nothing."""
+    start = "Some words that open the document & go on for long"
+    html = "<html><title>" + start.replace("&", "&amp;") + "</title>"
+    pages = spark.createDataFrame([(1, "http://a.b/1", html), (2, "http://a.b/2", "<title>short</title>"), (3, None, html), (4, "http://a.b/4", None), (5, "http://a.b/5", "<title>Quite another beginning of it all</title>")], "page_id long, url string, html string")
+    texts = spark.createDataFrame([(1, start + " x"), (2, start + " y\nz"), (3, start), (4, "short"), (5, None), (6, "Quite another beginning of it all\nand")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 0), (6, 1, 0), (6, None, 0), (None, 0, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
+    assert {(r["url"], r["bad"]) for r in url_filter.labelled_urls(pages, texts, labels).collect()} == {("http://a.b/1", True), ("http://a.b/5", False)}
+
+
+def test_url_rules_have_no_cap(spark, few_rows):
     """Thousands of redundant pairs of confidence 1.0 do not push out a rule of two tokens and one of three."""
-    seen = [(f"http://casino.z/{' '.join(f'a{10 * i + k}' for k in range(6))}".replace(" ", "/"), None) for i in range(150) for _ in range(4)]
-    seen += [(f"http://casino.z/a{10 * i}/a{10 * i + 3}/c{i}/d{i}/e{i}/f{i}", None) for i in range(150) for _ in range(4)]
+    seen = [(f"http://casino.z/{' '.join(f'a{10 * i + k}' for k in range(6))}".replace(" ", "/"), 0) for i in range(150) for _ in range(4)]
+    seen += [(f"http://casino.z/a{10 * i}/a{10 * i + 3}/c{i}/d{i}/e{i}/f{i}", 0) for i in range(150) for _ in range(4)]
     seen += [("http://m.q/red/blue", 0)] * 9 + [("http://m.q/red/blue", 1)] + [("http://m.q/red/x", 1)] * 9 + [("http://m.q/y/blue", 1)] * 9
     seen += [("http://m.q/k/l/m", 0)] * 9 + [("http://m.q/k/l/m", 1)] + [(f"http://m.q/{p}", 1) for p in ("k/l", "k/m", "l/m") for _ in range(9)]
     asked = [("http://new.q/red/blue", None), ("http://new.q/k/l/m", None), ("http://new.q/red/l", None), ("http://new.q/k/m", None)]
@@ -396,7 +411,7 @@ def test_url_rules_have_no_cap(spark):
     assert [got[len(seen) + i] for i in range(4)] == [True, True, False, False] and len(got) == len(seen) + 4
 
 
-def test_url_rules_of_long_paths(spark):
+def test_url_rules_of_long_paths(spark, few_rows):
     """Words after the sixth are learnt and block, alone and together; repeated long paths do not multiply the sets."""
     start = "a/b/c/d/e/f/g/h"
     seen = [(f"http://m.q/{start}/evil/{i}", 0) for i in range(20)] + [(f"http://m.q/{start}/fine/{i}", 1) for i in range(60)]
@@ -408,7 +423,7 @@ def test_url_rules_of_long_paths(spark):
     assert [got[len(seen) + i] for i in range(6)] == [True, True, True, False, True, False]
 
 
-def test_url_rules_against_brute_force(spark):
+def test_url_rules_against_brute_force(spark, few_rows):
     rnd = np.random.default_rng(17)
     rows = [(sorted(set(rnd.choice(list("abcdefgh"), rnd.integers(1, 7)).tolist())), int(rnd.random() < 0.4)) for _ in range(150)]
     rows = [(w, 0 if "a" in w and "b" in w and rnd.random() < 0.9 else 0 if "c" in w and "d" in w and "e" in w else q) for w, q in rows]
