@@ -91,6 +91,7 @@ VERSION = "(^|[^a-z0-9])v[.] ?([0-9])"  #: the full stop of "v. 2.0" ends no sen
 OTHER, NUMBER = "[^a-z0-9]+", "[0-9]+(?: [0-9]+)*"
 KNOWN = {v: k for k, v in SENTENCES.items()} | WHOLE
 INSIDE = {s: k for s, k in KNOWN.items() if s.count(" ") >= 7}
+SHORTEST = min(map(len, INSIDE))
 
 
 def license_table(docs: DataFrame) -> DataFrame:
@@ -108,8 +109,12 @@ def license_table(docs: DataFrame) -> DataFrame:
 
     def named(s):
         plain = F.regexp_replace(F.trim(F.regexp_replace(s, OTHER, " ")), NUMBER, "#")
-        held = [F.when(F.contains(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit(f" {x} ")), F.lit(k)) for x, k in INSIDE.items()]
-        return F.coalesce(F.element_at(known, plain), F.element_at(known, F.regexp_replace(plain, LEAD, "")), *held)
+
+        def found(p):
+            held = [F.when(F.contains(F.concat(F.lit(" "), p, F.lit(" ")), F.lit(f" {x} ")), F.lit(k)) for x, k in INSIDE.items()]
+            return F.coalesce(F.element_at(known, p), F.element_at(known, F.regexp_replace(p, LEAD, "")), F.when(F.length(p) >= SHORTEST, F.coalesce(*held)))
+
+        return F.element_at(F.transform(F.array(plain), found), 1)  # so that a sentence is normalised once
 
     def names(s):
         parts = F.filter(F.transform(F.split(s, LINES, -1), named), lambda x: x.isNotNull())
