@@ -123,7 +123,7 @@ def judged(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     rules, names = mined(labelled)
     sets = rows.select("tokens").distinct()
     named = sets.select("tokens", F.explode("tokens").alias("token")).join(names, "token").groupBy("tokens").agg(F.collect_set("name").alias("names"))
-    fits = fitting(named, stored(rules)).withColumn("mined", F.lit(True))
+    fits = held(stored(fitting(named, stored(rules)).withColumn("mined", F.lit(True))))  # if few, a common URL stays spread
     rows = rows.join(fits, "tokens", "left")
     rule, verdict = _explicit()
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), F.coalesce("mined", F.lit(False)).alias("mined"))
