@@ -195,7 +195,7 @@ def _terraform(path: str, text: str) -> Iterator[dict]:
         yield row(path, "ref", path, candidates=[], external=name)
 
 
-def _yaml(text: str) -> dict:
+def yaml_map(text: str) -> dict:
     try:
         import yaml
     except ImportError:
@@ -247,7 +247,7 @@ def _names(x) -> list[str]:
 
 
 def _compose(path: str, text: str) -> Iterator[dict]:
-    services = _yaml(text).get("services")
+    services = yaml_map(text).get("services")
     for name, spec in (services if isinstance(services, dict) else {}).items():
         spec = spec if isinstance(spec, dict) else {}
         name = str(name)
@@ -268,7 +268,7 @@ def _dockerfile(path: str, text: str) -> Iterator[dict]:
 
 
 def _jobs(path: str, text: str, lang: str) -> Iterator[dict]:
-    data = _yaml(text)
+    data = yaml_map(text)
     jobs = data.get("jobs") if lang == "github-actions" else {k: v for k, v in data.items() if isinstance(k, str) and k not in R.GITLAB_RESERVED and not k.startswith(".")}
     prefix = posixpath.splitext(posixpath.basename(path))[0] + "/" if lang == "github-actions" else ""
     for name, spec in (jobs if isinstance(jobs, dict) else {}).items():
