@@ -5,6 +5,7 @@ The shells only format; every answer is a DataFrame operation, and what reaches
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import os
 import sys
@@ -17,10 +18,10 @@ from . import report
 from .extract import build
 from .operators import graph, resolve, search, temporal
 from .schema import NON_FILE_TYPES, SOURCE_TYPES
-from .sources import embed, files, git
+from .sources import embed, files, git, hook
 from .sources.store import Store
 
-CONFIGS = ["package.json", "tsconfig.json", "jsconfig.json", "go.mod", "lerna.json", "nx.json", "turbo.json", "composer.json"]
+CONFIGS = ["package.json", "tsconfig.json", "jsconfig.json", "go.mod", "lerna.json", "nx.json", "turbo.json", "composer.json", "pnpm-workspace.yaml"]
 
 
 class Index:
@@ -36,7 +37,7 @@ class Index:
             with open(path, errors="replace") as f:
                 ignore = f.read().splitlines()
         found = files.config_files(self.spark, f"file://{self.repo}", CONFIGS)
-        spaces = files.workspaces(found)
+        spaces = files.workspaces(self.repo, found)
         packages = self.spark.createDataFrame(spaces, "dir string, name string") if spaces else None
         return build.analyze(files.read_tree(self.spark, f"file://{self.repo}", ignore), packages, files.go_module(found), files.aliases(found), files.psr4(found))
 
@@ -120,7 +121,16 @@ class Index:
         return self.store.read("symbols").where("active").join(f, "file_id")
 
     def lookup(self, name: str) -> list[dict]:
-        return [r.asDict() for r in self.symbols().where(F.col("name") == name).select("name", "kind", "line", "exported", "doc", "methods", "path", "blast_score").orderBy("path").collect()]
+        """Active symbols of a name, or the one of a numeric id, with the first lines of their definitions."""
+        wanted = (F.col("name") == name) | (F.col("id").cast("string") == name)
+        rows = self.symbols().where(wanted).select("id", "name", "kind", "line", "exported", "doc", "methods", "path", "blast_score").orderBy("path", "line")
+        return [r.asDict() | {"snippet": self._lines(r["path"], r["line"] or 1)} for r in rows.collect()]
+
+    def _lines(self, path: str, line: int) -> list[str]:
+        if not os.path.isfile(at := f"{self.repo}/{path}"):
+            return []
+        with open(at, errors="replace") as f:
+            return report.snippet(f.read(), line)
 
     def symbol_blast(self, file: str) -> list[dict]:
         """Exported symbols of a file with the importers whose text holds them as a word."""
@@ -202,20 +212,69 @@ class Index:
         return [r.asDict() for r in rows.select("path", "node_type", "blast_score", "direct_dependents", "transitive_dependents").collect()]
 
 
+def located(start: str) -> str:
+    """The nearest folder at or above start that holds a store; start itself if none does."""
+    at = os.path.abspath(start)
+    while not os.path.isdir(f"{at}/.graphloom"):
+        if (above := os.path.dirname(at)) == at:
+            return start
+        at = above
+    return at
+
+
+def saved(path: str, body: str) -> str:
+    with open(path, "w") as f:
+        f.write(body)
+    return path
+
+
 def provider() -> Callable[[list[str]], list[list[float]]]:
     endpoint = os.environ.get("GRAPHLOOM_EMBEDDING_ENDPOINT")
     return embed.http(endpoint, os.environ.get("GRAPHLOOM_EMBEDDING_MODEL", "default")) if endpoint else embed.hashed
 
 
+def _analyze(ix: Index, a: argparse.Namespace) -> object:
+    out = ix.analyze()
+    if a.output:
+        saved(a.output, json.dumps(ix.export(), indent=2, default=str))
+    return out
+
+
 def _report(ix: Index, a: argparse.Namespace) -> object:
     got = ix.impact(a.file, a.as_of)
+    if got is not None and a.out:
+        saved(a.out, report.impact(got["file"], got["dependents"], got["total"], markdown=True) + "\n")
     return None if got is None else got if a.json else report.impact(got["file"], got["dependents"], got["total"])
 
 
+def _symbols(ix: Index, a: argparse.Namespace) -> object:
+    """The section of all symbols; it is spliced into CLAUDE.md, and the symbols into files, where asked for."""
+    rows = [r.asDict() for r in ix.symbols().collect()]
+    section = report.section(rows, a.all_symbols)
+    document = report.symbol_document(rows, os.path.basename(ix.repo), str(datetime.date.today()))
+    if a.output:
+        saved(a.output, json.dumps(document, indent=2, default=str))
+    if a.inline:
+        with open(a.inline) as f:
+            graph_document = json.load(f)
+        saved(a.inline, json.dumps(report.with_symbols(graph_document, document["file_symbols"]), indent=2, default=str))
+    if a.claude_md:
+        at, old = f"{ix.repo}/CLAUDE.md", ""
+        if os.path.exists(at):
+            with open(at) as f:
+                old = f.read()
+        saved(at, report.spliced(old, section))
+    return section
+
+
+def _hook(ix: Index, a: argparse.Namespace) -> object:
+    return hook.remove(ix.repo) if a.remove else hook.install(ix.repo, a.threshold, a.strict)
+
+
 COMMANDS: dict[str, tuple[list[tuple[str, dict]], Callable[[Index, argparse.Namespace], object]]] = {
-    "analyze": ([], lambda ix, a: ix.analyze()),
-    "impact": ([("file", {}), ("--as-of", {})], _report),
-    "symbols": ([("--all-symbols", {"action": "store_true"})], lambda ix, a: report.section([r.asDict() for r in ix.symbols().collect()], a.all_symbols)),
+    "analyze": ([("--output", {})], _analyze),
+    "impact": ([("file", {}), ("--as-of", {}), ("--out", {})], _report),
+    "symbols": ([("--all-symbols", {"action": "store_true"}), ("--output", {}), ("--inline", {}), ("--claude-md", {"action": "store_true"})], _symbols),
     "lookup": ([("name", {})], lambda ix, a: ix.lookup(a.name) or None),
     "dependencies": ([("file", {})], lambda ix, a: ix.dependencies(a.file)),
     "high-blast": ([("--threshold", {"type": float, "default": 5.0})], lambda ix, a: ix.high_blast(a.threshold)),
@@ -226,11 +285,16 @@ COMMANDS: dict[str, tuple[list[tuple[str, dict]], Callable[[Index, argparse.Name
     "search": ([("query", {}), ("--k", {"type": int, "default": 10}), ("--as-of", {})], lambda ix, a: ix.search(a.query, a.k, a.as_of)),
     "graph": ([("file", {}), ("--direction", {"default": "both"}), ("--depth", {"type": int, "default": 2})], lambda ix, a: ix.neighborhood(a.file, a.direction, a.depth)),
     "export": ([], lambda ix, a: ix.export()),
-    "gate": ([("staged", {"nargs": "*"}), ("--threshold", {"type": int, "default": 10})], lambda ix, a: ix.gate(a.staged, a.threshold)),
+    "gate": ([("staged", {"nargs": "*"}), ("--threshold", {"type": int, "default": 10}), ("--strict", {"action": "store_true"})], lambda ix, a: ix.gate(a.staged or git.staged(ix.repo), a.threshold)),
+    "install-hook": ([("--threshold", {"type": int, "default": 10}), ("--strict", {"action": "store_true"}), ("--remove", {"action": "store_true"})], _hook),
 }
 TOOLS = {"analyze_repo": "analyze", "get_impact": "impact", "get_dependencies": "dependencies", "get_high_blast_files": "high-blast", "lookup_symbol": "lookup", "build_symbol_index": "symbols", "semantic_search": "search", "temporal_impact": "impact", "graph_query": "graph", "changed_since": "changed-since"}
 
 
+#: Arguments that name files to write: for the command line only, not for callers over JSON-RPC.
+WRITES = {"output", "out", "inline", "claude_md"}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="graphloom")
     subs = p.add_subparsers(dest="command", required=True)
@@ -250,12 +314,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
     if a.command == "serve":
         return serve(Index(spark, a.repo))
-    out = COMMANDS[a.command][1](Index(spark, a.repo, a.store), a)
+    repo = a.repo if a.store or a.command in ("analyze", "install-hook") else located(a.repo)
+    out = COMMANDS[a.command][1](Index(spark, repo, a.store), a)
     if out is None:
         print("nothing found", file=sys.stderr)
         return 1
     print(out if isinstance(out, str) else json.dumps(out, indent=2, default=str))
-    return 0
+    return hook.BLOCKED if a.command == "gate" and a.strict and out else 0
 
 
 def handle(ix: Index, message: dict) -> dict | None:
@@ -267,10 +332,11 @@ def handle(ix: Index, message: dict) -> dict | None:
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": t, "inputSchema": {"type": "object", "properties": {f.lstrip("-").replace("-", "_"): {} for f, _ in COMMANDS[c][0]}}} for t, c in TOOLS.items()]}}
+        known = {t: [f.lstrip("-").replace("-", "_") for f, _ in COMMANDS[c][0]] for t, c in TOOLS.items()}
+        return reply | {"result": {"tools": [{"name": t, "inputSchema": {"type": "object", "properties": {f: {} for f in own if f not in WRITES}}} for t, own in known.items()]}}
     if method == "tools/call" and params.get("name") in TOOLS:
         args, run = COMMANDS[TOOLS[params["name"]]]
-        given = {f.lstrip("-").replace("-", "_"): s.get("default", False if s.get("action") else None) for f, s in args} | {"json": True} | (params.get("arguments") or {})
+        given = {f.lstrip("-").replace("-", "_"): s.get("default", False if s.get("action") else None) for f, s in args} | {"json": True} | {k: v for k, v in (params.get("arguments") or {}).items() if k not in WRITES}
         try:
             body = run(ix, argparse.Namespace(**given))
         except (AttributeError, RuntimeError, ValueError) as e:

@@ -46,6 +46,36 @@ def section(symbols: list[dict], everything: bool = False, begin: str = "<!-- sy
     return "\n".join([begin, *(f"{p}: {' '.join(v)}" for p, v in by.items()), end])
 
 
+def symbol_document(symbols: list[dict], repo: str, day: str) -> dict:
+    """Symbols by name and by file, as one document."""
+    names: dict[str, list[dict]] = {}
+    owners: dict[str, list[dict]] = {}
+    for s in sorted(symbols, key=lambda s: (s["path"], s["line"] or 0, s["name"])):
+        own = {k: s.get(k) for k in ("kind", "line", "exported", "doc", "methods") if s.get(k) is not None}
+        owners.setdefault(s["path"], []).append({"name": s["name"], **own})
+        names.setdefault(s["name"], []).append({**own, "file": s["path"]})
+    return {"meta": {"generated": day, "repo": repo + "/", "total_symbols": len(symbols)}, "symbols": names, "file_symbols": owners}
+
+
+def with_symbols(document: dict, file_symbols: dict[str, list[dict]]) -> dict:
+    """A graph document whose nodes carry their symbols; a node that is a folder carries those of the files below it."""
+    below: dict[str, list[dict]] = {}
+    for path, own in file_symbols.items():
+        for k, c in enumerate(path):
+            if c == "/":
+                below.setdefault(path[:k], []).extend(own)
+    nodes = []
+    for node in document["nodes"]:
+        own = file_symbols.get(node["id"]) or below.get(node["id"])
+        nodes.append({**node, "symbols": own} if own else node)
+    return {**document, "nodes": nodes}
+
+
+def snippet(text: str, line: int, most: int = 5) -> list[str]:
+    """The lines of a definition: its own and those after it."""
+    return text.splitlines()[max(0, line - 1) : line - 1 + most]
+
+
 def spliced(text: str, block: str) -> str:
     """text with the marked section replaced, or appended."""
     begin, end = block.split("\n", 1)[0], block.rsplit("\n", 1)[-1]

@@ -48,6 +48,11 @@ def changed(root: str, ref: str, kinds: str = "M") -> list[str]:
     return [x.split("\t")[-1] for x in lines if x[:1] in kinds]
 
 
+def staged(root: str) -> list[str]:
+    """Added or modified paths in the index."""
+    return (_git(root, "diff", "--cached", "--name-only", "--diff-filter=AM", timeout=30) or "").splitlines()
+
+
 def snapshots(commits: DataFrame, root: str) -> DataFrame:
     """(seq, path, blob) of every commit's tree; commits are spread over partitions, each lists its own trees."""
 

@@ -306,3 +306,86 @@ def test_references_of_siblings_routes_and_lists():
     assert [r["name"] for r in scan.scan("m.js", "export { a, b as c, default as d, e as default }") if r["what"] == "symbol"] == ["a", "c", "d"]
     routes = [(r["name"], r["wanted"]) for r in scan.scan("auth.py", "r = APIRouter(prefix='/own')\n@r.get('/me')\ndef f(): pass") if r["what"] == "route"]
     assert routes == [("/me", "/own")]
+
+
+def test_workspaces(tmp_path):
+    from graphloom.sources import files
+
+    for d in ("packages/a", "packages/b", "tools/only", "other/c", "apps/x"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "packages" / "note.txt").write_text("no folder")
+    named = {"packages/a/package.json": '{"name": "@s/a"}', "other/c/package.json": '{"name": "c"}'}
+
+    def got(**texts):
+        return dict(files.workspaces(str(tmp_path), named | {k.replace("__", "-").replace("_", "."): v for k, v in texts.items()}))
+
+    assert got() == {}  # a package.json alone makes no workspace
+    assert got(package_json='{"workspaces": ["packages/*"]}') == {"packages/a": "@s/a", "packages/b": "b"}
+    assert got(package_json='{"workspaces": {"packages": ["tools/only", "missing", 3, ".."]}}') == {"tools/only": "only"}
+    assert got(pnpm__workspace_yaml="packages:\n  - 'packages/*'\n  - '!packages/b'\n  - other/c\n") == {"packages/a": "@s/a", "packages/b": "b", "other/c": "c"}
+    assert set(got(lerna_json="{}")) == {"packages/a", "packages/b"}
+    assert set(got(nx_json="{}")) == {"apps/x", "packages/a", "packages/b"}
+    assert got(turbo_json="{}", package_json='{"workspaces": ["other/c"]}') == {"other/c": "c"}
+    assert got(package_json="{bad", lerna_json="[]") != {} and got(package_json="{bad") == {}
+
+
+def test_hook(tmp_path):
+    from graphloom.sources import git as source
+    from graphloom.sources import hook
+
+    assert hook.install(str(tmp_path)) is None and hook.remove(str(tmp_path)) is None
+    git(tmp_path, "init", "-q", "-b", "main")
+    at = tmp_path / ".git" / "hooks" / "pre-commit"
+    assert hook.install(str(tmp_path), 7, True) == str(at) and at.stat().st_mode & 0o111 == 0o111
+    assert "--threshold 7 --strict" in at.read_text() and "--strict" not in hook.script(10, False)
+    (tmp_path / "a.py").write_text("X = 1\n")
+    git(tmp_path, "add", ".")
+    assert source.staged(str(tmp_path)) == ["a.py"]
+    git(tmp_path, "commit", "-q", "-m", "no store, so it passes")
+    assert hook.remove(str(tmp_path)) == str(at) and not at.exists()
+    at.write_text("#!/bin/sh\n")
+    assert hook.install(str(tmp_path)) is None and hook.remove(str(tmp_path)) is None and at.exists()
+
+
+def test_symbol_documents():
+    rows = [{"path": "p/b.go", "name": "g", "kind": "function", "line": 3, "exported": True, "doc": None, "methods": None}, {"path": "a.py", "name": "f", "kind": "function", "line": 1, "exported": False, "doc": "d", "methods": ["m"]}]
+    d = report.symbol_document(rows, "r", "2026-01-01")
+    assert d["meta"] == {"generated": "2026-01-01", "repo": "r/", "total_symbols": 2}
+    assert d["symbols"]["g"] == [{"kind": "function", "line": 3, "exported": True, "file": "p/b.go"}]
+    assert d["file_symbols"]["a.py"] == [{"name": "f", "kind": "function", "line": 1, "exported": False, "doc": "d", "methods": ["m"]}]
+    nodes = report.with_symbols({"nodes": [{"id": "a.py"}, {"id": "p"}, {"id": "q"}], "links": []}, d["file_symbols"])["nodes"]
+    assert [[s["name"] for s in n.get("symbols", [])] for n in nodes] == [["f"], ["g"], []]
+    assert report.snippet("1\n2\n3\n4\n5\n6\n7", 2) == ["2", "3", "4", "5", "6"] and report.snippet("", 4) == []
+
+
+def test_command_line_files(spark, tmp_path, capsys):
+    from graphloom import api
+
+    repo = tmp_path / "repo"
+    (repo / "sub").mkdir(parents=True)
+    git(repo, "init", "-q", "-b", "main")
+    (repo / "a.py").write_text("from b import given\n")
+    (repo / "b.py").write_text("def given():\n    # Gives.\n    return 1\n")
+    (repo / "CLAUDE.md").write_text("# Notes\n")
+    git(repo, "add", ".")
+    out = str(tmp_path / "graph.json")
+    assert api.main(["analyze", "--repo", str(repo), "--output", out], spark) == 0
+    assert {n["id"] for n in json.loads(open(out).read())["nodes"]} == {"a.py", "b.py"}
+    assert api.located(str(repo / "sub")) == str(repo) and api.located(str(tmp_path)) == str(tmp_path)
+    index = str(tmp_path / "symbols.json")
+    for _ in range(2):
+        assert api.main(["symbols", "--repo", str(repo / "sub"), "--output", index, "--inline", out, "--claude-md"], spark) == 0
+    notes = (repo / "CLAUDE.md").read_text()
+    assert notes.startswith("# Notes") and notes.count("given:fn:1") == 1
+    assert "given" in json.loads(open(index).read())["symbols"]
+    assert [n["symbols"][0]["name"] for n in json.loads(open(out).read())["nodes"] if n["id"] == "b.py"] == ["given"]
+    text = str(tmp_path / "impact.md")
+    assert api.main(["impact", "b.py", "--repo", str(repo), "--out", text], spark) == 0 and open(text).read().startswith("## Impact: b.py")
+    ix = api.Index(spark, str(repo))
+    found = ix.lookup("given")
+    assert found[0]["snippet"][0] == "def given():" and ix.lookup(str(found[0]["id"])) == found
+    capsys.readouterr()
+    assert api.main(["gate", "--threshold", "0", "--strict", "--repo", str(repo)], spark) == 3  # the staged files
+    assert api.main(["gate", "--threshold", "99", "--strict", "--repo", str(repo)], spark) == 0
+    api.handle(ix, {"id": 1, "method": "tools/call", "params": {"name": "get_impact", "arguments": {"file": "b.py", "out": str(tmp_path / "no")}}})
+    assert not (tmp_path / "no").exists()
