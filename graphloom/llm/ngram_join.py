@@ -16,25 +16,30 @@ holds two of the 1 + M shared ones. About four frequent shingles fall in a class
 grows linearly with a document, and nothing similar is missed. M depends on n by bands; a document
 near a band's edge is indexed in both.
 
+Similar sets have similar sizes. Sizes fall into steps whose bounds are den / num apart, so those of similar sets are
+equal or next to each other, and every signature is given with its set's step and with the next one: chance signatures
+of sets of other sizes do not meet, which else would tie most of a large corpus into one unit.
+
 Documents that share a signature form candidate units (connected components of a star for each
 signature, never all pairs). Units are cut into blocks of bounded size; a block is verified exactly
 in memory and emits only a spanning forest of its links. Members of larger units are kept as their symmetric
 difference from the unit's first set, which is short for near copies; two sets differ by the symmetric difference
-of their differences, so the check stays exact. Documents that a block leaves outside their unit's largest
-component then visit the unit's other blocks.
+of their differences, so the check stays exact. Blocks of a unit are cut by size of set. Documents that a block leaves
+outside their unit's largest component then visit those of the unit's other blocks that hold sets of similar sizes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_words, claim, hash_words, held, mixed, ship, stored
+from .common import batch_words, claim, dropped, hash_words, held, mixed, ship, stored, written
 from .components import components
 
 RARE = 12  #: shingles in at most so many samples are indexed singly
@@ -73,6 +78,10 @@ class Rule:
     def sample(self, n: int) -> int:
         return n - self.overlap(n) + self.inner(n)
 
+    def step(self, n: int) -> int:
+        """Steps of similar sizes differ by one at most (bounds are a little wider apart than den / num, for rounding)."""
+        return int(math.log(n) / (math.log(self.den / self.num) * (1 + 1e-6))) if self.num < self.den else n
+
     def bands(self, n: int) -> list[int]:
         at = (n, n * self.den // self.num)
         return sorted({1 << max(0, (x // 32).bit_length() - 1) for x in at})
@@ -127,7 +136,8 @@ def _signatures(rule: Rule):
                         x = f[group == g]
                         i1, i2 = np.triu_indices(len(x), 1)
                         got.append(mixed(mixed(x[i1] + np.uint64(m)) + x[i2]))
-                s = np.concatenate(got)
+                s, step = np.concatenate(got), rule.step(n)
+                s = np.concatenate([mixed(s + np.uint64(step)), mixed(s + np.uint64(step + 1))])
                 sigs.append(s)
                 owner.append(np.full(len(s), c, np.int64))
             if sigs:
@@ -245,12 +255,18 @@ def _visit(rule: Rule):
                     if not held:
                         continue
                     whole = pa.concat_tables(held)
+                    whole = whole.sort_by("n")
                     home = (*_unpack(whole), np.asarray(whole.column("comp").combine_chunks()))
                 ids, sizes, flat, offs, comp = home
                 vid, vsizes, vflat, voffs = _unpack(t)
                 out = []
                 for i, c in enumerate(np.asarray(t.column("comp").combine_chunks())):
-                    hit = _similar(vflat[voffs[i] : voffs[i + 1]], int(vsizes[i]), sizes, offs, flat, rule) & (comp != c)
+                    n = int(vsizes[i])
+                    lo, hi = np.searchsorted(rule.den * sizes, rule.num * n), np.searchsorted(rule.num * sizes, rule.den * n, "right")
+                    if lo == hi:
+                        continue
+                    own, part = offs[lo : hi + 1] - offs[lo], flat[offs[lo] : offs[hi]]
+                    hit = lo + np.flatnonzero(_similar(vflat[voffs[i] : voffs[i + 1]], n, sizes[lo:hi], own, part, rule) & (comp[lo:hi] != c))
                     first = np.unique(comp[hit], return_index=True)[1]
                     out += [(vid[i], x) for x in ids[hit][first]]
                 yield _links(out)
@@ -266,8 +282,15 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     short = stored(sets.join(base, "unit").select("cls", "unit", "n", "toks", "base").mapInArrow(_differences, "cls long, unit long, n long, toks array<long>"))
     size = short.groupBy("unit").agg(F.count("*").alias("sets"), F.sum(F.size("toks")).alias("shingles"))
     slices = size.select("unit", F.greatest(F.ceil(F.col("sets") / LARGE_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("slices"))
-    slices = held(stored(slices))
-    dealt = short.join(slices, "unit").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")))
+    dealt = short.join(held(stored(slices)), "unit")
+    # slice: which of unit's parts of equal sums of work, in the order of sizes, as running sums over a histogram of sizes show
+    work = F.lit(BLOCK_SHINGLES // LARGE_SETS) + F.size("toks")
+    sizes = stored(dealt.groupBy("unit", "slices", "n").agg(F.sum(work).alias("work")))
+    along = Window.partitionBy("unit").orderBy("n")
+    share = sizes.select("unit", "n", "slices", "work", F.sum("work").over(along).alias("upto"), F.sum("work").over(Window.partitionBy("unit")).alias("total"))
+    share = held(stored(share.select("unit", "n", *[F.least(F.col("slices") - 1, F.floor((F.col("upto") - F.col("work") * x) * F.col("slices") / F.col("total"))).alias(c) for c, x in (("low", 1), ("high", 0))])))
+    spread = F.pmod(F.xxhash64("cls"), F.col("high") - F.col("low") + 1)  # sets of one size may fill several parts
+    dealt = dealt.join(share, ["unit", "n"]).withColumn("slice", F.col("low") + spread).drop("low", "high")
     cut, toks = dealt.drop("toks"), short.select("cls", "toks")
     blocks = dealt.repartition("unit", "slice").sortWithinPartitions("unit", "slice")
     links = stored(blocks.select("cls", "unit", "slice", "n", "toks").mapInArrow(_verify(rule), "a long, b long"))
@@ -279,7 +302,9 @@ def _large_units(sets: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     largest = cut.groupBy("unit", "comp").count().groupBy("unit").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     minor = stored(cut.join(largest, "unit").where("comp <> main").drop("main"))
     cut = stored(cut.join(minor.select("unit").distinct(), "unit", "left_semi"))  # whole units need no visits
-    near = minor.where(F.col("slices") <= TOUR).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    ranges = held(stored(cut.groupBy("unit", F.col("slice").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))))
+    similar = (F.col("n") * rule.num <= F.col("most") * rule.den) & (F.col("least") * rule.num <= F.col("n") * rule.den)
+    near = minor.where(F.col("slices") <= TOUR).join(ranges, "unit").where(similar).select(*minor.columns, "to")
     wide = cut.where(F.col("slices") > TOUR)
     seen = sigs.join(wide, "cls").select("sig", "unit", F.col("slice").alias("to")).distinct()
     far = minor.where(F.col("slices") > TOUR).join(sigs, "cls").join(seen, ["sig", "unit"]).select(*near.columns).distinct()
@@ -298,15 +323,20 @@ def labelled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ship(docs.sparkSession)
     rule = Rule(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    spark, first_at = docs.sparkSession, written()
     every = stored(docs.mapInArrow(_sets(width, rule, False), "doc_id long, th long, n long, key binary, cls long, toks array<long>"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc"), F.col("th").alias("first_th"), "n", "cls", "toks")
     reps = stored(every.where("n > 0").groupBy("key").agg(F.min(own).alias("r")).select("key", "r.first_doc", "r.first_th", "r.n", "r.cls", "r.toks"))
+    every = stored(every.drop("toks"))
+    dropped(spark, first_at, first_at + 1)
     posts = reps.select("cls", "n", F.explode("toks").alias("tok"))
     df = posts.groupBy("tok").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     o = F.floor((F.col("n") * num + (den - 1)) / den)
     found = posts.join(df, "tok").groupBy("cls", "n").agg(F.collect_list(F.struct("df", "tok")).alias("hits"))
     found = found.where(F.size("hits") > F.least(o, 2 + F.floor(o / 8)) - 1 - F.greatest(F.lit(1), F.floor(F.col("n") * den / num / 32)))
     sigs = stored(found.mapInArrow(_signatures(rule), "sig long, cls long"))
+    reps = stored(reps.drop("toks"))
+    dropped(spark, first_at + 1, first_at + 2)
     lead = sigs.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead < top").select("sig", "lead")
     units = components(sigs.join(lead, "sig").select("cls", "lead"), "cls", "lead")
     members = stored(units.join(reps.select(F.col("cls").alias("node"), "first_doc", "first_th", "n"), "node").select(F.col("node").alias("cls"), F.col("comp").alias("unit"), "first_doc", "first_th", "n"))
