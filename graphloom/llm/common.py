@@ -75,6 +75,13 @@ def dropped(spark: SparkSession, start: int, stop: int) -> None:
             _WRITTEN[i] = ""
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect their garbage and give free heap back to the system, before a step whose memory
+    is that of its Python workers: a heap that has grown stays as it is otherwise. Which executors get a task is up to Spark."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).where("done is not null").toArrow()
+
+
 def held(table_: DataFrame) -> DataFrame:
     """A stored table of a few longs a row, with a broadcast hint if a count shows that it is small."""
     return F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, line_crf, ngram_join, packing, pii
-from .common import dropped, held, stored, table, written
+from .common import dropped, held, settle, stored, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows without a benchmark passage. Null and empty texts hold none and stay; repeated rows stay or go together."""
+    settle(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -55,6 +56,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences. Null and empty texts are the end token alone; repeated rows are packed each on
     their own; null ids stay null; other columns are left out."""
+    settle(spark)
     return packing.packed(docs)
 
 
