@@ -2,10 +2,10 @@
 
 Generators with high recall propose spans that may overlap: the four base kinds and loose forms (long digit
 groups, long mixed tokens with a digit, anything around an @). Boosted trees use format and context features, among
-them a naming word just before the span and the prefixes of key issuers. They are fitted on a bounded sample of
-candidates, the FIT_ROWS first ones by hash out of about FIT_DOCS documents, with weak labels (a validated base match,
-a naming word or an issuer's prefix). Each kind's threshold is calibrated on the half of the sample that the trees did
-not see. Base matches always stay; selected candidates of the loose kinds that no base span covers are added. The trees become SQL CASE expressions, so a document
+them a naming word just before the span and the prefixes of key issuers. They are fitted on the candidates of every
+document, with weak labels (a validated base match, a naming word or an issuer's prefix). Features have fixed steps, so
+candidates that agree in all of them are one row with their number as its weight. Half of the candidates, by hash,
+teach the trees; each kind's threshold is calibrated on the other half, which the trees did not see. Base matches always stay; selected candidates of the loose kinds that no base span covers are added. The trees become SQL CASE expressions, so a document
 is scored inside its own row: no shuffle, no Python.
 
 Offsets: a regular expression's matches and the gaps between them (split by the same expression) lie end to end,
@@ -40,7 +40,10 @@ GUARD = {"email": "@", "address": "@", "phone": "+"}
 NAMING = r"(?i)(?:token|key|secret|passw\w*|auth\w*|bearer|ssn|iban|account|mail|phone|tel)\W{0,6}$"
 #: Prefixes of keys as their issuers give them.
 ISSUED = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ)"
-FIT_DOCS, FIT_ROWS, TREES, DEPTH, PRECISION = 20_000, 20_000, 12, 3, 0.9
+TREES, DEPTH, PRECISION = 12, 3, 0.9
+#: Shares are multiples of 1 / STEPS, counts end at MOST. Spark looks for splits in a part of the rows where there are more
+#: than MAX_BINS ** 2 of them; a feature has fewer values than MAX_BINS, so every bound between two of them is a split.
+STEPS, MOST, MAX_BINS = 64, 200, 1024
 
 
 def _digits(x: str) -> str:
@@ -96,12 +99,18 @@ def _features(c: str) -> dict[str, str]:
     x, n = f"{c}.x", f"length({c}.x)"
 
     def share(chars: str) -> str:
-        return f"length(regexp_replace({x}, '[^{chars}]', '')) / {n}"
+        return part(f"length(regexp_replace({x}, '[^{chars}]', ''))")
+
+    def part(count: str) -> str:
+        return f"round({STEPS} * {count} / {n}) / {STEPS}"
+
+    def upto(count: str) -> str:
+        return f"double(least({MOST}, {count}))"
 
     return {
-        "length": f"double({n})", "digit": share("0-9"), "upper": share("A-Z"), "lower": share("a-z"), "hex": share("0-9a-f"),
-        "marks": f"double(length(regexp_replace({x}, '[A-Za-z0-9]', '')))", "varied": f"size(array_distinct(split({x}, ''))) / {n}",
-        "turns": f"double(size(split({x}, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])')))", "dots": f"double(length({x}) - length(replace({x}, '.', '')))",
+        "length": upto(n), "digit": share("0-9"), "upper": share("A-Z"), "lower": share("a-z"), "hex": share("0-9a-f"),
+        "marks": upto(f"length(regexp_replace({x}, '[A-Za-z0-9]', ''))"), "varied": part(f"size(array_distinct(split({x}, '')))"),
+        "turns": upto(f"size(split({x}, '(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])'))"), "dots": upto(f"length({x}) - length(replace({x}, '.', ''))"),
         "quoted": f"double({c}.before rlike '[\"\\']$')", "assigned": f"double({c}.before rlike '[=:] ?[\"\\']?$')", "line_start": f"double({c}.before = '' or {c}.before rlike '\\n$')",
         "named": f"double({c}.named)", "issued": f"double({c}.issued)", "loose_kind": f"double(case {c}.k when 'address' then 0 when 'number' then 1 else 2 end)",
     }
@@ -122,7 +131,7 @@ def _tree_sql(text: str, names: list[str]) -> str:
 
     def node(i: int) -> tuple[str, int]:
         if lines[i].startswith("Predict:"):
-            return lines[i].split(":")[1].strip(), i + 1
+            return f"{round(float(lines[i].split(':')[1]), 9)!r}D", i + 1  # sums over tasks differ in their last digits
         feature, bound = re.match(r"If \(feature (\d+) <= ([-\d.eE]+)\)", lines[i]).groups()
         low, i = node(i + 1)
         high, i = node(i + 1)
@@ -145,29 +154,27 @@ class Selector:
 
 
 def fitted(docs: DataFrame) -> Selector:
-    """Trees and thresholds from at most FIT_ROWS candidates out of about FIT_DOCS documents (a column body).
+    """Trees and thresholds from the candidates of every document (a column body).
 
-    Which documents and candidates teach follows from hashes alone, so the same table gives the same selector. With
-    too few candidates of one label there are no trees: kinds whose candidates are nearly all positive are selected."""
-    every = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("body"), F.lit(max(1, every // FIT_DOCS))) == 0)
-    rows = with_spans(some, BASE | LOOSE).select(F.explode(_candidates()).alias("c"))
+    Which half a candidate belongs to follows from a hash. With too few candidates of one label there are no trees:
+    kinds whose candidates are nearly all positive are selected."""
+    rows = with_spans(docs, BASE | LOOSE).select(F.explode(_candidates()).alias("c"))
     names = list(_features("c"))
     weak = F.expr("double(c.covered or c.named or c.issued)").alias("label")
-    flat = rows.select("c.k", weak, F.xxhash64("c.k", "c.x", "c.before").alias("h"), "c.x", "c.before", *[F.expr(v).alias(k) for k, v in _features("c").items()])
-    flat = flat.where("length is not null").orderBy("h", "x", "before", "label").limit(FIT_ROWS)
-    flat = stored(flat.select("k", "label", F.pmod("h", F.lit(2)).alias("half"), *names).coalesce(1))
-    counts = {(r["half"], r["label"], r["k"]): r["count"] for r in flat.groupBy("half", "label", "k").count().collect()}
+    half = F.pmod(F.xxhash64("c.k", "c.x", "c.before"), F.lit(2)).alias("half")
+    flat = rows.select("c.k", weak, half, *[F.expr(v).alias(k) for k, v in _features("c").items()])
+    flat = stored(flat.where("length is not null").groupBy("k", "label", "half", *names).agg(F.count("*").cast("double").alias("weight")))
+    counts = {(r["half"], r["label"], r["k"]): r["n"] for r in flat.groupBy("half", "label", "k").agg(F.sum("weight").alias("n")).collect()}
     if any(sum(n for (h, v, _), n in counts.items() if (h, v) == (0, label)) < 5 for label in (0.0, 1.0)):
         good = {k: sum(n for (_, v, kind), n in counts.items() if (v, kind) == (1.0, k)) for k in LOOSE}
         total = {k: sum(n for (_, _, kind), n in counts.items() if kind == k) for k in LOOSE}
         return Selector("1D", {k: 0.5 for k in LOOSE if total[k] >= 5 and good[k] >= PRECISION * total[k]})
     data = VectorAssembler(inputCols=names, outputCol="features").transform(flat.where("half = 0"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=32).fit(data)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, maxBins=MAX_BINS, weightCol="weight").fit(data)
     margin = " + ".join(f"{w!r}D * ({_tree_sql(t.toDebugString, names)})" for t, w in zip(model.trees, model.treeWeights, strict=True))
     plain = {k: k for k in names}
-    steps = flat.where("half = 1").select("k", "label", (F.floor(F.expr(margin.format(**plain)) * 20) / 20).alias("m"))
-    seen = steps.groupBy("k", "m").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()
+    steps = flat.where("half = 1").select("k", "label", "weight", (F.floor(F.expr(margin.format(**plain)) * 20) / 20).alias("m"))
+    seen = steps.groupBy("k", "m").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")).collect()
     thresholds = {}
     for k in LOOSE:
         good = total = 0
