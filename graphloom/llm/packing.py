@@ -29,9 +29,12 @@ COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 PART_WORDS = 400_000
 
 
-#: Words whose case and pieces need no Unicode tables; the pieces of such a word, in lower case.
-SIMPLE = re.compile(r"(?:(?!<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ])*\Z")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: What no word holds whose case and pieces need no Unicode tables; the pieces of other words, in lower case, and the
+#: blanks between them.
+ODD = re.compile(r"<\||[^\x20-\x7eÀ-ÖØ-öø-ÿ]")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^a-zß-öø-ÿ0-9 ]+")
+STOP = b"\xff" * 4  #: stands for a blank among ids, whose upper bytes are 0
+NEW_WORDS = 50_000
 
 
 class WordIds(dict):
@@ -50,7 +53,7 @@ class WordIds(dict):
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {" ": STOP}
 
     def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -67,38 +70,46 @@ class WordIds(dict):
         return out
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        simple, odd = {}, []
-        for w in words:
-            t = w.decode()
-            if SIMPLE.match(t):
-                simple[w] = PIECE.findall(t.lower())
-            else:
-                odd.append(w)
-        known = self.pieces
-        fresh = self._encoded([p for p in set().union(*simple.values()) if p not in known]) if simple else {}
-        if len(known) + len(fresh) > self.limit // 2:
-            known.clear()
-            fresh = self._encoded(list(set().union(*simple.values())))
-        known.update(fresh)
-        return {w: b"".join(map(known.__getitem__, ps)) for w, ps in simple.items()} | (self._whole(odd) if odd else {})
+        text, at, odd, kept = b" ".join(words).decode(), 0, [], []
+        while m := ODD.search(text, at):
+            begin, end = max(at, text.rfind(" ", at, m.start()) + 1), text.find(" ", m.start())
+            end = len(text) if end < 0 else end
+            kept.append(text[at:begin])
+            odd.append(text[begin:end].encode())
+            at = end + 1
+        kept.append(text[at:])
+        simple = "".join(kept).rstrip(" ")
+        pieces, known = PIECE.findall(simple.lower()), self.pieces
+        fresh = self._encoded([p for p in set(pieces) if p not in known and p != " "])
+        if len(known) + len(fresh) <= self.limit // 2:
+            known.update(fresh)
+            fresh = {}
+        get = known.get
+        ids = b"".join([fresh[p] if (x := get(p)) is None else x for p in pieces] if fresh else map(known.__getitem__, pieces))
+        out = dict(zip(simple.encode().split(), ids.split(STOP) if pieces else [], strict=True))
+        return out | (self._whole(odd) if odd else {})
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        words = [t.split() for t in texts]
-        missing = [w for w in set().union(*words) if w not in self]
-        extra = self._new(missing) if missing else {}
+        words, found, gaps = [], [], []
+        for t in texts:
+            ws = t.split()
+            xs = list(map(self.get, ws))
+            own, i = [], -1
+            for _ in range(xs.count(None)):
+                i = xs.index(None, i + 1)
+                own.append(i)
+            words.append([ws[i] for i in own])
+            found.append(xs)
+            gaps.append(own)
+        missing, extra = list(set().union(*words)), {}
+        for lo in range(0, len(missing), NEW_WORDS):
+            extra |= self._new(missing[lo : lo + NEW_WORDS])
         room = self.limit - len(self)
-        if room >= len(extra):
-            self.update(extra)
-            extra = {}
-        elif room > 0:
-            self.update(list(extra.items())[:room])
-        if extra:
-            get = self.get
-            for ws in words:
-                yield b"".join([extra[w] if (x := get(w)) is None else x for w in ws])
-        else:
-            for ws in words:
-                yield b"".join(map(self.__getitem__, ws))
+        self.update(extra if room >= len(extra) else list(extra.items())[: max(0, room)])
+        for xs, ws, own in zip(found, words, gaps, strict=True):
+            for i, w in zip(own, ws, strict=True):
+                xs[i] = extra[w]
+            yield b"".join(xs)
 
 
 def cuts(total: int, capacity: int) -> list[int]:
