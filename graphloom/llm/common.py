@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+def trim(spark: SparkSession) -> bool:
+    """Lets the driver's JVM give back what its C library holds free: threads that come and go, compilers' among them,
+    leave much of it behind in a long session. False where the JVM has no such command."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        lang = jvm.java.lang
+        (invoke,) = (m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = new(lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new(lang.Object, 0), new(lang.String, 0)
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared scratch folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim(spark)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
