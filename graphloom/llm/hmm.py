@@ -5,7 +5,7 @@ two bytes) and one end symbol. Emission of a word of class g in state s is b_s(g
 training count c, so probabilities of texts are proper over an open vocabulary.
 
 Training: states start from EM on a bounded sample (SAMPLE windows of WINDOW symbols). Then come Baum-Welch passes, each
-over all training documents: partitions add up expected counts of whole sequences, their sums meet in pieces on the
+over all training documents, whose symbols are stored once, two bytes a token: partitions add up expected counts of whole sequences, their sums meet in pieces on the
 executors, and the model is re-estimated. Passes end when the log-likelihood per token improves by less than CONVERGED
 of itself, after MOST_PASSES at the latest. Sequences longer than SEGMENT run as segments side by side: products of a
 segment's transition matrices carry the forward and backward messages across its ends, so the counts are those of the
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, claim, hash_words, ship, stored
+from .common import batch_words, claim, dropped, hash_words, ship, stored, written
 from .ngram_join import by_group
 from .sums import combined, pieces, summed
 
@@ -264,13 +264,25 @@ def _sampled(head: list[bytes]):
     return run
 
 
-def _expected(head: list[bytes], model: Model):
+def _coded(head: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none")
-        symbols, into = Symbols(head), blank()
+        symbols = Symbols(head)
         for b in batches:
             for part in _slices(batch_words(b.column("text")), SLICE):
-                model.expect(*_sequences(part, symbols), into)
+                flat, sizes = _sequences(part, symbols)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (flat.astype("<u2").tobytes(), sizes.astype("<i8").tobytes())], ["flat", "sizes"])
+
+    return run
+
+
+def _expected(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("none")
+        into = blank()
+        for b in batches:
+            for flat, sizes in zip(b.column("flat"), b.column("sizes"), strict=True):
+                model.expect(np.frombuffer(flat.as_buffer(), "<u2").astype(np.int32), np.frombuffer(sizes.as_buffer(), "<i8"), into)
         yield pieces(np.concatenate([into[k].ravel() for k in into]))
 
     return run
@@ -406,13 +418,16 @@ def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
             init = now
     model, sums, last = estimate(init), blank(), None
     size = sum(v.size for v in sums.values())
+    begun = written()
+    coded = stored(learn.mapInArrow(_coded(head), "flat binary, sizes binary"))
     for _ in range(MOST_PASSES):
-        sums = _split(combined(summed(learn.mapInArrow(_expected(head, model), "part int, v binary")), size))
+        sums = _split(combined(summed(coded.mapInArrow(_expected(model), "part int, v binary")), size))
         model = estimate(sums)
         like = float(sums["like"][0]) / max(1.0, float(sums["seen"].sum()))
         if last is not None and like - last < CONVERGED * abs(last):
             break
         last = like
+    dropped(learn.sparkSession, begun, written())
     return head, model, sums["seen"]
 
 
