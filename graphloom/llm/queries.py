@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_topk, decontaminate, hmm, licenses, line_crf, ngram_join, packing, pii, token_counts, url_filter
+from . import cover_topk, decontaminate, exponion, fim, hmm, licenses, line_crf, mixing, ngram_join, packing, pii, token_counts, url_filter
 from .common import table
 
 
@@ -49,7 +49,19 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_cover_topk, op4_decontaminate, op5_packing, op6_licenses, op7_pii, op8_url_filter, op9_quality, op10_lm_scores)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), most=3)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_table(table(spark, sf_dir, "documents"))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_table(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dim=64)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_cover_topk, op4_decontaminate, op5_packing, op6_licenses, op7_pii, op8_url_filter, op9_quality, op10_lm_scores, op11_mixing, op12_fill_in_middle, op13_exponion)}
 #: DuckDB SQL where it can express an operator; the others are tested against brute force in tests/llm.
 ORACLES = {
     "op3_cover_topk": """
@@ -58,4 +70,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 10""",
     "op6_licenses": licenses.oracle(),
+    "op11_mixing": mixing.oracle(),
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_exponion": exponion.oracle(),
 }
