@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import report
 from .extract import build
-from .operators import graph, resolve, search, temporal
+from .operators import graph, reach, resolve, search, temporal
 from .schema import NON_FILE_TYPES, SOURCE_TYPES
 from .sources import embed, files, git, hook
 from .sources.store import Store
@@ -45,8 +45,8 @@ class Index:
         """Scans, scores and stores the repository as of its head commit."""
         g = {k: build.stored(v) for k, v in self.graph().items()}
         edges = g["links"].select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind", "weight")
-        scored = graph.blast(graph.closure(graph.valid_edges(edges, g["nodes"]))).withColumnRenamed("origin", "id")
-        lists = graph.adjacency(edges).select("id", F.size("imports").alias("n"))
+        scored = reach.blast_counts(build.stored(graph.valid_edges(edges, g["nodes"]))).withColumnRenamed("origin", "id")
+        lists = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("n"))
         nodes = build.groups(g["nodes"]).join(scored, "id", "left").join(lists, "id", "left")
         package = F.col("package") if "package" in nodes.columns else F.lit(None).cast("string")
         rows = nodes.select(
@@ -107,10 +107,10 @@ class Index:
         path = self.find(file)
         if path is None:
             return None
-        own = self.edges().select("src", "dst").where((F.col("src") == path) | (F.col("dst") == path))
-        row = graph.adjacency(own).where(F.col("id") == path).first()
+        edges = self.edges()
+        imports, imported_by = ([r["x"] for r in edges.where(F.col(a) == path).select(F.col(b).alias("x")).orderBy("x").collect()] for a, b in (("src", "dst"), ("dst", "src")))
         score = self.store.read("files").where(F.col("path") == path).select("blast_score").first()
-        return {"file": path, "imports": row["imports"] or [] if row else [], "imported_by": row["imported_by"] or [] if row else [], "blast_score": score["blast_score"]}
+        return {"file": path, "imports": imports, "imported_by": imported_by, "blast_score": score["blast_score"]}
 
     def high_blast(self, threshold: float = 5.0) -> list[dict]:
         rows = graph.high_blast(self.store.read("files").where("active"), threshold, NON_FILE_TYPES)

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.risk import blast_score
-from ..scratch import stored
+from ..scratch import discard, stored
+from .numbering import numbered
+from .reach import reach_many, shortest_paths_to
+
 
 def weighted(pairs: DataFrame, by: tuple[str, ...] = ("src", "dst"), weight: Column | None = None) -> DataFrame:
     """Weights of links summed over occurrences and analysers."""
@@ -19,31 +22,33 @@ def valid_edges(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFram
     return edges.join(n, edges["src"] == n["_n"], "left_semi").join(n, edges["dst"] == n["_n"], "left_semi")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """id, imports, imported_by: sorted lists, not de-duplicated."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("imports"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("imported_by"))
-    return out.join(into, "id", "full")
+def listed(edges: DataFrame, key: str, value: str, most: int = 1000) -> DataFrame:
+    """(id, part, total, values): each key's values in order, at most `most` in a row, so that no row grows with a hub.
+
+    Rows are numbered over all keys at once by ranges, which cut a hub's rows too; values are not de-duplicated."""
+    rows = numbered(edges.select(F.col(key).alias("id"), F.col(value).alias("value")), [F.col("id"), F.col("value")], "_at")
+    first = rows.groupBy("id").agg(F.min("_at").alias("_first"), F.count("*").alias("total"))
+    part = F.floor((F.col("_at") - F.col("_first")) / most).alias("part")
+    return rows.join(first, "id").groupBy("id", "total", part).agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
+def adjacency(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, part, imports, imported_by): both lists of a node, `most` entries of each in a row."""
+    out = listed(edges, "src", "dst", most).select("id", "part", F.col("values").alias("imports"))
+    into = listed(edges, "dst", "src", most).select("id", "part", F.col("values").alias("imported_by"))
+    return out.join(into, ["id", "part"], "full")
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
     """(origin, node, hop) for every node that reaches origin along edges; hop is the shortest length.
 
-    Paths double in length each round (min-plus), so rounds grow with the logarithm of the longest shortest path.
-    A node is not its own dependent, except by a self-loop, which counts as a direct one."""
-    direct = edges.select(F.col("dst").alias("origin"), F.col("src").alias("node")).distinct().withColumn("hop", F.lit(1))
-    loops = direct.where("origin = node")
-    known = stored(direct.where("origin <> node"))
-    size = known.agg(F.count("*"), F.sum("hop")).first()
-    while size[0]:
-        a, b = known.alias("a"), known.alias("b")
-        longer = a.join(b, F.col("a.node") == F.col("b.origin")).select("a.origin", "b.node", (F.col("a.hop") + F.col("b.hop")).alias("hop")).where("origin <> node")
-        known = stored(known.unionByName(longer).groupBy("origin", "node").agg(F.min("hop").alias("hop")))
-        now = known.agg(F.count("*"), F.sum("hop")).first()
-        if now == size:
-            break
-        size = now
-    return known.unionByName(loops)
+    origins (a column origin) are all nodes with a way in if not given; they are searched together, as bitmaps. A node
+    is not its own dependent, except by a self-loop, which counts as a direct one."""
+    starts = edges.select(F.col("dst").alias("origin")) if origins is None else origins
+    loops = edges.where("src = dst").select(F.col("dst").alias("origin"), F.col("src").alias("node"), F.lit(1).alias("hop")).distinct()
+    if origins is not None:
+        loops = loops.join(origins.select("origin").distinct(), "origin", "left_semi")
+    return reach_many(edges, starts).rows().unionByName(loops)
 
 
 def reach(edges: DataFrame, origins: DataFrame, depth: int | None = None, direction: str = "dependents") -> DataFrame:
@@ -65,27 +70,16 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int | None = None, direct
         if depth is None:
             front = stored(front)
             if front.isEmpty():
+                discard(front)
                 break
         seen = seen.unionByName(front)
     return seen
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(origin, node, hop, path): the smallest of the shortest paths [node, ..., origin], by element.
-
-    Distances give each pair its next node, the smallest one that is a step nearer; paths then double in length each
-    round, so rounds grow with the logarithm of the longest one."""
-    far = stored(closure(edges).where("origin <> node"))
-    back = edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
-    near = far.select("origin", F.col("node").alias("to"), (F.col("hop") + 1).alias("hop"))
-    step = far.where("hop > 1").join(back, "node").join(near, ["origin", "to", "hop"]).groupBy("origin", "node", "hop").agg(F.min("to").alias("to"))
-    last = far.where("hop = 1").select("origin", "node", "hop", F.lit(None).cast(far.schema["node"].dataType).alias("to"))
-    state = stored(step.unionByName(last).withColumn("path", F.when(F.col("to").isNull(), F.array("node", "origin")).otherwise(F.array("node"))))
-    while not state.where("to is not null").isEmpty():
-        rest = state.select("origin", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("path").alias("_rest"))
-        grown = state.where("to is not null").join(rest, ["origin", "to"]).select("origin", "node", "hop", F.col("_to").alias("to"), F.concat("path", "_rest").alias("path"))
-        state = stored(state.where("to is null").select("origin", "node", "hop", "to", "path").unionByName(grown))
-    return state.select("origin", "node", "hop", "path")
+def shortest_paths(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(origin, node, hop, path): the smallest of the shortest paths [node, ..., origin], by element; to all nodes if no
+    origins are given."""
+    return shortest_paths_to(edges, edges.select(F.col("dst").alias("origin")) if origins is None else origins)
 
 
 def next_steps(edges: DataFrame, reached: DataFrame) -> DataFrame:

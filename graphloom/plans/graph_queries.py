@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import affected_pct, layer, link_kind, risk_label
 from ..operators import graph
+from ..operators.reach import blast_counts
 from ..schema import NON_FILE_TYPES, SOURCE_TYPES
 from .views import BLAST, CLOSURE, DEP, LATEST, NODES, dep_edges, latest, nodes, table
 
@@ -29,52 +30,57 @@ def edge_weights(spark: SparkSession, sf: str) -> DataFrame:
     return dep_edges(spark, sf)
 
 
-@query(f"WITH {DEP} SELECT dst AS id, count(*) AS direct, string_agg(src::VARCHAR, ',' ORDER BY src) AS dependents FROM dep GROUP BY 1")
+@query(f"WITH {DEP}, p AS (SELECT dst AS id, src, count(*) OVER (PARTITION BY dst) AS direct, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 1000 AS part FROM dep) SELECT id, part::BIGINT AS part, direct, string_agg(src::VARCHAR, ',' ORDER BY src) AS dependents FROM p GROUP BY 1, 2, 3")
 def direct_dependents(spark, sf):
-    return dep_edges(spark, sf).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct"), F.array_join(F.sort_array(F.collect_list("src")), ",").alias("dependents"))
+    return graph.listed(dep_edges(spark, sf), "dst", "src").select("id", "part", F.col("total").alias("direct"), F.array_join("values", ",").alias("dependents"))
 
 
-@query(f"WITH {DEP}, o AS (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS imports FROM dep GROUP BY 1), i AS (SELECT dst AS id, string_agg(src::VARCHAR, ',' ORDER BY src) AS imported_by FROM dep GROUP BY 1) SELECT id, imports, imported_by FROM o FULL JOIN i USING (id)")
+@query(f"WITH {DEP}, o AS (SELECT id, part, string_agg(v::VARCHAR, ',' ORDER BY v) AS imports FROM (SELECT src AS id, dst AS v, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 1000 AS part FROM dep) GROUP BY 1, 2), i AS (SELECT id, part, string_agg(v::VARCHAR, ',' ORDER BY v) AS imported_by FROM (SELECT dst AS id, src AS v, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 1000 AS part FROM dep) GROUP BY 1, 2) SELECT id, part::BIGINT AS part, imports, imported_by FROM o FULL JOIN i USING (id, part)")
 def imports_imported_by(spark, sf):
-    return graph.adjacency(dep_edges(spark, sf)).select("id", F.array_join("imports", ",").alias("imports"), F.array_join("imported_by", ",").alias("imported_by"))
+    return graph.adjacency(dep_edges(spark, sf)).select("id", "part", F.array_join("imports", ",").alias("imports"), F.array_join("imported_by", ",").alias("imported_by"))
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE} SELECT origin, node, hop FROM clo")
+_EVERY_20 = "origins AS (SELECT DISTINCT dst AS origin FROM dep WHERE dst % 20 = 0)"
+
+
+@query(f"WITH RECURSIVE {DEP}, {_EVERY_20}, {CLOSURE} SELECT origin, node, hop FROM clo")
 def blast_closure(spark, sf):
-    return graph.closure(dep_edges(spark, sf))
+    """Everything that depends on each part whose id is divisible by 20, in the graph of all parts."""
+    edges = dep_edges(spark, sf)
+    return graph.closure(edges, edges.where("dst % 20 = 0").select(F.col("dst").alias("origin")).distinct())
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST} SELECT * FROM bl")
+@query(f"WITH RECURSIVE {DEP}, {BLAST} SELECT * FROM bl")
 def blast_score(spark, sf):
-    return graph.blast(graph.closure(dep_edges(spark, sf)))
+    return blast_counts(dep_edges(spark, sf))
 
 
 def _scored(spark, sf):
-    return graph.blast(graph.closure(dep_edges(spark, sf))).join(nodes(spark, sf).select(F.col("id").alias("origin"), "path", "node_type"), "origin")
+    return blast_counts(dep_edges(spark, sf)).join(nodes(spark, sf).select(F.col("id").alias("origin"), "path", "node_type"), "origin")
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST}, {NODES} SELECT origin, path, node_type, blast_score FROM bl JOIN nodes ON id = origin WHERE blast_score >= 5.0 AND node_type NOT IN ('import', 'service', 'pipeline', 'database')")
+@query(f"WITH RECURSIVE {DEP}, {BLAST}, {NODES} SELECT origin, path, node_type, blast_score FROM bl JOIN nodes ON id = origin WHERE blast_score >= 5.0 AND node_type NOT IN ('import', 'service', 'pipeline', 'database')")
 def high_blast(spark, sf):
     return graph.high_blast(_scored(spark, sf), 5.0, NON_FILE_TYPES).select("origin", "path", "node_type", "blast_score")
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST} SELECT origin, blast_score FROM bl ORDER BY blast_score DESC, origin LIMIT 20")
+@query(f"WITH RECURSIVE {DEP}, {BLAST} SELECT origin, blast_score FROM bl ORDER BY blast_score DESC, origin LIMIT 20")
 def blast_top20(spark, sf):
-    return graph.blast(graph.closure(dep_edges(spark, sf))).select("origin", "blast_score").orderBy(F.desc("blast_score"), "origin").limit(20)
+    return blast_counts(dep_edges(spark, sf)).select("origin", "blast_score").orderBy(F.desc("blast_score"), "origin").limit(20)
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST}, {NODES}, t AS (SELECT count(*) AS total FROM nodes WHERE node_type <> 'import') SELECT origin, CASE WHEN total = 0 THEN 'UNKNOWN' WHEN blast_score >= 20 OR blast_score / total * 100 >= 30 THEN 'CRITICAL' WHEN blast_score >= 10 OR blast_score / total * 100 >= 15 THEN 'HIGH' WHEN blast_score >= 4 OR blast_score / total * 100 >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk, round((direct + transitive) * 100 / total::DOUBLE, 1) AS pct FROM bl, t")
+@query(f"WITH RECURSIVE {DEP}, {BLAST}, {NODES}, t AS (SELECT count(*) AS total FROM nodes WHERE node_type <> 'import') SELECT origin, CASE WHEN total = 0 THEN 'UNKNOWN' WHEN blast_score >= 20 OR blast_score / total * 100 >= 30 THEN 'CRITICAL' WHEN blast_score >= 10 OR blast_score / total * 100 >= 15 THEN 'HIGH' WHEN blast_score >= 4 OR blast_score / total * 100 >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk, round((direct + transitive) * 100 / total::DOUBLE, 1) AS pct FROM bl, t")
 def risk_labels(spark, sf):
     total = nodes(spark, sf).where("node_type <> 'import'").agg(F.count("*").alias("total"))
-    scored = graph.blast(graph.closure(dep_edges(spark, sf))).crossJoin(F.broadcast(total))  # one row
+    scored = blast_counts(dep_edges(spark, sf)).crossJoin(F.broadcast(total))  # one row
     return scored.select("origin", risk_label(F.col("blast_score"), F.col("total")).alias("risk"), affected_pct("direct", "transitive", F.col("total").cast("double")).alias("pct"))
 
 
-@query(f"WITH RECURSIVE {DEP}, {CLOSURE}, {BLAST}, {LATEST} SELECT origin FROM bl WHERE floor(blast_score) >= 10 AND origin IN (SELECT path FROM paths)")
+@query(f"WITH RECURSIVE {DEP}, {BLAST}, {LATEST} SELECT origin FROM bl WHERE floor(blast_score) >= 10 AND origin IN (SELECT path FROM paths)")
 def staged_gate(spark, sf):
     """The pre-commit gate: staged files whose floored score reaches the threshold; the latest parts stand for staged."""
     staged = latest(spark, sf).withColumnRenamed("path", "origin")
-    scored = graph.blast(graph.closure(dep_edges(spark, sf)))
+    scored = blast_counts(dep_edges(spark, sf))
     return scored.where(F.floor("blast_score") >= 10).join(staged, "origin", "left_semi").select("origin")
 
 
@@ -113,9 +119,14 @@ def impact_of_one(spark, sf):
     return graph.reach(dep_edges(spark, sf), _centre(spark, sf), None, "dependents").select("node", "hop")
 
 
-@query(f"WITH RECURSIVE {DEP}, w(origin, node, hop, path) AS (SELECT dst, src, 1, [src, dst] FROM dep UNION ALL SELECT w.origin, d.src, w.hop + 1, list_prepend(d.src, w.path) FROM w JOIN dep d ON d.dst = w.node WHERE NOT list_contains(w.path, d.src) AND w.hop < 40), m AS (SELECT origin, node, min(hop) AS hop FROM w GROUP BY 1, 2) SELECT w.origin, w.node, w.hop, array_to_string(min(w.path), '>') AS path FROM w JOIN m ON w.origin = m.origin AND w.node = m.node AND w.hop = m.hop GROUP BY 1, 2, 3")
+@query(f"""WITH RECURSIVE {DEP}, {LATEST}, origins AS (SELECT path AS origin FROM paths), {CLOSURE}, known AS (SELECT * FROM clo UNION ALL SELECT origin, origin, 0 FROM origins),
+nx AS MATERIALIZED (SELECT c.origin, c.node, c.hop, min(d.dst) AS next FROM clo c JOIN dep d ON d.src = c.node JOIN known k ON k.origin = c.origin AND k.node = d.dst AND k.hop = c.hop - 1 GROUP BY 1, 2, 3),
+w(origin, node, hop, here, path) AS (SELECT origin, node, hop, next, node || '>' || next FROM nx UNION ALL SELECT w.origin, w.node, w.hop, nx.next, w.path || '>' || nx.next FROM w JOIN nx ON nx.origin = w.origin AND nx.node = w.here)
+SELECT origin, node, hop, path FROM w WHERE here = origin""")
 def shortest_dep_path(spark, sf):
-    return graph.shortest_paths(dep_edges(spark, sf)).select("origin", "node", "hop", F.array_join("path", ">").alias("path"))
+    """How the latest parts' dependents come to depend on them: the smallest of the shortest paths of each pair."""
+    starts = latest(spark, sf).withColumnRenamed("path", "origin")
+    return graph.shortest_paths(dep_edges(spark, sf), starts).select("origin", "node", "hop", F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH {DEP}, seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT dst FROM dep GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)), near AS (SELECT dst AS owner FROM dep WHERE src IN (SELECT id FROM seeds) UNION SELECT src FROM dep WHERE dst IN (SELECT id FROM seeds)) SELECT owner AS id FROM near WHERE owner NOT IN (SELECT id FROM seeds) ORDER BY 1 LIMIT 25")

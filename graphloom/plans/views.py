@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import weighted
@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def dep_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """src depends on dst: parts on consecutive lines of an order, both bought in bulk; the filter reaches the scan."""
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 42").select("l_orderkey", "l_linenumber", "l_partkey")
+    """src depends on dst: parts on consecutive lines of an order."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a = rows.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     b = rows.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
     return weighted(a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst"))
@@ -38,9 +38,8 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """(seq, day, user_id, event_type, n): a commit for each day, numbered from 0."""
     e = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "user_id", "event_type").agg(F.count("*").alias("n"))
-    days = e.select("day").distinct()
-    seq = days.alias("a").join(F.broadcast(days.alias("b")), F.col("b.day") < F.col("a.day"), "left").groupBy("a.day").agg(F.count("b.day").cast("int").alias("seq"))
-    return e.join(F.broadcast(seq), "day")  # a row for each day of the log
+    seq = e.select("day").distinct().select("day", (F.row_number().over(Window.orderBy("day")) - 1).alias("seq"))
+    return e.join(F.broadcast(seq), "day")  # a row for each day of the log, which the calendar bounds
 
 
 def life(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,12 +59,14 @@ def reachable(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).where(F.col("seq") <= REF).select(F.col("seq").alias("hash")).distinct()
 
 
-DEP = """dep AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 42 AND b.l_quantity >= 42 AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+DEP = """dep AS MATERIALIZED (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
 LATEST = """paths AS (SELECT DISTINCT l_partkey AS path FROM lineitem WHERE CAST(l_shipdate AS DATE) = (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem))"""
 NODES = """nodes AS (SELECT p_partkey AS id, p_name AS path, CASE WHEN p_size <= 5 THEN 'import' WHEN p_size <= 10 THEN 'service' WHEN p_brand LIKE '%1' THEN 'component' WHEN p_brand LIKE '%2' THEN 'route' WHEN p_brand LIKE '%3' THEN 'style' ELSE 'module' END AS node_type, p_brand, p_size FROM part)"""
-CLOSURE = """walk(origin, node, hop) AS (SELECT dst, src, 1 FROM dep UNION SELECT w.origin, d.src, w.hop + 1 FROM walk w JOIN dep d ON d.dst = w.node WHERE d.src <> w.origin AND w.hop < 40),
-clo AS (SELECT origin, node, min(hop) AS hop FROM walk GROUP BY 1, 2)"""
-BLAST = """bl AS (SELECT origin, count(*) FILTER (hop = 1) AS direct, count(*) FILTER (hop > 1) AS transitive, round(count(*) FILTER (hop = 1) + 0.5 * count(*) FILTER (hop > 1), 2)::DOUBLE AS blast_score FROM clo GROUP BY 1)"""
+#: A pair is met once, at its shortest length.
+CLOSURE = """clo(origin, node, hop) USING KEY (origin, node) AS (SELECT DISTINCT dst, src, 1 FROM dep WHERE dst IN (SELECT origin FROM origins) UNION SELECT DISTINCT w.origin, d.src, w.hop + 1 FROM clo w JOIN dep d ON d.dst = w.node WHERE d.src <> w.origin AND NOT EXISTS (SELECT 1 FROM recurring.clo r WHERE r.origin = w.origin AND r.node = d.src))"""
+BLAST = """walk(origin, node) AS (SELECT dst, src FROM dep UNION SELECT w.origin, d.src FROM walk w JOIN dep d ON d.dst = w.node WHERE d.src <> w.origin),
+cnt AS (SELECT origin, count(*) AS n FROM walk GROUP BY 1), dir AS (SELECT dst AS origin, count(*) AS direct FROM dep GROUP BY 1),
+bl AS (SELECT origin, direct, n - direct AS transitive, round(direct + 0.5 * (n - direct), 2)::DOUBLE AS blast_score FROM cnt JOIN dir USING (origin))"""
 SNAP = """snap AS (SELECT CAST(ts AS DATE) AS day, user_id, event_type, count(*) AS n, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS seq FROM events GROUP BY 1, 2, 3)"""
 LIFE = f"""{SNAP}, top AS (SELECT max(seq) AS head FROM snap),
 life AS (SELECT user_id, event_type, min(seq) AS first, CASE WHEN max(seq) = head THEN head ELSE max(seq) + 1 END AS last, max(seq) = head AS active, arg_max(n, seq) AS n FROM snap, top GROUP BY 1, 2, head)"""

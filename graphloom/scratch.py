@@ -21,4 +21,15 @@ def stored(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that stored() returned; nothing may read them any more. Other frames and None are passed over."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
