@@ -18,6 +18,7 @@ the map of a chunk that begins there is constant: all chunks run in lockstep and
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ START, IN_L, IN_N, IN_O, SPACE, IN_W, ONE, TWO = range(8)
 CHUNK, PART_CHARS = 256, 1_500_000
 #: What may follow an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
+BREAK = re.compile(r"[^\s](?=[ \t\n\r])")  #: a character before a blank
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,9 @@ NEXT, CUT = transducer()
 class Merges:
     """Transducer over bytes for the merges of a tokenizers JSON file; states and transitions are made on demand."""
 
-    def __init__(self, model: dict, limit: int = 600_000):
+    def __init__(self, model: dict, limit: int = 600_000, size: int = 1 << 21):
+        """limit: transitions and states that are held before a renewal; size: slots of the table, a power of two that
+        leaves room for limit and one transition more for each chunk of a part."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -87,7 +91,7 @@ class Merges:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = t
-        self.limit, self.size = limit, 1 << 21
+        self.limit, self.size, self.shift = limit, size, np.uint64(64 - (size.bit_length() - 1))
         self.fits: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -138,16 +142,38 @@ class Merges:
         return to, count
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _learn(self, keys: np.ndarray) -> None:
-        for key in np.unique(keys).tolist():
-            to, count = self.step(key >> 8, key & 255)
-            at = int(self._slot(np.array([key]))[0])
-            while self.keys[at] >= 0:
-                at = (at + 1) & (self.size - 1)
-            self.keys[at], self.to[at], self.emits[at] = key, to, count
-            self.used += 1
+        keys = np.unique(keys)
+        made = [self.step(key >> 8, key & 255) for key in keys.tolist()]
+        to, count = np.array(made, np.int64).T
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.to[at[won]], self.emits[at[won]] = keys[won], to[won], count[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & (self.size - 1)
+        self.used += len(keys)
+
+    def full(self) -> bool:
+        return self.used > self.limit or len(self.known) > self.limit
+
+    def renew(self, live: np.ndarray) -> np.ndarray:
+        """Forgets all states and transitions but the states in live; returns their new numbers. A state is all that
+        later bytes depend on, so counts stay the same."""
+        old, place = np.unique(live, return_inverse=True)
+        entries = [self.known[s] for s in old.tolist()]
+        self.reset()
+        new = []
+        for e in entries:
+            if e not in self.states:
+                self.states[e] = len(self.known)
+                self.known.append(e)
+            new.append(self.states[e])
+        return np.array(new, np.int32)[place.reshape(-1)] if new else live
 
     def move(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = state.astype(np.int64) << 8 | byte
@@ -171,9 +197,10 @@ class Merges:
 
     def counts(self, raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Tokens that each byte emits; begin: where pieces begin, 0 first. The bytes run in lockstep as chunks of about
-        CHUNK bytes, each from the begin of a piece."""
+        CHUNK bytes, each from the begin of a piece. A step makes no more transitions than there are chunks; when more
+        than `limit` are known, the chunks' states are carried into an empty table."""
         out = np.zeros(len(raw), np.int16)
-        if self.used > self.limit or len(self.known) > self.limit:
+        if self.full():
             self.reset()
         first = begin[np.unique(np.searchsorted(begin, np.arange(0, len(raw), CHUNK)).clip(max=len(begin) - 1))]
         size = np.diff(np.append(first, len(raw)))
@@ -187,6 +214,8 @@ class Merges:
             if m < 8:  # what is left of a few long pieces
                 self._singly(raw, fresh, first[:m] + k, first[:m] + size[:m], state[:m], out)
                 break
+            if self.full():
+                state[:m] = self.renew(state[:m])
             at = first[:m] + k
             now = state[:m]
             now[fresh[at]] = 0
@@ -194,14 +223,20 @@ class Merges:
         return out
 
     def _singly(self, raw, fresh, start, stop, state, out) -> None:
-        for a, z, s in zip(start.tolist(), stop.tolist(), state.tolist(), strict=True):
-            memo: dict[tuple[int, int], tuple[int, int]] = {}
-            for i, (byte, new) in enumerate(zip(raw[a:z].tolist(), fresh[a:z].tolist(), strict=True), a):
-                key = (0 if new else s, byte)
-                got = memo.get(key)
-                if got is None:
-                    got = memo[key] = self.step(*key)
-                s, out[i] = got
+        rest = state.tolist()
+        for lane, (a, z) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+            s, memo = rest[lane], {}
+            for lo in range(a, z, CHUNK):  # bytes become numbers a chunk at a time, whatever a piece's length
+                if self.full() or len(memo) > self.limit:
+                    s, *rest[lane + 1 :] = self.renew(np.array([s, *rest[lane + 1 :]], np.int32)).tolist()
+                    memo = {}
+                hi = min(lo + CHUNK, z)
+                for i, (byte, new) in enumerate(zip(raw[lo:hi].tolist(), fresh[lo:hi].tolist(), strict=True), lo):
+                    key = (0 if new else s, byte)
+                    got = memo.get(key)
+                    if got is None:
+                        got = memo[key] = self.step(*key)
+                    s, out[i] = got
 
 
 class Counter:
@@ -260,17 +295,38 @@ class Counter:
             state = NEXT[at]
         return np.flatnonzero(cuts.T.ravel()[:n])
 
+    def segments(self, text: str) -> Iterator[tuple[str, int]]:
+        """A text cut at special strings, and where it is longer than PART_CHARS before blanks that follow other
+        characters: a piece begins there whatever lies around. A run without blanks stays whole, however long."""
+        parts = [text]
+        for s in self.special:
+            if s in text:
+                parts = [x for p in parts for x in p.split(s)]
+        for n, p in enumerate(parts):
+            lo = 0
+            while len(p) - lo > PART_CHARS and (m := BREAK.search(p, lo + PART_CHARS // 2)):
+                yield p[lo : m.start() + 1], 0
+                lo = m.start() + 1
+            yield p[lo:], int(n < len(parts) - 1)  # a special string inside a text is one token
+
     def count_all(self, texts: list[str]) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
-        segments, owner = [], []
+        held, owner, size = [], [], 0
         for i, t in enumerate(texts):
-            parts = [t]
-            for s in self.special:
-                if s in t:
-                    parts = [x for p in parts for x in p.split(s)]
-            total[i] = len(parts) - 1  # special strings inside texts are one token each
-            segments += parts
-            owner += [i] * len(parts)
+            for segment, special in self.segments(t):
+                total[i] += special
+                if held and size + len(segment) > PART_CHARS:
+                    np.add.at(total, owner, self._counted(held))
+                    held, owner, size = [], [], 0
+                held.append(segment)
+                owner.append(i)
+                size += len(segment)
+        if held:
+            np.add.at(total, owner, self._counted(held))
+        return total
+
+    def _counted(self, segments: list[str]) -> np.ndarray:
+        """Tokens of each segment."""
         text = "\n".join(segments) + "\n"
         border = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) + 1) - 1
         begin = self.ends(self.symbols(text, border))
@@ -279,9 +335,7 @@ class Counter:
         place = np.cumsum(width) - width
         emitted = self.merges.counts(np.frombuffer(text.encode(), np.uint8), place[begin])
         emitted[place[border]] = 0
-        own = np.add.reduceat(emitted.astype(np.int64), np.concatenate([[0], place[border[:-1]] + 1]))
-        np.add.at(total, np.asarray(owner, np.int64), own)
-        return total
+        return np.add.reduceat(emitted.astype(np.int64), np.concatenate([[0], place[border[:-1]] + 1]))
 
 
 def entry_states(grid: np.ndarray) -> np.ndarray:
@@ -326,17 +380,6 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PART_CHARS:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), a row for each row of docs.
 
@@ -352,8 +395,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
             ids, column = b.column("doc_id"), b.column("text")
             texts = [t or "" for t in column.to_pylist()]
             size = [len(t.encode()) for t in texts]
-            got = [c.count_all(texts[lo:hi]) for lo, hi in _parts(texts)]
-            n = np.concatenate(got) if got else np.empty(0, np.int64)
+            n = c.count_all(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
