@@ -4,17 +4,19 @@ Symbols of the model are the HEAD most frequent training words, TAIL classes of
 two bytes) and one end symbol. Emission of a word of class g in state s is b_s(g) * (c + 0.1) / Z_g with its own
 training count c, so probabilities of texts are proper over an open vocabulary.
 
-Training: states start from EM on a bounded sample (SAMPLE windows of WINDOW symbols). Then come Baum-Welch passes, each
-over all training documents, whose symbols are stored once, two bytes a token: partitions add up expected counts of whole sequences, their sums meet in pieces on the
-executors, and the model is re-estimated. Passes end when the log-likelihood per token improves by less than CONVERGED
-of itself, after MOST_PASSES at the latest. Sequences longer than SEGMENT run as segments side by side: products of a
+Training, on all training documents throughout: words are counted exactly, and the head is taken from the counts, ties
+by word. Symbols are stored once, two bytes a token. States start from what stands near a symbol: the groups of its
+neighbours within NEAR are counted over all tokens, symbols with like neighbours are gathered by k-means in the leading
+directions of these counts, and each gathering starts a state, with moves as counted between gatherings. Then come Baum-Welch passes: partitions add up expected counts of
+whole sequences, their sums meet in pieces on the executors, and the model is re-estimated, until the log-likelihood per
+token improves by less than CONVERGED of itself. Sequences longer than SEGMENT run as segments side by side: products of a
 segment's transition matrices carry the forward and backward messages across its ends, so the counts are those of the
-whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood.
+whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood. Nothing depends on
+how documents lie in partitions, but for the order in which floating-point numbers are added.
 
 Counts of all words: head counts are summed with the last Baum-Welch pass. Tail words go, as packed arrays of
 (hash, document, times), to hash buckets of about BUCKET_BYTES; a bucket holds all occurrences of its words, so it counts
-them and sends each batch of documents its sum of log10(c + 0.1). Frequent words never travel, so no bucket is hot. Which
-words are frequent enough for the head is decided by counts that may miss rare words; every reported count is exact.
+them and sends each batch of documents its sum of log10(c + 0.1). Frequent words never travel, so no bucket is hot.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from .ngram_join import by_group
 from .sums import combined, pieces, summed
 
 HEAD, TAIL, STATES = 8192, 16, 8
-WINDOW, SAMPLE, SAMPLE_DOCS, SAMPLE_STEPS = 128, 6000, 3000, 20
-SEGMENT, LONG, MOST_PASSES, CONVERGED, SMOOTH = 1024, 2048, 5, 0.002, 0.02
-LOCAL_TOP, SLICE, BUCKET_BYTES = 12_000, 3_000_000, 8_000_000
+SEGMENT, LONG, CONVERGED, SMOOTH = 1024, 2048, 0.002, 0.02
+SLICE, BUCKET_BYTES, HELD_WORDS = 3_000_000, 8_000_000, 250_000
+NEAR, OWN, GROUPS, SHARE = 4, 48, 64, 0.8  #: a state starts with SHARE of its own symbols; the OWN most frequent words are groups of neighbours of their own, all others share the rest
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
 META = np.dtype([("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("logs", "<f8"), ("forward", "<f8"), ("tail", "<i4", (TAIL,))])
@@ -235,47 +237,118 @@ def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c): every word of the partition, as often as HELD_WORDS distinct ones have come together."""
     claim("none")
     seen: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+
     for b in batches:
         for part in _slices(batch_words(b.column("text")), 1_000_000):
             for t in part:
                 seen.update(t.lower().split())
-            if len(seen) > 250_000:  # lossy counting: only the ranking of frequent words is wanted
-                seen = Counter({w: c for w, c in seen.items() if c > 2})
-                if len(seen) > 150_000:
-                    seen = Counter(dict(seen.most_common(60_000)))
-    top = seen.most_common(LOCAL_TOP)
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "c"])
+            if len(seen) > HELD_WORDS:
+                yield out()
+                seen.clear()
+    yield out()
 
 
-def _sampled(head: list[bytes]):
+def _coded(head: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none")
         symbols = Symbols(head)
         for b in batches:
             for part in _slices(batch_words(b.column("text")), SLICE):
                 flat, sizes = _sequences(part, symbols)
-                stop = np.cumsum(sizes).tolist()
-                cut = [flat[at : min(at + WINDOW, z)].tobytes() for a, z in zip([0, *stop[:-1]], stop, strict=True) for at in range(a, z, WINDOW)]
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["w"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (flat.astype("<u2").tobytes(), sizes.astype("<i8").tobytes())], ["flat", "sizes"])
 
     return run
 
 
-def _coded(head: list[bytes]):
+def _groups() -> np.ndarray:
+    """Group of every symbol as a neighbour; the last group is that of END and of no neighbour."""
+    x = np.arange(ALL)
+    g = np.where(x < OWN, x, OWN + (x * 2654435761 >> 16) % (GROUPS - OWN - 1))
+    g[END] = GROUPS - 1
+    return g
+
+
+def _laid(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of texts laid end to end, and which text each belongs to."""
+    for flat, sizes in zip(b.column("flat"), b.column("sizes"), strict=True):
+        n = np.frombuffer(sizes.as_buffer(), "<i8")
+        yield np.frombuffer(flat.as_buffer(), "<u2").astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each symbol occurs, and how often it stands within NEAR of each group."""
+    claim("none")
+    group, total, seen = _groups(), np.zeros(ALL * GROUPS), np.zeros(ALL)
+    for b in batches:
+        for x, doc in _laid(b):
+            g = group[x]
+            seen += np.bincount(x, minlength=ALL)
+            for o in range(1, NEAR + 1):
+                same = doc[:-o] == doc[o:]
+                for one, other in ((x[:-o], g[o:]), (x[o:], g[:-o])):
+                    total += np.bincount((one * GROUPS + other)[same], minlength=ALL * GROUPS)
+    yield pieces(np.concatenate([seen, total]))
+
+
+def _label_moves(label: np.ndarray):
+    """How often a symbol of one gathering follows one of another, and how often texts begin with each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none")
-        symbols = Symbols(head)
+        moves, starts = np.zeros(STATES * STATES), np.zeros(STATES)
         for b in batches:
-            for part in _slices(batch_words(b.column("text")), SLICE):
-                flat, sizes = _sequences(part, symbols)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (flat.astype("<u2").tobytes(), sizes.astype("<i8").tobytes())], ["flat", "sizes"])
+            for x, doc in _laid(b):
+                s, first = label[x], np.diff(doc, prepend=-1) != 0
+                moves += np.bincount((s[:-1] * STATES + s[1:])[~first[1:]], minlength=STATES * STATES)
+                starts += np.bincount(s[first], minlength=STATES)
+        yield pieces(np.concatenate([moves, starts]))
 
     return run
 
 
+def gathered(near: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """State of every symbol from what stands near it: k-means, every symbol with the weight of its occurrences."""
+    x = np.sqrt(near / np.maximum(near.sum(1), 1)[:, None])
+    weight = np.sqrt(seen)[:, None]
+    x = x - (x * weight**2).sum(0) / max(1.0, seen.sum())
+    _, _, directions = np.linalg.svd((x * weight).T @ (x * weight))
+    x = x @ directions[:STATES].T
+    centre = [x[int(np.argmax(seen))]]
+    for _ in range(STATES - 1):  # each next centre has the most mass far from those before
+        centre.append(x[int(np.argmax(seen * np.min([((x - c) ** 2).sum(1) for c in centre], 0)))])
+    c = np.stack(centre)
+    for _ in range(50):
+        label = np.argmin([((x - v) ** 2).sum(1) for v in c], 0)
+        new = np.stack([(x[label == s] * seen[label == s, None]).sum(0) / max(1.0, seen[label == s].sum()) if (label == s).any() else c[s] for s in range(STATES)])
+        if np.allclose(new, c, atol=1e-12):
+            break
+        c = new
+    return label
+
+
+def first_model(coded: DataFrame) -> Model:
+    """The model that Baum-Welch passes start from."""
+
+    def total(run, size: int) -> np.ndarray:
+        return combined(summed(coded.mapInArrow(run, "part int, v binary")), size)
+
+    counts = total(_contexts, ALL + ALL * GROUPS)
+    init = blank()
+    init["seen"] = seen = counts[:ALL]
+    label = gathered(counts[ALL:].reshape(ALL, GROUPS), seen)
+    init["emit"] = np.where(label == np.arange(STATES)[:, None], SHARE, (1 - SHARE) / (STATES - 1)) * seen
+    moves = total(_label_moves(label), STATES * STATES + STATES)
+    init["move"], init["start"] = moves[: STATES * STATES].reshape(STATES, STATES), moves[STATES * STATES :]
+    return estimate(init)
+
+
 def _expected(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none")
@@ -399,32 +472,17 @@ def _finished(total: float, distinct: float, z: np.ndarray):
 
 def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
     """Head words, model and exact symbol counts of the training documents (a text column)."""
-    top = learn.mapInArrow(_frequent, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    head = [bytes(r["word"]) for r in top.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    every = learn.count()
-    some = learn.where(F.pmod(F.xxhash64("text"), F.lit(max(1, every // SAMPLE_DOCS))) == 0)
-    got = some.mapInArrow(_sampled(head), "w binary").orderBy(F.xxhash64("w"), "w").limit(SAMPLE).collect()
-    rng = np.random.default_rng(7)
-    init = blank()
-    lists = [np.frombuffer(bytes(r["w"]), np.int32) for r in got]
-    if lists:
-        flat, sizes = np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
-        init["seen"] = np.bincount(flat, minlength=ALL).astype(float)
-        init["emit"] = init["seen"] * rng.gamma(1.0, 1.0, (STATES, ALL))
-        init["move"] = np.eye(STATES) * 5.0 * len(lists) + len(lists)
-        for _ in range(SAMPLE_STEPS):
-            model, now = estimate(init), blank()
-            model.expect(flat, sizes, now)
-            init = now
-    model, sums, last = estimate(init), blank(), None
-    size = sum(v.size for v in sums.values())
+    words = learn.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    head = [bytes(r["word"]) for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
     begun = written()
     coded = stored(learn.mapInArrow(_coded(head), "flat binary, sizes binary"))
-    for _ in range(MOST_PASSES):
+    model = first_model(coded)
+    last, size = None, sum(v.size for v in blank().values())
+    while True:
         sums = _split(combined(summed(coded.mapInArrow(_expected(model), "part int, v binary")), size))
         model = estimate(sums)
         like = float(sums["like"][0]) / max(1.0, float(sums["seen"].sum()))
-        if last is not None and like - last < CONVERGED * abs(last):
+        if last is not None and not like - last > CONVERGED * abs(last):
             break
         last = like
     dropped(learn.sparkSession, begun, written())
