@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from . import report
 from .extract import build
+from .functions.porter import stemmed, stems
 from .operators import graph, reach, resolve, search, temporal
 from .schema import NON_FILE_TYPES, SOURCE_TYPES
 from .sources import embed, files, git, hook
 from .sources.store import Store
+from .sources.text_index import TextIndex
 
 CONFIGS = ["package.json", "tsconfig.json", "jsconfig.json", "go.mod", "lerna.json", "nx.json", "turbo.json", "composer.json", "pnpm-workspace.yaml"]
 
@@ -28,6 +30,7 @@ class Index:
     def __init__(self, spark: SparkSession, repo: str = ".", store: str | None = None):
         self.spark, self.repo = spark, os.path.abspath(repo)
         self.store = Store(spark, store or f"file://{self.repo}/.graphloom")
+        self.words = TextIndex(spark, f"{self.store.folder}/words", split=stemmed)
 
     # Building
 
@@ -57,9 +60,15 @@ class Index:
         syms = g["symbols"].join(g["nodes"].select(F.col("id").alias("path")), "path", "left_semi").groupBy("path", "name").agg(F.max_by(F.struct("kind", "line", "exported", "doc", "methods"), "line").alias("s"))
         syms = syms.select(F.xxhash64("path").alias("file_id"), "name", "s.kind", "s.line", "s.exported", F.lit(None).cast("string").alias("signature"), "s.doc", "s.methods")
         self.store.sync({"files": rows, "edges": stored_edges, "symbols": syms}, commit or git.resolve(self.repo) or "working-tree")
+        self.index_words()
         self.embed()
         return self.status()
 
+    def index_words(self) -> None:
+        """Brings the stored keyword index to the active symbols; only new and changed ones are tokenised."""
+        self.words.sync(self.symbols().select("id", F.concat_ws(" ", "name", "doc", "signature").alias("text")))
+        self.words.vacuum()
+
     def embed(self) -> None:
         """Vectors for active symbols that have none; the provider is the endpoint named in the environment, else hashing."""
         text = F.concat_ws(" ", F.when(F.col("name") != "", F.col("name")), F.when(F.col("signature") != "", F.col("signature")), F.when(F.col("doc") != "", F.col("doc")))
@@ -181,13 +190,15 @@ class Index:
 
     def search(self, query: str, k: int = 10, as_of: str | None = None) -> list[dict]:
         syms = self.symbols()
-        docs = syms.select("id", F.concat_ws(" ", "name", "doc", "signature").alias("text"))
         vectors = self.store.read("vectors").select(F.col("symbol_id").alias("id"), F.col("embedding").alias("v"))
         q = self.spark.createDataFrame([(provider()([query])[0],)], "q array<float>")
         owners = syms.select("id", F.col("path").alias("owner"))
         links = self.edges().select("src", "dst")
         seen = temporal.symbol_visible(self.store.read("symbols"), git.reachable(self.spark, self.repo, as_of)).select("id") if as_of else None
-        hits = search.hybrid(docs, vectors, q, syms.select("id", "path", "exported", "name", "kind", "line", "doc", "blast_score"), query, k, lambda seeds, n: graph.expand(links, owners, seeds, n), seen, porter=True)
+        if not self.words.manifest()["segments"]:  # a store that was written without an index
+            self.index_words()
+        found = lambda text, n: self.words.fts(text, n, list(dict.fromkeys(s for w in search.query_words(text) for s in stems(w))))
+        hits = search.hybrid(None, vectors, q, syms.select("id", "path", "exported", "name", "kind", "line", "doc", "blast_score"), query, k, lambda seeds, n: graph.expand(links, owners, seeds, n), seen, keyword=found)
         return [r.asDict() for r in hits.orderBy(F.desc("score"), "id").collect()]
 
     def neighborhood(self, file: str, direction: str = "both", depth: int = 2) -> dict:

@@ -127,13 +127,13 @@ def reranked(fused: DataFrame, symbols: DataFrame, query: str, k: int) -> DataFr
     return rows.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.desc("rrf"), "id").limit(k).drop("_stems")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame | None, query_vector: DataFrame | None, symbols: DataFrame, query: str, k: int = 10, expand=None, visible=None, porter: bool = False) -> DataFrame:
-    """Vector and keyword lists of 2k, graph neighbours of the best five of each when there are fewer than k hits,
+def hybrid(docs: DataFrame, vectors: DataFrame | None, query_vector: DataFrame | None, symbols: DataFrame, query: str, k: int = 10, expand=None, visible=None, porter: bool = False, keyword=None) -> DataFrame:
+    """Vector and keyword lists of 2k (keyword(query, n), if given, in place of a scan of docs), graph neighbours of the best five of each when there are fewer than k hits,
     fused, filtered by visible (a frame of ids), hydrated and boosted."""
     lists = []
     if vectors is not None and query_vector is not None:
         lists.append(ranked(knn(vectors, query_vector, 2 * k), "semantic", [F.col("distance"), F.col("id")]))
-    lists.append(ranked(fts(docs, query, 2 * k, porter=porter), "fts", [F.desc("score"), F.col("id")]))
+    lists.append(ranked(keyword(query, 2 * k) if keyword else fts(docs, query, 2 * k, porter=porter), "fts", [F.desc("score"), F.col("id")]))
     if expand is not None:
         hits = sum(x.count() for x in lists)  # lists hold at most 2k rows
         if 0 < hits < k:

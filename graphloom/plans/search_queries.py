@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search
+from ..scratch import scratch_path
+from ..sources.text_index import TextIndex
 from .graph_queries import query
 from .views import table
 
@@ -44,6 +46,16 @@ def fts_postings(spark, sf):
     return search.bm25_postings(search.postings(d), sizes, WORDS).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_bm25(WORDS)} SELECT id, round(score, 6) AS score FROM bm")
+def fts_stored_index(spark, sf):
+    """The same from a stored index, written in two syncs: the English documents first, then all of them."""
+    docs = _docs(spark, sf)
+    index = TextIndex(spark, scratch_path(spark))
+    index.sync(table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"))
+    index.sync(docs)
+    return index.bm25(WORDS).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_bm25(WORDS)} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def fts_prefix_or(spark, sf):
     return search.fts(_docs(spark, sf), QUERY, 20).select("id", F.round("score", 6).alias("score"))

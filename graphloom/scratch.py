@@ -6,20 +6,24 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again. Without one a single machine uses a folder of
-    its own; a cluster may not, as its executors would write to disks that others do not see."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder in spark.checkpoint.dir. Without one a single machine uses a folder of its own; a cluster
+    may not, as its executors would write to disks that others do not see."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp()}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/t-{uuid.uuid4().hex}"
+    return f"{folder}/t-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the scratch folder and read again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
