@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import report
 from .extract import build
-from .functions.porter import stemmed, stems
+from .functions.porter import query_stems_of, stemmed
 from .operators import graph, reach, resolve, search, temporal
 from .schema import NON_FILE_TYPES, SOURCE_TYPES
 from .sources import embed, files, git, hook
@@ -197,7 +197,7 @@ class Index:
         seen = temporal.symbol_visible(self.store.read("symbols"), git.reachable(self.spark, self.repo, as_of)).select("id") if as_of else None
         if not self.words.manifest()["segments"]:  # a store that was written without an index
             self.index_words()
-        found = lambda text, n: self.words.fts(text, n, list(dict.fromkeys(s for w in search.query_words(text) for s in stems(w))))
+        found = lambda text, n: self.words.fts(text, n, query_stems_of(syms, search.query_words(text)))
         hits = search.hybrid(None, vectors, q, syms.select("id", "path", "exported", "name", "kind", "line", "doc", "blast_score"), query, k, lambda seeds, n: graph.expand(links, owners, seeds, n), seen, keyword=found)
         return [r.asDict() for r in hits.orderBy(F.desc("score"), "id").collect()]
 

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.porter import stemmed, stems
+from ..functions.porter import folded_tokens, query_stems_of, stem_column
 from ..functions.text import path_boost, query_stems, tokens
+from ..scratch import stored
 
 K1, B, RRF = 1.2, 0.75, 60
+BROADCAST_ROWS = 250_000  #: words with their stems, about 10 MB
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
@@ -20,11 +22,11 @@ def postings(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     return t.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, prefixes: list[str], text: str = "text", key: str = "id", split=tokens) -> DataFrame:
+def bm25(docs: DataFrame, prefixes: list[str], text: str = "text", key: str = "id") -> DataFrame:
     """(id, score) of documents with a token that starts with any of the prefixes.
 
     Prefix frequencies are counted in the document's own row, so only matches and three sums leave the scan."""
-    t = docs.select(F.col(key).alias("id"), split(text).alias("_t"))
+    t = docs.select(F.col(key).alias("id"), tokens(text).alias("_t"))
     rows = t.select("id", F.size("_t").alias("len"), *[_starting(p).alias(f"tf{i}") for i, p in enumerate(prefixes)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(prefixes))])
     hits = rows.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(prefixes))]))
@@ -55,6 +57,16 @@ def bm25_postings(index: DataFrame, sizes: DataFrame, prefixes: list[str]) -> Da
     return hits.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(sizes)).select("id", _bm25_sum(len(prefixes)).alias("score"))
 
 
+def bm25_stems(docs: DataFrame, prefixes: list[str], text: str = "text", key: str = "id") -> DataFrame:
+    """(id, score) as bm25 gives it, by stems of folded words. Distinct words are stemmed, not their occurrences."""
+    t = docs.select(F.col(key).alias("id"), folded_tokens(text).alias("_t"))
+    words = stored(t.select(F.explode("_t").alias("word")).distinct().select("word", stem_column("word").alias("term")))  # each stem once
+    near = stored(words.where(reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in prefixes])))
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    rows = t.select("id", F.size("_t").alias("len"), F.explode("_t").alias("word")).join(near, "word").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    return bm25_postings(rows, t.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg")), prefixes)
+
+
 def query_words(query: str) -> list[str]:
     return re.sub(r'["*^()\-]', " ", query).lower().split()
 
@@ -74,19 +86,18 @@ def fts(docs: DataFrame, query: str, k: int, text: str = "text", key: str = "id"
     """(id, score): the k best for any of the query's words as prefixes; truncated words if there is no match at all.
 
     porter: words of texts and query lose their accents and are stemmed first."""
-    words = query_words(query)
-    split = stemmed if porter else tokens
+    words, score = query_words(query), bm25
     if porter:
-        words = list(dict.fromkeys(s for w in words for s in stems(w)))
+        words, score = query_stems_of(docs, words), bm25_stems
     empty = docs.sparkSession.createDataFrame([], "id long, score double")
     if not words:
         return empty
-    hits = bm25(docs, words, text, key, split)
+    hits = score(docs, words, text, key)
     short = truncations(words)
     if hits.isEmpty():
         if not short:
             return empty
-        hits = bm25(docs, short, text, key, split)
+        hits = score(docs, short, text, key)
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
