@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -215,13 +216,18 @@ def estimate(x: dict) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def _sequences(texts: list[bytes], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts, end symbol included, laid end to end; one text's words are held at a time."""
+def _sequences(texts: list[bytes], symbols: Symbols, words: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, end symbol included, laid end to end; one text's words are held at a time, or all are added to
+    words, with an empty one for each end."""
     stop, parts, sizes = np.array([END], np.int32), [], []
     for t in texts:
-        x = symbols.of(t.lower().split())
+        own = t.lower().split()
+        x = symbols.of(own)
         parts += [x, stop]
         sizes.append(len(x) + 1)
+        if words is not None:
+            words += own
+            words.append(b"")
     return np.concatenate(parts) if parts else np.empty(0, np.int32), np.asarray(sizes, np.int64)
 
 
@@ -389,7 +395,8 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
         claim("words")
         symbols, number = Symbols(head), TaskContext.get().partitionId() << 32
         for texts, held, ids in (x for b in batches for x in _sliced(b)):
-            flat, sizes = _sequences(texts, symbols)
+            words: list[bytes] = []
+            flat, sizes = _sequences(texts, symbols, words)
             starts = np.cumsum(sizes) - sizes
             meta = np.zeros(len(texts), META)
             meta["held"], meta["tokens"] = held, sizes
@@ -398,20 +405,17 @@ def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
             value, sure = np.where(is_tail, 0.0, logs[flat]), np.where(is_tail, 0, known[flat])
             doc = np.repeat(np.arange(len(texts)), sizes)
             meta["logs"], meta["known"] = np.bincount(doc, value, len(texts)), np.bincount(doc, sure, len(texts))
-            meta["tail"] = np.bincount(doc[is_tail] * TAIL + flat[is_tail] - HEAD, minlength=len(texts) * TAIL).reshape(-1, TAIL)
+            doc, tail = doc[is_tail], flat[is_tail] - HEAD
+            meta["tail"] = np.bincount(doc * TAIL + tail, minlength=len(texts) * TAIL).reshape(-1, TAIL)
             out = [(number, -1, ids, meta.tobytes())]
-            found = []
-            for i, t in enumerate(texts):
-                if meta["tail"][i].any():
-                    words = t.lower().split()
-                    pick = np.flatnonzero(is_tail[starts[i] : starts[i] + sizes[i]]).tolist()
-                    h, first, times = np.unique(hash_words([words[j] for j in pick]), return_index=True, return_counts=True)
-                    e = np.zeros(len(h), ENTRY)
-                    e["hash"], e["doc"], e["times"], e["train"] = h, i, times, 1 - held[i]
-                    e["tail"] = flat[starts[i] + np.asarray(pick)[first]] - HEAD
-                    found.append(e)
-            if found:
-                e = np.concatenate(found)
+            if len(doc):
+                h = hash_words(list(compress(words, is_tail.tolist())))
+                order = np.lexsort((h, doc))
+                h, doc, tail = h[order], doc[order], tail[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+                e = np.zeros(len(first), ENTRY)
+                e["hash"], e["doc"], e["times"], e["tail"] = h[first], doc[first], np.diff(np.append(first, len(h))), tail[first]
+                e["train"] = 1 - held[e["doc"]]
                 to = (e["hash"] >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(to, kind="stable")
                 e, to = e[order], to[order]
@@ -470,11 +474,24 @@ def _finished(total: float, distinct: float, z: np.ndarray):
     return run
 
 
+def most_frequent(learn: DataFrame) -> list[bytes]:
+    """The HEAD most frequent words, ties by word. Counts are exact; a histogram of their logarithms, a few hundred rows,
+    says below which count no word can be among them, so that few others are sorted."""
+    words = stored(learn.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    level = F.floor(F.log2("c") * 8).cast("int").alias("level")
+    need, least = HEAD, 0
+    for r in words.groupBy(level).count().orderBy(F.desc("level")).collect():
+        need, least = need - r["count"], r["level"]
+        if need <= 0:
+            break
+    rows = words.where(level >= least).orderBy(F.desc("c"), "word").limit(HEAD)
+    return [bytes(r["word"]) for r in rows.collect()]
+
+
 def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
     """Head words, model and exact symbol counts of the training documents (a text column)."""
-    words = learn.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    head = [bytes(r["word"]) for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
     begun = written()
+    head = most_frequent(learn)
     coded = stored(learn.mapInArrow(_coded(head), "flat binary, sizes binary"))
     model = first_model(coded)
     last, size = None, sum(v.size for v in blank().values())
