@@ -18,7 +18,7 @@ from . import report
 from .extract import build
 from .functions.porter import query_stems_of, stemmed
 from .operators import graph, reach, resolve, search, temporal
-from .schema import NON_FILE_TYPES, SOURCE_TYPES
+from .schema import COMMITS, NON_FILE_TYPES, SOURCE_TYPES
 from .sources import embed, files, git, hook
 from .sources.store import Store
 from .sources.text_index import TextIndex
@@ -34,7 +34,7 @@ class Index:
 
     # Building
 
-    def graph(self) -> dict[str, DataFrame]:
+    def graph(self, known: DataFrame | None = None) -> dict[str, DataFrame]:
         ignore = []
         if os.path.exists(path := f"{self.repo}/.gitignore"):
             with open(path, errors="replace") as f:
@@ -42,11 +42,12 @@ class Index:
         found = files.config_files(self.spark, f"file://{self.repo}", CONFIGS)
         spaces = files.workspaces(self.repo, found)
         packages = self.spark.createDataFrame(spaces, "dir string, name string") if spaces else None
-        return build.analyze(files.read_tree(self.spark, f"file://{self.repo}", ignore), packages, files.go_module(found), files.aliases(found), files.psr4(found))
+        return build.analyze(files.read_tree(self.spark, f"file://{self.repo}", ignore), packages, files.go_module(found), files.aliases(found), files.psr4(found), known)
 
     def analyze(self, commit: str | None = None) -> dict:
-        """Scans, scores and stores the repository as of its head commit."""
-        g = {k: build.stored(v) for k, v in self.graph().items()}
+        """Scans, scores and stores the repository as of its head commit. Only files whose content is new are parsed
+        (scanned says how many); the graph is linked and scored anew."""
+        g = {k: build.stored(v) for k, v in self.graph(self.store.read("facts")).items()}
         edges = g["links"].select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind", "weight")
         scored = reach.blast_counts(build.stored(graph.valid_edges(edges, g["nodes"]))).withColumnRenamed("origin", "id")
         lists = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("n"))
@@ -62,7 +63,9 @@ class Index:
         self.store.sync({"files": rows, "edges": stored_edges, "symbols": syms}, commit or git.resolve(self.repo) or "working-tree")
         self.index_words()
         self.embed()
-        return self.status()
+        self.store.write({"facts": g["facts"]})
+        self.store.vacuum(keep=2)
+        return self.status() | {"scanned": g["facts"].count()}
 
     def index_words(self) -> None:
         """Brings the stored keyword index to the active symbols; only new and changed ones are tokenised."""
@@ -74,7 +77,7 @@ class Index:
         text = F.concat_ws(" ", F.when(F.col("name") != "", F.col("name")), F.when(F.col("signature") != "", F.col("signature")), F.when(F.col("doc") != "", F.col("doc")))
         have = self.store.read("vectors")
         missing = self.store.read("symbols").where("active").join(have, F.col("id") == F.col("symbol_id"), "left_anti").select(F.col("id").alias("symbol_id"), text.alias("text"))
-        self.store.write({"vectors": have.unionByName(embed.embedded(missing, provider()))})
+        self.store.write({"vectors": embed.embedded(missing, provider())})
 
     # Reading
 
@@ -168,7 +171,7 @@ class Index:
         born = temporal.first_links(trees, refs).join(names.withColumnRenamed("seq", "first"), "first")
         first_edges = born.select(F.xxhash64("source").alias("source_file_id"), F.xxhash64("target").alias("target_file_id"), F.col("hash").alias("first"))
         e = temporal.backfilled(self.store.read("edges"), first_edges, ["source_file_id", "target_file_id"], {"active": F.lit(False), "kind": F.lit("imports"), "weight": F.lit(1.0), "id": F.xxhash64("source_file_id", "target_file_id", F.lit("imports"))})
-        self.store.write({"files": f, "edges": e, "commits": self.store.record_commits(commits)})
+        self.store.write({"files": f, "edges": e, "commits": commits.select(*COMMITS.names).dropDuplicates(["hash"])})
         return {"commits": commits.count(), "files": first_files.count()}
 
     def changed_since(self, ref: str) -> dict:

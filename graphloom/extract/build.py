@@ -10,25 +10,44 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import layer, link_kind
 from ..functions.text import fold_path, normalize_url, parent
+from ..operators.numbering import numbered
 from ..operators.resolve import first_match, longest_prefix, route_match, suffix_match
 from ..scratch import stored
 
-FACTS = "path string, what string, name string, line int, kind string, exported boolean, doc string, methods array<string>, candidates array<string>, external string, wanted string"
+FACT = "path string, what string, name string, line int, kind string, exported boolean, doc string, methods array<string>, candidates array<string>, external string, wanted string"
+RULES = "1"  #: goes into the hash of a file's facts: to be raised when extraction changes
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .scan import FIELDS, scan
 
     kinds = {"line": pa.int32(), "exported": pa.bool_(), "methods": pa.list_(pa.string()), "candidates": pa.list_(pa.string())}
-    schema = pa.schema([(f, kinds.get(f, pa.string())) for f in FIELDS])
+    fact = pa.struct([(f, kinds.get(f, pa.string())) for f in FIELDS])
     for b in batches:
-        rows = [r for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) if p is not None and t is not None for r in scan(p, t)]
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        rows = [[{f: r.get(f) for f in FIELDS} for r in scan(p, t)] if p is not None and t is not None else [] for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), pa.array(rows, pa.list_(fact))], ["path", "hash", "rows"])
+
+
+def file_facts(sources: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, hash, rows) of sources (path, content): of all, and of those that were parsed. A file whose path and content
+    are among the known ones is not parsed again; files are parsed once and the rows are kept."""
+    hashed = sources.select("path", "content", F.sha2(F.concat(F.lit(f"{RULES}:"), F.coalesce("content", F.lit(""))), 256).alias("hash"))
+    if known is None:
+        fresh = stored(hashed.select("path", "hash", "content").mapInArrow(_scan, f"path string, hash string, rows array<struct<{_fields()}>>"))
+        return fresh, fresh
+    have = known.select("path", "hash")
+    fresh = stored(hashed.join(have, ["path", "hash"], "left_anti").select("path", "hash", "content").mapInArrow(_scan, f"path string, hash string, rows array<struct<{_fields()}>>"))
+    return fresh.unionByName(known.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi").select("path", "hash", "rows")), fresh
 
 
-def facts(sources: DataFrame) -> DataFrame:
-    """All rows of extract.scan for sources (path, content); files are parsed once and the rows are kept."""
-    return stored(sources.select("path", "content").mapInArrow(_scan, FACTS))
+def _fields() -> str:
+    return ", ".join(f.replace(" ", ": ", 1) for f in FACT.split(", "))
+
+
+def facts(sources: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows of extract.scan for sources, and the rows of file_facts that are new."""
+    every, fresh = file_facts(sources, known)
+    return stored(every.select(F.explode("rows").alias("_r")).select("_r.*")), fresh
 
 
 def _referring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +127,16 @@ def api_links(found: DataFrame) -> DataFrame:
     module = F.regexp_extract("path", r"([^/]+)\.py$", 1)
     routes = found.where("what = 'route'").withColumn("_module", module).join(mount, "_module", "left")
     routes = routes.select("path", normalize_url(F.concat(F.coalesce("_mount", "wanted", F.lit("")), "name")).alias("url")).distinct()
-    numbered = routes.groupBy("url").agg(F.min("path").alias("route_id"))
+    first = routes.groupBy("url").agg(F.min("path").alias("route_id"))
     calls = found.where("what = 'call'").select("path", normalize_url(F.regexp_replace("name", r"^https?://[^/]+", "")).alias("url")).distinct()
-    matched = route_match(calls.select(F.struct("path", "url").alias("call_id"), "url"), numbered.select("route_id", "url"))
+    matched = route_match(calls.select(F.struct("path", "url").alias("call_id"), "url"), first.select("route_id", "url"))
     return matched.where("route_id is not null").select(F.col("call_id.path").alias("source"), F.col("route_id").alias("target")).distinct().select("source", "target", F.lit("api-call").alias("kind"), F.lit(1).cast("long").alias("weight"))
 
 
-def analyze(sources: DataFrame, packages: DataFrame | None = None, go_module: str | None = None, aliases: list[tuple[str, str]] = (), psr4: list[tuple[str, str]] = ()) -> dict[str, DataFrame]:
-    """nodes, links and symbols of source files (path, content). packages: (dir, name) of a monorepo's workspaces; psr4:
-    (namespace, folder) of PHP."""
-    found = facts(sources)
+def analyze(sources: DataFrame, packages: DataFrame | None = None, go_module: str | None = None, aliases: list[tuple[str, str]] = (), psr4: list[tuple[str, str]] = (), known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """nodes, links and symbols of source files (path, content), and the facts of files that were parsed. packages: (dir,
+    name) of a monorepo's workspaces; psr4: (namespace, folder) of PHP; known: facts of an earlier run."""
+    found, fresh = facts(sources, known)
     inside, links = node_table(found), stored(link_table(found, go_module, aliases, psr4))
     outside = links.where("external").select(F.col("target").alias("id")).distinct().join(inside.select("id"), "id", "left_anti")
     hashes = sources.select(F.col("path").alias("id"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.length("content").cast("long").alias("size"))
@@ -129,16 +148,14 @@ def analyze(sources: DataFrame, packages: DataFrame | None = None, go_module: st
     a, b = nodes.select(F.col("id").alias("source"), F.col("type").alias("_s")), nodes.select(F.col("id").alias("target"), F.col("type").alias("_t"))
     kinds = links.join(a, "source", "left").join(b, "target", "left").groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.first("_s").alias("_s"), F.first("_t").alias("_t"))
     linked = kinds.select("source", "target", link_kind(F.col("_s"), F.col("_t")).alias("kind"), "weight").unionByName(api_links(found))
-    return {"nodes": nodes, "links": linked, "symbols": symbol_table(found)}
+    return {"nodes": nodes, "links": linked, "symbols": symbol_table(found), "facts": fresh}
 
 
 def groups(nodes: DataFrame) -> DataFrame:
     """nodes with group: the number of the node's directory, directories counted in name order."""
-    from pyspark.sql import Window
-
     dirs = nodes.select(parent("id").alias("_dir")).distinct()
-    numbered = dirs.select("_dir", (F.row_number().over(Window.orderBy("_dir")) - 1).cast("int").alias("group"))
-    return nodes.withColumn("_dir", parent("id")).join(numbered, "_dir", "left").drop("_dir")
+    own = numbered(dirs, [F.col("_dir")], "_n").select("_dir", F.col("_n").cast("int").alias("group"))
+    return nodes.withColumn("_dir", parent("id")).join(own, "_dir", "left").drop("_dir")
 
 
 __all__ = ["analyze", "api_links", "facts", "fold_path", "groups", "link_table", "node_table", "symbol_table"]

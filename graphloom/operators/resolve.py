@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import same_tail
-
 
 def first_match(refs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """refs (keys, candidates array of paths in order) with target: the first candidate that is a file (column path)."""
@@ -26,24 +24,30 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     return paths.join(best, "path", "left")
 
 
+def _tails(path: str) -> Column:
+    """The last one, two, ... segments of a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, -i, i), "/"))
+
+
 def suffix_match(refs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """refs (keys, wanted) with target: the smallest file path that equals wanted or ends with /wanted."""
-    parts = F.split("path", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, -i, i), "/"))
-    ends = files.select("path", F.explode(tails).alias("wanted"))
-    hit = refs.select(*keys, "wanted").join(ends, "wanted").groupBy(*keys).agg(F.min("path").alias("target"))
-    return refs.join(hit, keys, "left")
+    ends = files.select("path", F.explode(_tails("path")).alias("wanted")).groupBy("wanted").agg(F.min("path").alias("target"))
+    return refs.join(ends, "wanted", "left").select(*keys, "wanted", "target")
 
 
 def route_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """calls (call_id, url) with route_id: equal paths first, else the first route with the same trailing segments.
 
-    Both sides are keyed by their last segment, which any match shares, so the fallback is an equi-join too."""
-    last = lambda c: F.substring_index(c, "/", -1)
-    exact = calls.join(routes, "url").groupBy("call_id").agg(F.min("route_id").alias("_exact"))
-    a = calls.select("call_id", F.col("url").alias("_u"), last(F.col("url")).alias("_last"))
-    b = routes.select("route_id", F.col("url").alias("_r"), last(F.col("url")).alias("_last"))
-    near = a.join(b, "_last").where(same_tail("_u", "_r") & (F.col("_r") != "/")).groupBy("call_id").agg(F.min("route_id").alias("_near"))
+    Of two such paths one is a tail of the other. The smallest route of every path, and of every tail of a path, is found
+    first; calls then meet one row for each of their own tails, however many routes share a last segment."""
+    whole = routes.groupBy("url").agg(F.min("route_id").alias("_id"))
+    exact = calls.join(whole, "url").groupBy("call_id").agg(F.min("_id").alias("_exact"))
+    other = routes.where("url <> '/'")
+    tails = other.select("route_id", F.explode(_tails("url")).alias("url")).groupBy("url").agg(F.min("route_id").alias("_id"))
+    longer = calls.join(tails, "url").select("call_id", "_id")
+    shorter = calls.select("call_id", F.explode(_tails("url")).alias("url")).join(whole.where("url <> '/'"), "url").select("call_id", "_id")
+    near = longer.unionByName(shorter).groupBy("call_id").agg(F.min("_id").alias("_near"))
     return calls.join(exact, "call_id", "left").join(near, "call_id", "left").select(*calls.columns, F.coalesce("_exact", "_near").alias("route_id"))
 
 

@@ -102,7 +102,7 @@ def fts(docs: DataFrame, query: str, k: int, text: str = "text", key: str = "id"
 
 
 def l2(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+    return _l2_of(F.col(a), F.col(b))
 
 
 def knn(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -110,13 +110,49 @@ def knn(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return vectors.crossJoin(F.broadcast(query.limit(1))).select("id", l2("v", "q").alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(query_id, id, distance, rank) for queries (query_id, q), in blocks: each block is packed in one row and meets
-    every vector once; a vector keeps no more than it needs to be ranked."""
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // block)))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q")).alias("_qs")).select("_qs")
-    pairs = vectors.join(F.broadcast(packed)).select("id", "v", F.explode("_qs").alias("_q")).select("id", "v", "_q.query_id", "_q.q")
+def _to_pivots(rows: DataFrame, vec: str, pivots: DataFrame) -> DataFrame:
+    """rows with dist (the distances to all pivots) and cell (the nearest one's number)."""
+    far = rows.crossJoin(F.broadcast(pivots)).withColumn("dist", F.transform("_pivots", lambda p: _l2_of(F.col(vec), p)))  # one row
+    return far.drop("_pivots").withColumn("cell", (F.array_position("dist", F.array_min("dist")) - 1).cast("int"))
+
+
+def _l2_of(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+
+
+def knn_scored(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 16, most: int = 50_000) -> DataFrame:
+    """(query_id, id, distance): the pairs that are scored to find the k vectors (id, v) nearest to each query (query_id, q).
+
+    Vectors are dealt to the cells of a few pivots. A query meets its own cell first; the k-th distance there bounds what it
+    seeks. It goes on to cells whose nearest possible vector lies within, and meets only those vectors there whose distance
+    to the pivot differs from its own by no more (the triangle inequality). Cells meet queries in a join on cell and slice,
+    a slice holding about `most` vectors. Null vectors take no part. What is broadcast is one row of pivots and a row for each cell."""
+    seeds = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).agg(F.sort_array(F.collect_list(F.struct("id", "v")))["v"].alias("_pivots"))
+    seeds, slack = stored(seeds), (1 + F.col("to")) * 1e-9  # for rounding
+    slice_ = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice")
+    placed = stored(_to_pivots(vectors.select("id", "v"), "v", seeds).select("id", "v", "cell", F.element_at("dist", F.col("cell") + 1).alias("far")))
+    cells = stored(placed.groupBy("cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / most).cast("int").alias("slices")))  # a row for each pivot
+    placed = placed.join(F.broadcast(cells.select("cell", "slices")), "cell").select("id", "v", "cell", "far", slice_)
+    asked = stored(_to_pivots(queries.select("query_id", "q"), "q", seeds))
+
+    def met(own: DataFrame) -> DataFrame:
+        """Pairs of own (query_id, q, cell, slices, to, within) and the vectors of its cells."""
+        spread = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        near = F.abs(F.col("far") - F.col("to")) <= F.col("within") + slack
+        return spread.join(placed, ["cell", "slice"]).where(near).select("query_id", "id", l2("v", "q").alias("distance"))
+
+    home = stored(met(asked.join(F.broadcast(cells), "cell").select("query_id", "q", "cell", "slices", F.lit(0.0).alias("to"), F.lit(float("inf")).alias("within"))))
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    best = home.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("query_id", F.col("distance").alias("within"))
+    away = asked.join(best, "query_id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf")))).withColumnRenamed("cell", "own")
+    away = away.join(F.broadcast(cells), F.col("cell") != F.col("own")).withColumn("to", F.element_at("dist", F.col("cell") + 1)).where(F.col("to") - F.col("radius") <= F.col("within") + slack)
+    return home.unionByName(met(away.select("query_id", "q", "cell", "slices", "to", "within")))
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 16) -> DataFrame:
+    """(query_id, id, distance, rank) for queries (query_id, q): the k nearest vectors of each, ties to the smaller id."""
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.select("query_id", "id", l2("v", "q").alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return knn_scored(vectors, queries, k, pivots).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def ranked(hits: DataFrame, signal: str, order: list[Column]) -> DataFrame:

@@ -100,3 +100,23 @@ def path_functions(spark, sf):
 @query("SELECT lang, source, count(*) AS docs, sum(n_chars)::BIGINT AS chars, grouping(lang, source)::INTEGER AS level FROM documents GROUP BY ROLLUP (lang, source)")
 def platform_rollup(spark, sf):
     return table(spark, sf, "documents").rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.grouping_id().cast("int").alias("level"))
+
+
+_PATHS = "paths AS (SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.txt' AS path FROM documents)"
+
+
+def _paths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+
+
+@query(f"WITH {_PATHS}, r AS (SELECT doc_id, 'd' || (doc_id + 1) || '.txt' AS wanted FROM documents) SELECT r.doc_id, wanted, min(path) AS target FROM r LEFT JOIN paths p ON path = wanted OR ends_with(path, '/' || wanted) GROUP BY 1, 2")
+def suffix_resolve(spark, sf):
+    """Each document refers to the next one by file name alone."""
+    p = _paths(spark, sf)
+    refs = p.select("doc_id", F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string"), F.lit(".txt")).alias("wanted")).distinct()
+    return resolve.suffix_match(refs, p, ["doc_id"])
+
+
+@query(f"WITH {_PATHS} SELECT path FROM paths WHERE path = './d7.txt' OR ends_with(path, 'd7.txt') OR ends_with('d7.txt', path) ORDER BY path = './d7.txt' DESC, length(path), path LIMIT 1")
+def fuzzy_path_lookup(spark, sf):
+    return resolve.fuzzy_path(_paths(spark, sf).select("path"), "./d7.txt")

@@ -18,6 +18,8 @@ EDGES = _struct(f"id:l source_file_id:l target_file_id:l kind:s weight:d {LIFE}"
 SYMBOLS = _struct(f"id:l file_id:l name:s kind:s line:i exported:b signature:s doc:s methods:a {LIFE}")
 VECTORS = _struct("symbol_id:l embedding:v")
 SOURCES = _struct("path:s content:s")
+FACT = _struct("path:s what:s name:s line:i kind:s exported:b doc:s methods:a candidates:a external:s wanted:s")
+FACTS = StructType([*_struct("path:s hash:s"), StructField("rows", ArrayType(FACT), True)])
 RAW_EDGES = _struct("path:s specifier:s kind:s line:i")
 RAW_SYMBOLS = _struct("path:s name:s line:i kind:s exported:b doc:s methods:a")
 
