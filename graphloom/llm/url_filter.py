@@ -1,15 +1,18 @@
 """URL filters: explicit rules first, then association rules mined with Spark's FP-growth.
 
 Transactions are the distinct tokens of labelled URLs (words of the host and of the path) with an item for the label. A
-URL's label comes from what its page shows: labelled_urls() joins pages to labelled documents by their opening words.
-Long paths would make 2^words sets of one URL, so only tokens that a kept rule can have are mined, and tokens that all
-labelled URLs have together or not at all count as one. Rules {tokens} => bad are kept by confidence and support; a rule is dropped when a subset of its tokens is at
-least as confident. All others are kept, in a table with each rule's rarest token; the distinct token sets of the URLs
-are joined with it and blocked when all tokens of a rule are there. All of it stays in the JVM.
+URL's label comes from what its page shows: labelled_urls() joins pages to labelled documents by title and first line.
+Only tokens that a kept rule can have are mined, and tokens that all labelled URLs have together or not at all count as
+one. Rules {tokens} => bad, of any number of tokens, are kept by confidence and support; a rule is dropped when a subset
+of its tokens is at least as confident, which is found level by level: the best confidence below a set of tokens comes
+from the sets with one token less. All others are kept, in a table with each rule's rarest token; the distinct token sets
+of the URLs are joined with it and blocked when all tokens of a rule are there. All of it stays in the JVM.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +22,8 @@ from .common import held, stored
 #: Fixed values: (host, path) => verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A rule needs a share SUPPORT of the labelled URLs and ROWS of them, all bad, and CONFIDENCE among all that it fits.
-SUPPORT, ROWS, CONFIDENCE, MAX_TOKENS = 0.0005, 8, 0.8, 4
-OPENING, LEAST = 40, 20  #: characters of an opening that are compared, and that it must have
+SUPPORT, ROWS, CONFIDENCE = 0.0005, 8, 0.8
+TITLE = 60  #: pages cut longer titles after so many characters
 BAD = "=bad"
 
 
@@ -48,29 +51,37 @@ def _explicit() -> tuple[Column, Column]:
     return rule, verdict
 
 
-def pruned(rules: DataFrame) -> DataFrame:
-    """The rules (tokens, sorted; confidence) of which no proper subset of the tokens is a rule at least as confident."""
-    parts = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> (shiftright(m, i) & 1) = 1))")
-    smaller = rules.where("size(tokens) > 1").select("tokens", "confidence", F.explode(parts).alias("part"))
-    weaker = smaller.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("had")), "part").where("had >= confidence")
-    return rules.join(weaker.select("tokens").distinct(), "tokens", "left_anti")
+def pruned(sets: DataFrame) -> DataFrame:
+    """Of sets (tokens, sorted; confidence), which hold all parts of each, those of CONFIDENCE or more of which no proper
+    part is at least as confident. A level is the sets of one size; it sees the level below only."""
+    sets = stored(sets.select("tokens", "confidence", F.size("tokens").alias("n")))
+    most = sets.agg(F.max("n")).first()[0] or 0
+    level = sets.where("n = 1").select("tokens", "confidence", F.lit(-1.0).alias("best"))
+    kept = [level]
+    for n in range(2, most + 1):
+        below = level.select(F.col("tokens").alias("part"), F.greatest("confidence", "best").alias("top"))
+        parts = sets.where(F.col("n") == n).select("tokens", "confidence", F.explode(F.expr("transform(tokens, t -> array_remove(tokens, t))")).alias("part"))
+        level = stored(parts.join(below, "part").groupBy("tokens", "confidence").agg(F.max("top").alias("best")))
+        kept.append(level)
+    return reduce(DataFrame.unionByName, kept).where((F.col("confidence") >= CONFIDENCE) & (F.col("best") < F.col("confidence"))).select("tokens", "confidence")
 
 
 def labelled_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad) of the pages that show a labelled document: their title begins as the document's first line does.
+    """(url, bad) of the pages that show a labelled document: their title is the document's first line, whole or cut
+    after TITLE characters; blanks at the ends do not count, runs of blanks are one.
 
-    bad: at least half of the labelled documents that begin so have quality 0. Null texts, openings of fewer than LEAST
-    characters, null and other labels teach nothing; of several labels of a document the lowest counts."""
+    bad: at least half of the labelled documents with that line have quality 0. Null texts, empty lines and titles, null
+    and other labels teach nothing; of several labels of a document the lowest counts. Lines meet as their hashes."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     blank = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    first = F.substring(blank(F.substring_index("text", "\n", 1)), 1, OPENING)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("opening")).where(F.length("opening") >= LEAST).join(marks, "doc_id")
-    known = held(stored(known.groupBy("opening").agg((F.avg("quality") <= 0.5).alias("bad"))))
+    first = F.trim(F.substring(blank(F.substring_index("text", "\n", 1)), 1, TITLE))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("line")).where("line <> ''").join(marks, "doc_id")
+    known = held(stored(known.groupBy(F.md5("line").alias("line")).agg((F.avg("quality") <= 0.5).alias("bad"))))
     title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
     for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         title = F.replace(title, F.lit(code), F.lit(char))
-    shown = pages.where("url is not null and html is not null").select("url", F.substring(blank(title), 1, OPENING).alias("opening"))
-    return shown.where(F.length("opening") >= LEAST).join(known, "opening").select("url", "bad")
+    shown = pages.where("url is not null and html is not null").select("url", F.trim(F.substring(blank(title), 1, TITLE)).alias("line"))
+    return shown.where("line <> ''").withColumn("line", F.md5("line")).join(known, "line").select("url", "bad")
 
 
 def mined(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +103,11 @@ def mined(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = baskets.count()
     if not m:
         return sure, names.select("token", "name")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n * (1 - 1e-9) / m), minConfidence=CONFIDENCE).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    return pruned(stored(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence"))).unionByName(sure), names.select("token", "name")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n * (1 - 1e-9) / m)).fit(baskets)
+    frequent = stored(model.freqItemsets.select(F.sort_array(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"))
+    rows = frequent.where("not bad").select("tokens", F.col("freq").alias("n"))
+    sets = frequent.where("bad and size(tokens) > 0").select("tokens", F.col("freq").alias("hits")).join(rows, "tokens").select("tokens", (F.col("hits") / F.col("n")).alias("confidence"))
+    return pruned(sets).unionByName(sure), names.select("token", "name")
 
 
 def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -391,13 +391,23 @@ def few_rows(monkeypatch):
 
 
 def test_url_labels(spark):
-    """A URL is labelled by the documents whose opening its title shows; short openings, nulls and other labels teach nothing."""
+    """A URL is labelled by the documents whose first line is its title, whole or cut; nulls and other labels teach nothing."""
     start = "Some words that open the document & go on for long"
     html = "<html><title>" + start.replace("&", "&amp;") + "</title>"
-    pages = spark.createDataFrame([(1, "http://a.b/1", html), (2, "http://a.b/2", "<title>short</title>"), (3, None, html), (4, "http://a.b/4", None), (5, "http://a.b/5", "<title>Quite another beginning of it all</title>")], "page_id long, url string, html string")
-    texts = spark.createDataFrame([(1, start + " x"), (2, start + " y\nz"), (3, start), (4, "short"), (5, None), (6, "Quite another beginning of it all\nand")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 0), (6, 1, 0), (6, None, 0), (None, 0, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
-    assert {(r["url"], r["bad"]) for r in url_filter.labelled_urls(pages, texts, labels).collect()} == {("http://a.b/1", True), ("http://a.b/5", False)}
+    line = "A first line of more than sixty characters, which titles show cut after sixty of them"
+    pages = spark.createDataFrame([(1, "http://a.b/1", html), (2, "http://a.b/2", "<title> short </title>"), (3, None, html), (4, "http://a.b/4", None), (5, "http://a.b/5", f"<title>{line[:60]}</title>"), (6, "http://a.b/6", "<title>Some words</title>"), (7, "http://a.b/7", "<title></title>")], "page_id long, url string, html string")
+    texts = spark.createDataFrame([(1, start), (2, start + "  \nz"), (3, start), (4, "short"), (5, None), (6, line + "\nand"), (7, start + " x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 0), (6, 1, 0), (6, None, 0), (None, 0, 0), (2, 7, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {(r["url"], r["bad"]) for r in url_filter.labelled_urls(pages, texts, labels).collect()} == {("http://a.b/1", True), ("http://a.b/2", True), ("http://a.b/5", False)}
+
+
+def test_url_rule_of_six_tokens(spark, few_rows):
+    """The only confident rule has six tokens: each URL with five of them is good."""
+    six = list("uvwxyz")
+    seen = [("http://q.q/" + "/".join(six), 0)] * 30 + [("http://q.q/" + "/".join(t for t in six if t != gone), 1) for gone in six for _ in range(20)]
+    asked = [("http://q.q/k/" + "/".join(six), None), ("http://q.q/" + "/".join(six[:5]), None)]
+    got = {r["page_id"]: r["mined"] for r in url_filter.judged(*url_tables(spark, seen + asked)).collect()}
+    assert (got[len(seen)], got[len(seen) + 1]) == (True, False)
 
 
 def test_url_rules_have_no_cap(spark, few_rows):
@@ -431,7 +441,7 @@ def test_url_rules_against_brute_force(spark, few_rows):
     sets = [({"h:q", *(f"p:{x}" for x in w)}, q) for w, q in rows]
     least, rules = max(url_filter.SUPPORT, url_filter.ROWS / len(sets)) * len(sets), []
     words = sorted(set().union(*(s for s, _ in sets)))
-    for k in range(1, url_filter.MAX_TOKENS + 1):
+    for k in range(1, len(words) + 1):
         for own in itertools.combinations(words, k):
             marks = [q for s, q in sets if s >= set(own)]
             hits = marks.count(0)
@@ -447,9 +457,9 @@ def test_url_rules_against_brute_force(spark, few_rows):
 
 def test_url_rules_pruned(spark):
     rnd = np.random.default_rng(16)
-    sets = sorted({tuple(sorted(rnd.choice(list("abcdefg"), rnd.integers(1, 5), replace=False).tolist())) for _ in range(70)})
-    rules = [(list(s), float(rnd.choice([0.8, 0.9, 1.0]))) for s in sets]
-    want = {tuple(s) for s, c in rules if not any(set(k) < set(s) and d >= c for k, d in rules)}
+    sets = [s for n in range(1, 6) for s in itertools.combinations("abcdefg", n)]
+    rules = [(list(s), float(rnd.choice([0.3, 0.8, 0.9, 1.0], p=[0.7, 0.1, 0.1, 0.1]))) for s in sets]
+    want = {tuple(s) for s, c in rules if c >= 0.8 and not any(set(k) < set(s) and d >= c for k, d in rules)}
     got = [tuple(r["tokens"]) for r in url_filter.pruned(spark.createDataFrame(rules, "tokens array<string>, confidence double")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
