@@ -124,16 +124,16 @@ class TextIndex:
 
     def _write(self, version: int, m: dict, changed: DataFrame, removed: DataFrame) -> dict:
         """A segment for changed (id, text, hash and len: that of the document it replaces, or null) and removed (id, len)."""
-        rows = stored(changed.select("id", "hash", F.col("len").alias("_old"), self.split("text").alias("_t")))
+        rows = stored(changed.select("id", "hash", F.col("len").alias("_old"), F.size(self.split("text")).alias("len")))  # texts are not stored
         lost = stored(removed)
-        t = rows.agg(F.count("*"), F.sum(F.size("_t")), F.count("_old"), F.sum("_old")).first()
+        t = rows.agg(F.count("*"), F.sum("len"), F.count("_old"), F.sum("_old")).first()
         g = lost.agg(F.count("*"), F.sum("len")).first()
         if not t[0] and not g[0]:
             discard(rows, lost)
             return m
         hi = 1 + max((s["hi"] for s in m["segments"]), default=0)
-        post = rows.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-        segment = self._segment(f"{version + 1}-{hi}", hi, post, rows.select("id", F.size("_t").alias("len"), "hash"), rows.where("_old is not null").select("id").unionByName(lost.select("id")))
+        post = changed.select("id", self.split("text").alias("_t")).select("id", F.size("_t").alias("len"), F.explode("_t").alias("term"), F.lit(1).alias("tf"))
+        segment = self._segment(f"{version + 1}-{hi}", hi, post, rows.select("id", "len", "hash"), rows.where("_old is not null").select("id").unionByName(lost.select("id")))
         discard(rows, lost)
         now = {"segments": [*m["segments"], segment], "n": m["n"] + t[0] - t[2] - g[0], "total": m["total"] + (t[1] or 0) - (t[3] or 0) - (g[1] or 0)}
         now = self._merged(version, now)
@@ -141,9 +141,11 @@ class TextIndex:
         return now
 
     def _segment(self, name: str, hi: int, post: DataFrame, docs: DataFrame, gone: DataFrame) -> dict:
-        """Terms in order within a bucket's files; ranges cut large buckets into several tasks."""
+        """Terms in order within a bucket's files; ranges cut large buckets into several tasks. Occurrences are dealt to
+        ranges once and counted there."""
         at = f"{self.folder}/segments/{name}"
-        ordered = post.select("term", "id", F.col("tf").cast("long").alias("tf"), "len", self.bucket(F.col("term")).alias("bucket")).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        dealt = post.select("term", "id", "len", "tf").repartitionByRange(self.bucket(F.col("term")), "term", "id").withColumn("bucket", self.bucket(F.col("term")))
+        ordered = dealt.groupBy("bucket", "term", "id", "len").agg(F.sum("tf").cast("long").alias("tf")).sortWithinPartitions("bucket", "term", "id")
         ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
         docs.select("id", "len", "hash", self._part()).write.mode("overwrite").partitionBy("part").parquet(f"{at}/docs")
         gone.select("id").distinct().write.mode("overwrite").parquet(f"{at}/gone")
