@@ -92,7 +92,7 @@ def fts(docs: DataFrame, query: str, k: int, text: str = "text", key: str = "id"
     empty = docs.sparkSession.createDataFrame([], "id long, score double")
     if not words:
         return empty
-    hits = score(docs, words, text, key)
+    hits = stored(score(docs, words, text, key)) if porter else score(docs, words, text, key)  # looked at twice
     short = truncations(words)
     if hits.isEmpty():
         if not short:
