@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, temporal
+from ..scratch import stored
 from .graph_queries import query
 from .views import DEP, LIFE, REF, SNAP, dep_edges, life, reachable, snapshots, table
 
@@ -83,12 +84,12 @@ def tree_diff(spark, sf):
 def as_of_blast(spark, sf):
     """Impact on the graph of a past commit: files first ordered by the median day; only the origin's part is walked."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part"))
-    born = rows.join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").groupBy("part").agg(F.min(F.to_date("o_orderdate")).alias("born"))
+    born = stored(rows.join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").groupBy("part").agg(F.min(F.to_date("o_orderdate")).alias("born")))
     ref = born.agg(F.expr("percentile_disc(0.5) within group (order by unix_date(born))").cast("int").alias("_ref"))
     alive = born.crossJoin(F.broadcast(ref)).where(F.expr("unix_date(born) <= _ref")).select(F.col("part").alias("id"))  # one row
-    edges = graph.valid_edges(dep_edges(spark, sf), alive)
+    edges = stored(graph.valid_edges(dep_edges(spark, sf).select("src", "dst"), stored(alive)))
     start = edges.groupBy(F.col("dst").alias("origin")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "origin").limit(1).select("origin")
-    return graph.reach(edges, start, None, "dependents").select("node", "hop")
+    return graph.reach(edges, stored(start), None, "dependents").select("node", "hop")
 
 
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM s) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 1 HOUR) AS fires, count(*) AS events FROM g GROUP BY user_id, sid")

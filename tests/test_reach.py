@@ -100,3 +100,33 @@ def test_numbers(spark):
     rows = spark.createDataFrame([(x,) for x in ["c", None, "a", "b"]], "v string")
     got = {r["v"]: r["n"] for r in numbered(rows, [F.col("v").asc_nulls_last()], "n").collect()}
     assert got == {"a": 0, "b": 1, "c": 2, None: 3}
+
+
+def test_edges_are_worked_out_once(spark):
+    """A search without a depth read its edges' sources anew in each round."""
+    reads = spark.sparkContext.accumulator(0)
+    pairs = [(i + 1, i) for i in range(8)]
+
+    def counted(p):
+        reads.add(1)
+        return p
+
+    lazy = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(counted), "src long, dst long")
+    start = spark.createDataFrame([(0,)], "origin long")
+    assert {r["node"]: r["hop"] for r in graph.reach(lazy, start, None).collect()} == {i: i for i in range(9)}
+    assert reads.value == len(pairs)
+
+
+def test_consecutive_lines(spark, tmp_path):
+    """Parts on consecutive lines: over the ends of runs of line numbers, repeated lines, gaps and nulls."""
+    from graphloom.plans.views import RUN, dep_edges
+
+    rnd = random.Random(14)
+    rows = [(o, n, rnd.choice([1, 2, 3, 4, None])) for o in range(3) for n in [0, 1, 1, 3, RUN - 1, RUN, RUN, RUN + 1, 2 * RUN - 1, 2 * RUN, -1, -RUN, None]]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want: dict = {}
+    for o, n, a in rows:
+        for o2, n2, b in rows:
+            if o == o2 and None not in (n, n2, a, b) and n2 == n + 1 and a != b:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["src"], r["dst"]): r["weight"] for r in dep_edges(spark, str(tmp_path)).collect()} == want
