@@ -130,3 +130,28 @@ def test_consecutive_lines(spark, tmp_path):
             if o == o2 and None not in (n, n2, a, b) and n2 == n + 1 and a != b:
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r["src"], r["dst"]): r["weight"] for r in dep_edges(spark, str(tmp_path)).collect()} == want
+
+
+def test_searches_keep_new_bits_only(spark, monkeypatch):
+    """All rounds' tables, with the bits had so far, stayed on disk; now each round's new bits do."""
+    import os
+
+    kept, store = [], reach.stored
+
+    def noted(df):
+        kept.append(store(df))
+        return kept[-1]
+
+    monkeypatch.setattr(reach, "stored", noted)
+    pairs = [(i + 1, i) for i in range(6)]
+    found = reach.reach_many(edges(spark, pairs, "long"), spark.createDataFrame([(0,), (3,)], "origin long"))
+    assert {(r["origin"], r["node"]): r["hop"] for r in found.rows().collect()} == {(o, n): n - o for o in (0, 3) for n in range(o + 1, 7)}
+    left = [k for k in kept if os.path.isdir(k.scratch_path.removeprefix("file:"))]
+    assert len(left) == 1 + len(found.levels) == 7 and all("seen" not in k.columns for k in left)
+
+
+def test_bits_are_expanded_by_many_tasks(spark):
+    """A few bytes of bitmaps, which one task took, hold many rows."""
+    pairs = [(a, b) for a in range(40) for b in range(40) if a != b]
+    rows = graph.closure(edges(spark, pairs, "long"))
+    assert rows.count() == 40 * 39 and rows.select(F.spark_partition_id()).distinct().count() > 1
