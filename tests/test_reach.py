@@ -155,3 +155,16 @@ def test_bits_are_expanded_by_many_tasks(spark):
     pairs = [(a, b) for a in range(40) for b in range(40) if a != b]
     rows = graph.closure(edges(spark, pairs, "long"))
     assert rows.count() == 40 * 39 and rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_blast_counts_work_edges_out_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    pairs = [(1, 0), (2, 1), (0, 2), (3, 0)]
+
+    def counted(p):
+        reads.add(1)
+        return p
+
+    lazy = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(counted), "src long, dst long")
+    assert {r["origin"]: (r["direct"], r["transitive"]) for r in reach.blast_counts(lazy).collect()} == counts(pairs)
+    assert reads.value == len(pairs)
