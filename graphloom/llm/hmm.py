@@ -9,9 +9,9 @@ by word. Symbols are stored once, two bytes a token. States start from what stan
 neighbours within NEAR are counted over all tokens, symbols with like neighbours are gathered by k-means in the leading
 directions of these counts, and each gathering starts a state, with moves as counted between gatherings. Then come Baum-Welch passes: partitions add up expected counts of
 whole sequences, their sums meet in pieces on the executors, and the model is re-estimated, until the log-likelihood per
-token improves by less than CONVERGED of itself. Sequences longer than SEGMENT run as segments side by side: products of a
-segment's transition matrices carry the forward and backward messages across its ends, so the counts are those of the
-whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood. Nothing depends on
+token improves by less than CONVERGED of itself. Sequences longer than SEGMENT run as segments side by side: messages across
+their ends come forward through the first and backward through the last, and by products of transition matrices through
+those between, so the counts are those of the whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood. Nothing depends on
 how documents lie in partitions, but for the order in which floating-point numbers are added.
 
 Counts of all words: head counts are summed with the last Baum-Welch pass. Tail words go, as packed arrays of
@@ -36,8 +36,9 @@ from .ngram_join import by_group
 from .sums import combined, pieces, summed
 
 HEAD, TAIL, STATES = 8192, 16, 8
-SEGMENT, LONG, CONVERGED, SMOOTH = 1024, 2048, 0.002, 0.02
+SEGMENT, LONG, CONVERGED, SMOOTH = 256, 512, 0.002, 0.02  #: LONG is SEGMENT at least
 SLICE, BUCKET_BYTES, HELD_WORDS = 3_000_000, 8_000_000, 250_000
+SCALED = 8  #: steps of a recursion between two scalings: an emission is above 1e-30, so nothing underflows
 NEAR, OWN, GROUPS, SHARE = 4, 48, 64, 0.8  #: a state starts with SHARE of its own symbols; the OWN most frequent words are groups of neighbours of their own, all others share the rest
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
@@ -73,57 +74,86 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move = start.astype(np.float64), move.astype(np.float64)
         self.emit = np.ascontiguousarray(emit.T.astype(np.float64))  # symbol, state
-
-    def matrices(self, flat: np.ndarray, first: np.ndarray, n: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each segment the product over its symbols of move * emission, scaled to sum 1, and the logarithm of the
-        scale. In segments that open a sequence (opens) every row is the forward vector from the start."""
+        self.by_state = np.ascontiguousarray(emit.astype(np.float64))
+
+    def _through(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment (of SEGMENT symbols) the product over its symbols of move * emission, scaled to sum 1, and the
+        logarithm of the scale."""
+        m = len(first)
+        p, logs, back = np.repeat(np.eye(STATES)[:, :, None], m, 2), np.zeros(m), np.ascontiguousarray(self.move.T)  # state after, before, segment
+        for t in range(SEGMENT if m else 0):
+            p = (back @ p.reshape(STATES, -1)).reshape(STATES, STATES, m)
+            p *= self.by_state.take(flat[first + t], 1)[:, None, :]
+            if t % SCALED == SCALED - 1 or t + 1 == SEGMENT:
+                c = p.sum((0, 1))
+                p /= c
+                logs += np.log(c)
+        return p.transpose(2, 1, 0), logs
+
+    def _opened(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forward vectors at the end of segments (of SEGMENT symbols) that open a sequence, and their logarithms."""
+        a, logs, back = None, np.zeros(len(first)), np.ascontiguousarray(self.move.T)
+        for t in range(SEGMENT):
+            a = (np.repeat(self.start[:, None], len(first), 1) if t == 0 else back @ a) * self.by_state.take(flat[first + t], 1)
+            if t % SCALED == SCALED - 1 or t + 1 == SEGMENT:
+                c = a.sum(0)
+                a /= c
+                logs += np.log(c)
+        return a.T, logs
+
+    def _closed(self, flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The backward vectors before segments that close a sequence, and their logarithms."""
         order = np.argsort(-n, kind="stable")
-        first, n, opens = first[order], n[order], opens[order]
-        live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
-        p = np.broadcast_to(np.eye(STATES), (len(n), STATES, STATES)).copy()
-        logs = np.zeros(len(n))
-        for t, m in enumerate(live.tolist()):
-            own = (p[:m].reshape(-1, STATES) @ self.move).reshape(m, STATES, STATES)
-            if t == 0:
-                own[opens[:m]] = self.start
-            own *= self.emit[flat[first[:m] + t]][:, None, :]
-            if t % 8 == 7 or t + 1 == len(live) or live[t + 1] < m:
-                c = own.sum((1, 2))
-                own /= c[:, None, None]
+        last, n = (first + n - 1)[order], n[order]
+        b, logs = np.ones((STATES, len(n))), np.zeros(len(n))
+        for t, m in enumerate(np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()):
+            b[:, :m] = self.move @ (b[:, :m] * self.by_state.take(flat[last[:m] - t], 1))
+            if t % SCALED == SCALED - 1:
+                c = b[:, :m].sum(0)
+                b[:, :m] /= c
                 logs[:m] += np.log(c)
-            p[:m] = own
-        back, out = np.empty_like(p), np.empty_like(logs)
-        back[order], out[order] = p, logs
+        c = b.sum(0)
+        back, out = np.empty((len(n), STATES)), np.empty(len(n))
+        back[order], out[order] = (b / c).T, logs + np.log(c)
         return back, out
 
     def forward(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural-log likelihood of every sequence: the scaled forward recursion, all sequences in lockstep; those of
-        more than LONG symbols as products of segments."""
+        more than LONG symbols segment by segment: forward through the first, backward through the last, products of
+        those between."""
         out = np.zeros(len(sizes))
         long = np.flatnonzero(sizes > LONG)
         if len(long):
             first, n, rank, base = segments(starts[long], sizes[long])
-            p, logs = self.matrices(flat, first, n, rank == 0)
-            a, last = p[base, 0], np.diff(np.append(base, len(n)))
-            scale = a.sum(1)
-            out[long] = np.add.reduceat(logs, base) + np.log(scale)
-            a = a / scale[:, None]
-            for r in range(1, int(last.max())):
-                own = np.flatnonzero(last > r)
-                a[own] = np.einsum("ds,dst->dt", a[own], p[base[own] + r])
-                c = a[own].sum(1)
-                a[own] /= c[:, None]
-                out[long[own]] += np.log(c)
+            count = np.diff(np.append(base, len(n)))
+            inner = np.flatnonzero((rank > 0) & (rank < np.repeat(count, count) - 1))
+            place = np.zeros(len(n), np.int64)
+            place[inner] = np.arange(len(inner))
+            p, between = self._through(flat, first[inner])
+            a, total = self._opened(flat, first[base])
+            b, end = self._closed(flat, first[base + count - 1], n[base + count - 1])
+            total += end + np.bincount(np.repeat(np.arange(len(long)), count)[inner], between, len(long))
+            for r in range(1, int(count.max()) - 1):
+                own = np.flatnonzero(count > r + 1)
+                v = np.einsum("ds,dst->dt", a[own], p[place[base[own] + r]])
+                c = v.sum(1)
+                a[own] = v / c[:, None]
+                total[own] += np.log(c)
+            out[long] = total + np.log((a * b).sum(1))
         short = np.flatnonzero(sizes <= LONG)
         order = short[np.argsort(-sizes[short], kind="stable")]
-        at, left = starts[order], sizes[order]
-        live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
+        x, live, lo = timed(flat, starts[order], sizes[order])
+        e, back = self.by_state.take(x, 1), np.ascontiguousarray(self.move.T)
         a, total = None, np.zeros(len(order))
-        for t, m in enumerate(live.tolist()):
-            a = (self.start if t == 0 else a[:m] @ self.move) * self.emit[flat[at[:m] + t]]
-            c = a.sum(1)
-            a /= c[:, None]
-            total[:m] += np.log(c)
+        for t, m in enumerate(live):
+            a = (np.repeat(self.start[:, None], m, 1) if t == 0 else back @ a[:, :m]) * e[:, lo[t] : lo[t] + m]
+            stop = live[t + 1] if t + 1 < len(live) else 0
+            if stop < m:
+                total[stop:m] += np.log(a[:, stop:m].sum(0))
+            if t % SCALED == SCALED - 1 and stop:
+                c = a[:, :stop].sum(0)
+                a = a[:, :stop] / c
+                total[:stop] += np.log(c)
         out[order] = total
         return out
 
@@ -131,20 +161,22 @@ class Model:
         """State distribution before each segment (of the ranks above 0) and backward vector after it."""
         before, after = np.zeros((len(n), STATES)), np.ones((len(n), STATES))
         count = np.diff(np.append(base, len(n)))
-        many = np.repeat(count > 1, count)
-        if not many.any():
+        opens, closes = base[count > 1], (base + count - 1)[count > 1]
+        if not len(opens):
             return before, after
-        own = np.flatnonzero(many)
-        place = np.full(len(n), -1)
-        place[own] = np.arange(len(own))
-        p, _ = self.matrices(flat, first[own], n[own], rank[own] == 0)
+        inner = np.flatnonzero((rank > 0) & (rank < np.repeat(count, count) - 1))
+        place = np.zeros(len(n), np.int64)
+        place[inner] = np.arange(len(inner))
+        p, _ = self._through(flat, first[inner])
+        before[opens + 1], _ = self._opened(flat, first[opens])
+        after[closes - 1], _ = self._closed(flat, first[closes], n[closes])
         most = int(count.max())
-        for r in range(1, most):
+        for r in range(2, most):
             k = base[count > r] + r
-            a = p[place[k - 1], 0] if r == 1 else np.einsum("ds,dst->dt", before[k - 1], p[place[k - 1]])
+            a = np.einsum("ds,dst->dt", before[k - 1], p[place[k - 1]])
             before[k] = a / a.sum(1, keepdims=True)
-        for r in range(most - 2, -1, -1):
-            k = base[count > r + 1] + r
+        for r in range(most - 3, -1, -1):
+            k = base[count > r + 2] + r
             b = np.einsum("dst,dt->ds", p[place[k + 1]], after[k + 1])
             after[k] = b / b.sum(1, keepdims=True)
         return before, after
@@ -157,45 +189,56 @@ class Model:
         before, after = self._messages(flat, first, n, rank, base)
         order = np.argsort(-n, kind="stable")
         first, n, inner = first[order], n[order], rank[order] > 0
-        before, beta = before[order], after[order]
-        live = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()
-        symbols, alpha, inverse, like = [], [], [], 0.0
-        a = np.where(inner[:, None], before @ self.move, self.start)
-        for t, m in enumerate(live):
-            x = flat.take(first[:m] + t)
-            a = (a if t == 0 else a[:m] @ self.move) * self.emit.take(x, 0)
-            c = 1 / a.sum(1)
-            a *= c[:, None]
-            like -= np.log(c).sum()
-            symbols.append(x)
-            alpha.append(a)
-            inverse.append(c)
-        into["like"] += like
-        ends = np.empty_like(beta)
+        before, beta = np.ascontiguousarray(before[order].T), np.ascontiguousarray(after[order].T)
+        x, live, lo = timed(flat, first, n)
+        e, back, inverse, like = self.by_state.take(x, 1), np.ascontiguousarray(self.move.T), {}, 0.0
+        alpha, ends = np.empty_like(e), np.empty_like(beta)
         for t, m in enumerate(live):
+            a = alpha[:, lo[t] : lo[t] + m]
+            if t == 0:
+                a[:] = np.where(inner, back @ before, self.start[:, None])
+            else:
+                np.matmul(back, alpha[:, lo[t - 1] : lo[t - 1] + m], out=a)
+            a *= e[:, lo[t] : lo[t] + m]
+            if t % SCALED == SCALED - 1:
+                c = a.sum(0)
+                like += np.log(c).sum()
+                inverse[t] = 1 / c
+                a *= inverse[t]
             stop = live[t + 1] if t + 1 < len(live) else 0
-            ends[stop:m] = alpha[t][stop:m]
-        beta /= (ends * beta).sum(1, keepdims=True)
+            ends[:, stop:m] = a[:, stop:]
+        into["like"] += like + np.log(ends.sum(0)).sum()
+        beta /= (ends * beta).sum(0)
         moves = np.zeros((STATES, STATES))
         for t in range(len(live) - 1, -1, -1):
             m = live[t]
-            b = beta[:m]
-            g = self.emit.take(symbols[t], 0) * b
-            g *= inverse[t][:, None]
-            alpha[t] *= b
+            b, g = beta[:, :m], e[:, lo[t] : lo[t] + m]
+            g *= b
+            if t in inverse:
+                g *= inverse[t]
+            alpha[:, lo[t] : lo[t] + m] *= b
             if t:
-                moves += alpha[t - 1][:m].T @ g
-                np.matmul(g, self.move.T, out=b)
+                moves += alpha[:, lo[t - 1] : lo[t - 1] + m] @ g.T
+                np.matmul(self.move, g, out=b)
             else:
-                moves += before[inner].T @ g[inner]
+                moves += before[:, inner] @ g[:, inner].T
         into["move"] += self.move * moves
-        into["start"] += alpha[0][~inner].sum(0)
-        x, gamma = np.concatenate(symbols), np.concatenate(alpha)
+        into["start"] += alpha[:, : live[0]][:, ~inner].sum(1)
         for s in range(STATES):
-            into["emit"][s] += np.bincount(x, weights=gamma[:, s], minlength=ALL)
+            into["emit"][s] += np.bincount(x, weights=alpha[s], minlength=ALL)
         into["seen"] += np.bincount(x, minlength=ALL)
 
 
+def timed(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """Symbols of runs, longest first, in order of their steps; how many runs a step has, and where its symbols begin."""
+    live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    lo = np.cumsum(live) - live
+    x = np.empty(int(live.sum()), np.int64)
+    for t, (m, at) in enumerate(zip(live.tolist(), lo.tolist(), strict=True)):
+        x[at : at + m] = flat[first[:m] + t]
+    return x, live.tolist(), lo.tolist()
+
+
 def segments(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First symbol, length and rank in its sequence of every segment; first segment of every sequence."""
     per = -(-sizes // SEGMENT)
