@@ -93,8 +93,9 @@ def accents() -> tuple[str, str]:
 
 
 def folded(text) -> Column:
-    """Lower case without accents."""
-    return F.regexp_replace(F.translate(F.lower(col(text)), *accents()), r"\p{Mn}+", "")
+    """Lower case without accents; a text of one-byte characters has none."""
+    x = col(text)
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.regexp_replace(F.translate(F.lower(x), *accents()), r"\p{Mn}+", ""))
 
 
 def folded_tokens(text) -> Column:
