@@ -5,7 +5,8 @@ two bytes) and one end symbol. Emission of a word of class g in state s is b_s(g
 training count c, so probabilities of texts are proper over an open vocabulary.
 
 Training, on all training documents throughout: words are counted exactly, and the head is taken from the counts, ties
-by word. Symbols are stored once, two bytes a token. States start from what stands near a symbol: the groups of its
+by word. Then all texts are read once more, and their symbols are stored, two bytes a token; passes and scoring read these.
+Of each slice of texts only the distinct words are looked up and hashed. States start from what stands near a symbol: the groups of its
 neighbours within NEAR are counted over all tokens, symbols with like neighbours are gathered by k-means in the leading
 directions of these counts, and each gathering starts a state, with moves as counted between gatherings. Then come Baum-Welch passes: partitions add up expected counts of
 whole sequences, their sums meet in pieces on the executors, and the model is re-estimated, until the log-likelihood per
@@ -14,24 +15,24 @@ their ends come forward through the first and backward through the last, and by
 those between, so the counts are those of the whole sequence. Scoring: the scaled forward recursion over each whole text gives its exact likelihood. Nothing depends on
 how documents lie in partitions, but for the order in which floating-point numbers are added.
 
-Counts of all words: head counts are summed with the last Baum-Welch pass. Tail words go, as packed arrays of
-(hash, document, times), to hash buckets of about BUCKET_BYTES; a bucket holds all occurrences of its words, so it counts
+Counts of all words: head counts are summed with the last Baum-Welch pass. Tail words are stored with the symbols and go,
+as packed arrays of (hash, document, times), to hash buckets of about BUCKET_BYTES; a bucket holds all occurrences of its words, so it counts
 them and sends each batch of documents its sum of log10(c + 0.1). Frequent words never travel, so no bucket is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, claim, dropped, hash_words, ship, stored, written
+from .common import batch_words, claim, dropped, ship, stored, written
 from .ngram_join import by_group
 from .sums import combined, pieces, summed
 
@@ -42,30 +43,10 @@ SCALED = 8  #: steps of a recursion between two scalings: an emission is above 1
 NEAR, OWN, GROUPS, SHARE = 4, 48, 64, 0.8  #: a state starts with SHARE of its own symbols; the OWN most frequent words are groups of neighbours of their own, all others share the rest
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
+CODED = "batch long, bucket int, ids array<long>, taught int, sizes binary, flat binary, blob binary"
 META = np.dtype([("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("logs", "<f8"), ("forward", "<f8"), ("tail", "<i4", (TAIL,))])
 
 
-def tail_class(word: bytes) -> int:
-    return (word[-1] * 7 + (word[-2] if len(word) > 1 else 0)) % TAIL
-
-
-class Symbols(dict):
-    """word -> symbol; words outside the head get HEAD + their tail class. At most `limit` words are kept."""
-
-    def __init__(self, head: list[bytes], limit: int = 150_000):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.limit = limit + len(head)
-
-    def __missing__(self, word: bytes) -> int:
-        s = HEAD + tail_class(word)
-        if len(self) < self.limit:
-            self[word] = s
-        return s
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
 END = HEAD + TAIL
 ALL = END + 1
 
@@ -259,19 +240,25 @@ def estimate(x: dict) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def _sequences(texts: list[bytes], symbols: Symbols, words: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts, end symbol included, laid end to end; one text's words are held at a time, or all are added to
-    words, with an empty one for each end."""
-    stop, parts, sizes = np.array([END], np.int32), [], []
-    for t in texts:
-        own = t.lower().split()
-        x = symbols.of(own)
-        parts += [x, stop]
-        sizes.append(len(x) + 1)
-        if words is not None:
-            words += own
-            words.append(b"")
-    return np.concatenate(parts) if parts else np.empty(0, np.int32), np.asarray(sizes, np.int64)
+def _words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words of texts, laid end to end, and how many each text has."""
+    raw = pa.array(texts, pa.binary())
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pa.StringArray.from_buffers(len(raw), *raw.buffers()[1:]))))
+    words, sizes = lists.values.view(pa.binary()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full).as_py():  # a text without words gives one empty word
+        sizes[sizes == 1] = full.to_numpy(zero_copy_only=False)[lists.offsets.to_numpy()[:-1][sizes == 1]]
+        words = words.filter(full)
+    return words.dictionary_encode(), sizes
+
+
+def _symbols(words: pa.Array, head: pa.Array) -> np.ndarray:
+    """Symbols of distinct words: words outside the head get HEAD + their tail class, by their last two bytes."""
+    found = pc.index_in(words, value_set=head).fill_null(-1).to_numpy()
+    ends, text = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = ends[1:] - 1
+    before = np.where(np.diff(ends) > 1, text[last - 1], 0).astype(np.int64)
+    return np.where(found < 0, HEAD + (text[last] * 7 + before) % TAIL, found).astype(np.int32)
 
 
 def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
@@ -289,29 +276,55 @@ def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, c): every word of the partition, as often as HELD_WORDS distinct ones have come together."""
     claim("none")
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-
+    seen: pa.Table | None = None
     for b in batches:
-        for part in _slices(batch_words(b.column("text")), 1_000_000):
-            for t in part:
-                seen.update(t.lower().split())
+        for part in _slices(batch_words(b.column("text")), SLICE):
+            words, _ = _words(part)
+            c = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            own = pa.table([words.dictionary, pa.array(c, pa.int64())], ["word", "c"])
+            seen = own if seen is None else pa.concat_tables([seen, own]).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
             if len(seen) > HELD_WORDS:
-                yield out()
-                seen.clear()
-    yield out()
+                yield from seen.to_batches()
+                seen = None
+    if seen is not None:
+        yield from seen.to_batches()
 
 
-def _coded(head: list[bytes]):
+def _coded(head: list[bytes], buckets: int):
+    """Each slice of documents, those that teach first, as their symbols (end symbols included) laid end to end; and its
+    tail words, packed for each bucket."""
+    names = ["batch", "bucket", "ids", "taught", "sizes", "flat", "blob"]
+    types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("none")
-        symbols = Symbols(head)
-        for b in batches:
-            for part in _slices(batch_words(b.column("text")), SLICE):
-                flat, sizes = _sequences(part, symbols)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (flat.astype("<u2").tobytes(), sizes.astype("<i8").tobytes())], ["flat", "sizes"])
+        top, number = pa.array(head, pa.binary()), TaskContext.get().partitionId() << 32
+        for texts, held, ids in (x for b in batches for x in _sliced(b)):
+            taught = int((held == 0).sum())
+            words, sizes = _words(texts)
+            doc, index = np.repeat(np.arange(len(texts)), sizes), words.indices.to_numpy().astype(np.int64)
+            symbol = _symbols(words.dictionary, top)
+            flat = np.full(len(doc) + len(texts), END, "<u2")
+            flat[np.arange(len(doc)) + doc] = symbol[index]
+            out = [(number, -1, ids, taught, (sizes + 1).astype("<i8").tobytes(), flat.tobytes(), None)]
+            rare = np.flatnonzero(symbol >= HEAD)
+            if len(rare):
+                h = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.take(pa.array(rare)).to_pylist()), np.uint64, len(rare))
+                to = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                rare, h, to = rare[order], h[order], to[order]
+                place = np.full(len(symbol), -1)
+                place[rare] = np.arange(len(rare))  # words of a bucket are neighbours, so their entries are too
+                own = place[index]
+                tail = own >= 0
+                key, times = np.unique(own[tail] * len(texts) + doc[tail], return_counts=True)
+                own, doc = np.divmod(key, len(texts))
+                e, to = np.zeros(len(key), ENTRY), to[own]
+                e["hash"], e["doc"], e["times"], e["tail"], e["train"] = h[own], doc, times, (symbol[rare] - HEAD)[own], doc < taught
+                edge = np.flatnonzero(np.diff(to)) + 1
+                out += [(number, int(to[lo]), None, None, None, None, e[lo:hi].tobytes()) for lo, hi in zip([0, *edge], [*edge, len(e)], strict=True)]
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
@@ -324,11 +337,17 @@ def _groups() -> np.ndarray:
     return g
 
 
+def _taught(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols of the texts of each slice that teach, laid end to end, and their numbers of symbols."""
+    for flat, sizes, taught in zip(b.column("flat"), b.column("sizes"), b.column("taught").to_pylist(), strict=True):
+        n = np.frombuffer(sizes.as_buffer(), "<i8")[:taught]
+        yield np.frombuffer(flat.as_buffer(), "<u2")[: n.sum()].astype(np.int32), n
+
+
 def _laid(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Symbols of texts laid end to end, and which text each belongs to."""
-    for flat, sizes in zip(b.column("flat"), b.column("sizes"), strict=True):
-        n = np.frombuffer(sizes.as_buffer(), "<i8")
-        yield np.frombuffer(flat.as_buffer(), "<u2").astype(np.int64), np.repeat(np.arange(len(n)), n)
+    for flat, n in _taught(b):
+        yield flat.astype(np.int64), np.repeat(np.arange(len(n)), n)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +362,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = doc[:-o] == doc[o:]
                 for one, other in ((x[:-o], g[o:]), (x[o:], g[:-o])):
                     total += np.bincount((one * GROUPS + other)[same], minlength=ALL * GROUPS)
-    yield pieces(np.concatenate([seen, total]))
+    if seen.any():
+        yield pieces(np.concatenate([seen, total]))
 
 
 def _label_moves(label: np.ndarray):
@@ -357,7 +377,8 @@ def _label_moves(label: np.ndarray):
                 s, first = label[x], np.diff(doc, prepend=-1) != 0
                 moves += np.bincount((s[:-1] * STATES + s[1:])[~first[1:]], minlength=STATES * STATES)
                 starts += np.bincount(s[first], minlength=STATES)
-        yield pieces(np.concatenate([moves, starts]))
+        if starts.any():
+            yield pieces(np.concatenate([moves, starts]))
 
     return run
 
@@ -403,9 +424,10 @@ def _expected(model: Model):
         claim("none")
         into = blank()
         for b in batches:
-            for flat, sizes in zip(b.column("flat"), b.column("sizes"), strict=True):
-                model.expect(np.frombuffer(flat.as_buffer(), "<u2").astype(np.int32), np.frombuffer(sizes.as_buffer(), "<i8"), into)
-        yield pieces(np.concatenate([into[k].ravel() for k in into]))
+            for flat, sizes in _taught(b):
+                model.expect(flat, sizes, into)
+        if into["seen"].any():  # a split of a file may hold no row
+            yield pieces(np.concatenate([into[k].ravel() for k in into]))
 
     return run
 
@@ -419,53 +441,37 @@ def _split(flat: np.ndarray) -> dict:
 
 
 def _sliced(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
-    """Rows of a batch in slices of about SLICE bytes of text: what a worker holds at a time."""
+    """Rows of a batch in slices of about SLICE bytes of text, what a worker holds at a time; those that teach come first."""
     texts, held, ids = batch_words(b.column("text")), np.asarray(b.column("held").to_pylist(), np.uint8), b.column("doc_id").to_pylist()
     lo = size = 0
     for i, t in enumerate(texts, 1):
         size += len(t)
         if size >= SLICE or i == len(texts):
-            yield texts[lo:i], held[lo:i], ids[lo:i]
+            order = lo + np.argsort(held[lo:i], kind="stable")
+            yield [texts[j] for j in order], held[order], [ids[j] for j in order]
             lo, size = i, 0
 
 
-def _scored(head: list[bytes], model: Model, seen: np.ndarray, buckets: int):
-    logs = np.log10(seen + 0.1)
-    known = (seen > 0).astype(np.int64)
-    names = ["batch", "bucket", "ids", "blob"]
+def _scored(model: Model, seen: np.ndarray):
+    logs, known = np.log10(seen + 0.1), (seen > 0).astype(np.int64)
+    tail = np.arange(HEAD, END)
+    logs[tail], known[tail] = 0.0, 0  # the buckets count these
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("words")
-        symbols, number = Symbols(head), TaskContext.get().partitionId() << 32
-        for texts, held, ids in (x for b in batches for x in _sliced(b)):
-            words: list[bytes] = []
-            flat, sizes = _sequences(texts, symbols, words)
-            starts = np.cumsum(sizes) - sizes
-            meta = np.zeros(len(texts), META)
-            meta["held"], meta["tokens"] = held, sizes
-            meta["forward"] = model.forward(flat, starts, sizes)
-            is_tail = (flat >= HEAD) & (flat < END)
-            value, sure = np.where(is_tail, 0.0, logs[flat]), np.where(is_tail, 0, known[flat])
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            meta["logs"], meta["known"] = np.bincount(doc, value, len(texts)), np.bincount(doc, sure, len(texts))
-            doc, tail = doc[is_tail], flat[is_tail] - HEAD
-            meta["tail"] = np.bincount(doc * TAIL + tail, minlength=len(texts) * TAIL).reshape(-1, TAIL)
-            out = [(number, -1, ids, meta.tobytes())]
-            if len(doc):
-                h = hash_words(list(compress(words, is_tail.tolist())))
-                order = np.lexsort((h, doc))
-                h, doc, tail = h[order], doc[order], tail[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-                e = np.zeros(len(first), ENTRY)
-                e["hash"], e["doc"], e["times"], e["tail"] = h[first], doc[first], np.diff(np.append(first, len(h))), tail[first]
-                e["train"] = 1 - held[e["doc"]]
-                to = (e["hash"] >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                e, to = e[order], to[order]
-                edge = np.flatnonzero(np.diff(to)) + 1
-                out += [(number, int(to[lo]), None, e[lo:hi].tobytes()) for lo, hi in zip([0, *edge], [*edge, len(e)], strict=True)]
-            number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], names)
+        claim("none")
+        for b in batches:
+            blobs = []
+            for flat, sizes, taught in zip(b.column("flat"), b.column("sizes"), b.column("taught").to_pylist(), strict=True):
+                flat, sizes = np.frombuffer(flat.as_buffer(), "<u2").astype(np.int32), np.frombuffer(sizes.as_buffer(), "<i8")
+                n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                meta = np.zeros(n, META)
+                meta["held"], meta["tokens"] = np.arange(n) >= taught, sizes
+                meta["forward"] = model.forward(flat, np.cumsum(sizes) - sizes, sizes)
+                meta["logs"], meta["known"] = np.bincount(doc, logs[flat], n), np.bincount(doc, known[flat], n)
+                rare = (flat >= HEAD) & (flat < END)
+                meta["tail"] = np.bincount(doc[rare] * TAIL + flat[rare] - HEAD, minlength=n * TAIL).reshape(-1, TAIL)
+                blobs.append(meta.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("ids"), pa.array(blobs, pa.binary())], ["batch", "ids", "blob"])
 
     return run
 
@@ -517,36 +523,52 @@ def _finished(total: float, distinct: float, z: np.ndarray):
     return run
 
 
-def most_frequent(learn: DataFrame) -> list[bytes]:
-    """The HEAD most frequent words, ties by word. Counts are exact; a histogram of their logarithms, a few hundred rows,
-    says below which count no word can be among them, so that few others are sorted."""
+def most_frequent(learn: DataFrame) -> tuple[list[bytes], int]:
+    """The HEAD most frequent words, ties by word, and how many tokens are others. Counts are exact; a histogram of their
+    logarithms, a few hundred rows, says below which count no word can be among them, so that few others are sorted."""
     words = stored(learn.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     level = F.floor(F.log2("c") * 8).cast("int").alias("level")
+    levels = words.groupBy(level).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()
     need, least = HEAD, 0
-    for r in words.groupBy(level).count().orderBy(F.desc("level")).collect():
-        need, least = need - r["count"], r["level"]
+    for r in levels:
+        need, least = need - r["n"], r["level"]
         if need <= 0:
             break
-    rows = words.where(level >= least).orderBy(F.desc("c"), "word").limit(HEAD)
-    return [bytes(r["word"]) for r in rows.collect()]
+    rows = words.where(level >= least).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    return [bytes(r["word"]) for r in rows], sum(r["c"] for r in levels) - sum(r["c"] for r in rows)
 
 
-def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
-    """Head words, model and exact symbol counts of the training documents (a text column)."""
+def coded(docs: DataFrame) -> tuple[list[bytes], DataFrame, int]:
+    """Head words of the documents that teach (doc_id, text, held); the table of all documents' symbols and tail words;
+    its number of buckets. Texts are read twice, to count words and to write this table."""
     begun = written()
-    head = most_frequent(learn)
-    coded = stored(learn.mapInArrow(_coded(head), "flat binary, sizes binary"))
-    model = first_model(coded)
+    head, tails = most_frequent(docs.where("not held").select("text"))
+    dropped(docs.sparkSession, begun, written())
+    buckets = max(16, int(tails * 10 / 9 * ENTRY.itemsize) // BUCKET_BYTES)  # held-out documents' tail words included
+    return head, stored(docs.mapInArrow(_coded(head, buckets), CODED)), buckets
+
+
+def fitted(rows: DataFrame) -> tuple[Model, np.ndarray]:
+    """Model and exact symbol counts of the documents that teach among coded ones."""
+    rows = rows.where("bucket < 0").select("taught", "sizes", "flat")
+    model = first_model(rows)
     last, size = None, sum(v.size for v in blank().values())
     while True:
-        sums = _split(combined(summed(coded.mapInArrow(_expected(model), "part int, v binary")), size))
+        sums = _split(combined(summed(rows.mapInArrow(_expected(model), "part int, v binary")), size))
         model = estimate(sums)
         like = float(sums["like"][0]) / max(1.0, float(sums["seen"].sum()))
         if last is not None and not like - last > CONVERGED * abs(last):
-            break
+            return model, sums["seen"]
         last = like
+
+
+def train(learn: DataFrame) -> tuple[list[bytes], Model, np.ndarray]:
+    """Head words, model and exact symbol counts of the training documents (a text column)."""
+    begun = written()
+    head, rows, _ = coded(learn.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held")))
+    model, seen = fitted(rows)
     dropped(learn.sparkSession, begun, written())
-    return head, model, sums["seen"]
+    return head, model, seen
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -558,17 +580,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
-    head, model, seen = train(docs.where("not held").select("text"))
-    tails = float(seen[HEAD:END].sum()) * 10 / 9  # tokens outside the head, those held out included
-    buckets = max(16, int(tails * ENTRY.itemsize) // BUCKET_BYTES)
-    sent = stored(docs.mapInArrow(_scored(head, model, seen, buckets), "batch long, bucket int, ids array<long>, blob binary"))
+    _, sent, buckets = coded(docs)
+    mark = written()
+    model, seen = fitted(sent)
+    symbols = sent.where("bucket < 0").select("batch", "ids", "taught", "sizes", "flat")
+    scored = stored(symbols.mapInArrow(_scored(model, seen), "batch long, ids array<long>, blob binary"))
     entries = sent.where("bucket >= 0").select("bucket", "batch", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = stored(entries.mapInArrow(_counted, "batch long, blob binary"))
+    dropped(docs.sparkSession, mark - 1, mark)
     rows = answers.where("batch < 0").select("blob").collect()  # one short row for each bucket
     t = sum((np.frombuffer(bytes(r["blob"]), "<f8") for r in rows), np.zeros(2 * TAIL))
     own = np.delete(seen, np.arange(HEAD, END))
     total, distinct = own.sum() + t[:TAIL].sum(), (own > 0).sum() + t[TAIL:].sum()
     z = t[:TAIL] + 0.1 * (t[TAIL:] + 1)
-    both = sent.where("bucket < 0").select("batch", "ids", "blob").unionByName(answers.where("batch >= 0").select("batch", F.lit(None).cast("array<long>").alias("ids"), "blob"))
+    both = scored.unionByName(answers.where("batch >= 0").select("batch", F.lit(None).cast("array<long>").alias("ids"), "blob"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(_finished(total, distinct, z), schema)
