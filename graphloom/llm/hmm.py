@@ -40,6 +40,7 @@ HEAD, TAIL, STATES = 8192, 16, 8
 SEGMENT, LONG, CONVERGED, SMOOTH = 256, 512, 0.002, 0.02  #: LONG is SEGMENT at least
 SLICE, BUCKET_BYTES, HELD_WORDS = 3_000_000, 8_000_000, 250_000
 SCALED = 8  #: steps of a recursion between two scalings: an emission is above 1e-30, so nothing underflows
+RUN = 65_536  #: symbols whose neighbours are counted at a time: small arrays are not mapped anew
 NEAR, OWN, GROUPS, SHARE = 4, 48, 64, 0.8  #: a state starts with SHARE of its own symbols; the OWN most frequent words are groups of neighbours of their own, all others share the rest
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("times", "<u4"), ("tail", "u1"), ("train", "u1")])
 SUMS = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
@@ -262,15 +263,14 @@ def _symbols(words: pa.Array, head: pa.Array) -> np.ndarray:
 
 
 def _slices(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    """Texts in slices of most bytes or more; a rest of less goes with the slice before it."""
+    lo = size = 0
+    rest = sum(map(len, texts))
+    for i, t in enumerate(texts, 1):
+        size, rest = size + len(t), rest - len(t)
+        if i == len(texts) or (size >= most and rest >= most):
+            yield texts[lo:i]
+            lo, size = i, 0
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +358,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, doc in _laid(b):
             g = group[x]
             seen += np.bincount(x, minlength=ALL)
-            for o in range(1, NEAR + 1):
-                same = doc[:-o] == doc[o:]
-                for one, other in ((x[:-o], g[o:]), (x[o:], g[:-o])):
-                    total += np.bincount((one * GROUPS + other)[same], minlength=ALL * GROUPS)
+            for lo in range(0, len(x), RUN):
+                for o in range(1, min(NEAR, len(x) - 1 - lo) + 1):
+                    one, other = slice(lo, min(lo + RUN, len(x) - o)), slice(lo + o, min(lo + RUN + o, len(x)))
+                    same = doc[one] == doc[other]
+                    for y, z in ((x[one], g[other]), (x[other], g[one])):
+                        np.add.at(total, (y * GROUPS + z)[same], 1.0)
     if seen.any():
         yield pieces(np.concatenate([seen, total]))
 
@@ -443,13 +445,11 @@ def _split(flat: np.ndarray) -> dict:
 def _sliced(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
     """Rows of a batch in slices of about SLICE bytes of text, what a worker holds at a time; those that teach come first."""
     texts, held, ids = batch_words(b.column("text")), np.asarray(b.column("held").to_pylist(), np.uint8), b.column("doc_id").to_pylist()
-    lo = size = 0
-    for i, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= SLICE or i == len(texts):
-            order = lo + np.argsort(held[lo:i], kind="stable")
-            yield [texts[j] for j in order], held[order], [ids[j] for j in order]
-            lo, size = i, 0
+    lo = 0
+    for part in _slices(texts, SLICE):
+        order = np.argsort(held[lo : lo + len(part)], kind="stable")
+        yield [part[j] for j in order], held[lo + order], [ids[lo + j] for j in order]
+        lo += len(part)
 
 
 def _scored(model: Model, seen: np.ndarray):

@@ -55,3 +55,27 @@ def test_partitions_without_rows_send_no_sums():
     model = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 1 / hmm.STATES), np.full((hmm.STATES, hmm.ALL), 1 / hmm.ALL))
     for run in (hmm._expected(model), hmm._contexts, hmm._label_moves(np.zeros(hmm.ALL, np.int64))):
         assert not list(run(iter([])))
+
+
+def test_small_rests_are_no_slices_of_their_own():
+    texts = [b"x" * n for n in (3, 3, 1, 9, 2, 2)]
+    assert [[len(t) for t in s] for s in hmm._slices(texts, 5)] == [[3, 3], [1, 9, 2, 2]]
+    assert list(hmm._slices([], 5)) == [] and list(hmm._slices([b"", b""], 5)) == [[b"", b""]]
+
+
+def test_neighbours_are_counted_across_runs(monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 9, 30, 4]
+    flat = rng.integers(0, hmm.ALL, sum(sizes))
+    batch = pa.RecordBatch.from_arrays([pa.array([np.asarray(flat, "<u2").tobytes()]), pa.array([np.asarray(sizes, "<i8").tobytes()]), pa.array([4], pa.int32())], ["flat", "sizes", "taught"])
+    group, want, at = hmm._groups(), np.zeros((hmm.ALL, hmm.GROUPS)), 0
+    for n in sizes[:4]:
+        for i in range(at, at + n):
+            for j in range(max(at, i - hmm.NEAR), min(at + n, i + hmm.NEAR + 1)):
+                want[flat[i], group[flat[j]]] += i != j
+        at += n
+    for run in (3, 7, 65_536):
+        monkeypatch.setattr(hmm, "RUN", run)
+        (out,) = hmm._contexts(iter([batch]))
+        got = np.concatenate([np.frombuffer(v, "<f8") for v in out["v"].to_pylist()])
+        assert (got[: hmm.ALL] == np.bincount(flat[:42], minlength=hmm.ALL)).all() and (got[hmm.ALL :].reshape(want.shape) == want).all()
