@@ -168,3 +168,44 @@ def test_blast_counts_work_edges_out_once(spark):
     lazy = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(counted), "src long, dst long")
     assert {r["origin"]: (r["direct"], r["transitive"]) for r in reach.blast_counts(lazy).collect()} == counts(pairs)
     assert reads.value == len(pairs)
+
+
+def islands_of(pairs, kind):
+    """Several islands, among them one of a single edge, and self-loops and repeats."""
+    name = (lambda i, n: f"é{i}-{n:03}") if kind == "string" else (lambda i, n: 1000 * i + n)
+    return [(name(i, a), name(i, b)) for i in range(5) for a, b in (pairs[: 1 + 20 * i])] + [(name(9, 1), name(9, 2))] * 2
+
+
+@pytest.mark.parametrize("kind, most, lump", [("long", 2_000_000, 4_000_000), ("long", 30, 7), ("string", 30, 4_000_000)])
+def test_islands(spark, monkeypatch, kind, most, lump):
+    """Pairs and paths of islands that a task holds and of larger ones, told apart from lumps that show parts of them."""
+    from graphloom.operators import islands
+
+    monkeypatch.setattr(islands, "MOST", most)
+    monkeypatch.setattr(islands, "LUMP", lump)
+    monkeypatch.setattr(islands, "CELLS", 500)
+    rnd = random.Random(15)
+    pairs = islands_of([(rnd.randrange(25), rnd.randrange(25)) for _ in range(90)], kind)
+    _, hops = brute(pairs)
+    df = edges(spark, pairs, kind)
+    want = sorted((o, n, h) for (o, n), h in hops.items()) + [(a, a, 1) for a in sorted({a for a, b in pairs if a == b})]
+    assert sorted((r["origin"], r["node"], r["hop"]) for r in graph.closure(df).collect()) == sorted(want)
+
+    def smallest(o, n):
+        return [n] if n == o else [n, *smallest(o, min(b for a, b in pairs if a == n and (0 if b == o else hops.get((o, b))) == hops[o, n] - 1))]
+
+    origins = sorted({b for _, b in pairs})[::3]
+    got = graph.shortest_paths(df, spark.createDataFrame([(o,) for o in origins], f"origin {kind}")).collect()
+    assert sorted((r["origin"], r["node"], r["hop"], r["path"]) for r in got) == sorted((o, n, h, smallest(o, n)) for (o, n), h in hops.items() if o in origins)
+
+
+@pytest.mark.parametrize("search", [graph.closure])
+def test_islands_are_searched_without_a_round_of_joins(spark, monkeypatch, search):
+    """Each round's bits were sent over every edge: its disk grew with origins x edges, not with the edges."""
+
+    def unwanted(*_):
+        raise AssertionError("searched by joins")
+
+    monkeypatch.setattr(graph, "reach_many", unwanted)
+    pairs = [(100 * i + n + 1, 100 * i + n) for i in range(3) for n in range(10)]
+    assert {(r["origin"], r["node"]): r["hop"] for r in search(edges(spark, pairs, "long")).collect()} == brute(pairs)[1]
