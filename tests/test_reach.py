@@ -199,13 +199,15 @@ def test_islands(spark, monkeypatch, kind, most, lump):
     assert sorted((r["origin"], r["node"], r["hop"], r["path"]) for r in got) == sorted((o, n, h, smallest(o, n)) for (o, n), h in hops.items() if o in origins)
 
 
-@pytest.mark.parametrize("search", [graph.closure])
+@pytest.mark.parametrize("search", [graph.closure, graph.shortest_paths])
 def test_islands_are_searched_without_a_round_of_joins(spark, monkeypatch, search):
-    """Each round's bits were sent over every edge: its disk grew with origins x edges, not with the edges."""
+    """Each round's bits were sent over every edge, and paths were stored for each hop: the disk of both grew with
+    origins x edges, not with the edges."""
 
     def unwanted(*_):
         raise AssertionError("searched by joins")
 
     monkeypatch.setattr(graph, "reach_many", unwanted)
+    monkeypatch.setattr(graph, "shortest_paths_to", unwanted)
     pairs = [(100 * i + n + 1, 100 * i + n) for i in range(3) for n in range(10)]
     assert {(r["origin"], r["node"]): r["hop"] for r in search(edges(spark, pairs, "long")).collect()} == brute(pairs)[1]
